@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import url_filter
 from .chat_format import MarkedTurns, format_conversations, read_back
 from .common import table
+from .decontaminate import scan_documents
 from .piece_codec import encode_decode
+from .sharding import shard_documents
 from .simhash import near_duplicates
 from .token_counts import token_counts
 
@@ -35,12 +38,21 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_conversations(rows.union(added), template), template)
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op3_token_counts, op5_url_filter, op6_chat_format, op10_piece_codec)}
+    return {f.__name__: f for f in (op2_simhash, op3_token_counts, op5_url_filter, op6_chat_format, op7_decontaminate, op9_sharding, op10_piece_codec)}
 
 
 def oracle_sql() -> dict[str, str]:
