@@ -12,12 +12,18 @@ from . import url_filter
 from .chat_format import MarkedTurns, format_conversations, read_back
 from .common import table
 from .decontaminate import scan_documents
+from .perplexity import quality_rules
 from .piece_codec import encode_decode
+from .quality_qda import quality_scores
 from .sharding import shard_documents
 from .simhash import near_duplicates
 from .token_counts import token_counts
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -26,6 +32,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -52,7 +62,7 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op3_token_counts, op5_url_filter, op6_chat_format, op7_decontaminate, op9_sharding, op10_piece_codec)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_simhash, op3_token_counts, op4_quality_qda, op5_url_filter, op6_chat_format, op7_decontaminate, op9_sharding, op10_piece_codec)}
 
 
 def oracle_sql() -> dict[str, str]:
