@@ -8,6 +8,11 @@ and the conversation is reported as such with no loss mask.  Inside a span the
 text is located by rendering the same prefix with two different one-letter
 texts in the last turn: the outputs part where the text starts, and what
 follows them is the turn's tail.
+
+Rendering all prefixes takes time that grows with the square of a
+conversation's turns.  Beyond ``ALL_PREFIXES`` turns, prefixes of the last few
+turns are compared instead, and the result is held against the output for the
+whole conversation; where that doesn't agree, all prefixes are rendered.
 """
 
 from __future__ import annotations
@@ -58,22 +63,70 @@ class MarkedTurns:
         return turns
 
 
-def locate(template: Template, turns: list[Turn]) -> tuple[str, list[tuple[int, int, int, int]], int | None]:
+Span = tuple[int, int, int, int]
+#: Conversations of up to this many turns have all their prefixes rendered.
+ALL_PREFIXES = 64
+#: Turns before the new one that are rendered again in a longer conversation.
+LOOK_BACK = 8
+
+
+def _last_turn(template: Template, shown: list[Turn], before: str) -> tuple[str, Span | None]:
+    """The output for ``shown`` and the last turn's ``(start, end, text_start, text_end)`` in it; None if it doesn't extend ``before``."""
+    now = template.render(shown)
+    if not now.startswith(before):
+        return now, None
+    a, b = (template.render([*shown[:-1], (shown[-1][0], probe)]) for probe in "ab")
+    start = len(os.path.commonprefix([a, b]))
+    return now, (len(before), len(now), start, len(now) - (len(a) - start - 1))
+
+
+def _by_prefixes(template: Template, turns: list[Turn]) -> tuple[str, list[Span], int | None]:
+    before, spans = template.render([]), []
+    for i in range(len(turns)):
+        before, span = _last_turn(template, turns[: i + 1], before)
+        if span is None:
+            return template.render(turns), spans, i
+        spans.append(span)
+    return before, spans, None
+
+
+def _by_windows(template: Template, turns: list[Turn]) -> tuple[str, list[Span]] | None:
+    """The same for a long conversation in time proportional to it, or None if this can't be relied on.
+
+    Successive prefixes of the last few turns give what each turn adds.  All
+    additions together must make up the output for the whole conversation, and
+    for its prefixes of doubling lengths.
+    """
+    made, spans, rewritten = _by_prefixes(template, turns[:ALL_PREFIXES])
+    if rewritten is not None:
+        return None
+    parts, size = [made], len(made)
+    ends = [0] * ALL_PREFIXES
+    for i in range(ALL_PREFIXES, len(turns)):
+        window = turns[i - LOOK_BACK : i + 1]
+        before = template.render(window[:-1])
+        now, span = _last_turn(template, window, before)
+        if span is None:
+            return None
+        moved = size - len(before)
+        spans.append(tuple(x + moved for x in span))
+        parts.append(now[len(before) :])
+        size += len(parts[-1])
+        ends.append(size)
+    whole = "".join(parts)
+    n = 2 * ALL_PREFIXES
+    while n < len(turns):
+        if template.render(turns[:n]) != whole[: ends[n - 1]]:
+            return None
+        n *= 2
+    return (whole, spans) if template.render(turns) == whole else None
+
+
+def locate(template: Template, turns: list[Turn]) -> tuple[str, list[Span], int | None]:
     """The formatted conversation, each turn's ``(start, end, text_start, text_end)``, and the first turn that rewrites history (then the spans end before it)."""
-    shown: list[Turn] = []
-    before, spans, rewritten = template.render([]), [], None
-    for role, text in turns:
-        shown.append((role, text))
-        now = template.render(shown)
-        if rewritten is None and not now.startswith(before):
-            rewritten = len(shown) - 1
-        if rewritten is None:
-            a, b = (template.render([*shown[:-1], (role, probe)]) for probe in "ab")
-            start = len(os.path.commonprefix([a, b]))
-            tail = len(a) - start - 1
-            spans.append((len(before), len(now), start, len(now) - tail))
-        before = now
-    return before, spans, rewritten
+    if len(turns) > ALL_PREFIXES and (found := _by_windows(template, turns)):
+        return *found, None
+    return _by_prefixes(template, turns)
 
 
 def format_conversations(rows: DataFrame, template: Template, *, loss_role: str = "assistant") -> DataFrame:
