@@ -14,6 +14,7 @@ order of addition and both ways of scoring agree exactly.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,8 +32,11 @@ UNIT = 1 << 20
 _BITS = 12
 _PAD = b" " * (ORDER - 1)
 _SYMBOLS = b"#*$%&|<>"
-#: Bytes of a model entry in the arrays and in the index over them.
-_ENTRY_BYTES = 32
+#: Characters that the array code handles at once, and bytes of text that are decoded at once.
+_CHUNK = 1 << 19
+_SLICE_BYTES = 1 << 20
+#: Bytes of a model entry: hash, log-probability, weight of backing off.
+_ENTRY = np.dtype([("hash", "<u8"), ("logp", "<i4"), ("back", "<i4")])
 
 
 @dataclass(frozen=True)
@@ -60,6 +64,14 @@ def _codes(stream: bytes) -> np.ndarray:
     return np.frombuffer(stream.decode().encode("utf-32-le"), dtype=np.uint32)
 
 
+def _runs(ordered: np.ndarray, n: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of a sorted array, and how often they occur or the sums of their ``n``."""
+    if not len(ordered):
+        return ordered, np.zeros(0, dtype=np.int64)
+    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    return ordered[first], np.diff(np.append(first, len(ordered))) if n is None else np.add.reduceat(n, first)
+
+
 class _Counts:
     """Counts of all n-grams of the highest order, packed exactly into 64 bits by an alphabet of up to 4095 characters."""
 
@@ -79,23 +91,24 @@ class _Counts:
             self._id_of[new] = np.arange(len(self._characters), len(self._characters) + len(new))
             self._characters += new.tolist()
             ids = self._id_of[codes]
-        key = np.zeros(max(0, len(ids) - ORDER + 1), dtype=np.int64)
-        for j in range(ORDER):
-            key = (key << _BITS) | ids[j : len(ids) - ORDER + 1 + j]
         # n-grams must not reach from one document into the next
-        inside = np.ones(len(key), dtype=bool)
+        inside = np.ones(max(0, len(ids) - ORDER + 1), dtype=bool)
         ends = np.cumsum(np.fromiter((len(x.decode()) for x in streams), dtype=np.int64, count=len(streams)))[:-1]
         for j in range(1, ORDER):
             inside[ends - j] = False
-        key = np.sort(key[inside])
-        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, dtype=np.int64)
-        keys, n = key[first], np.diff(np.append(first, len(key)))
+        for at in range(0, len(inside), _CHUNK):
+            n = min(_CHUNK, len(inside) - at)
+            key = np.zeros(n, dtype=np.int64)
+            for j in range(ORDER):
+                key = (key << _BITS) | ids[at + j : at + j + n]
+            self._merge(np.sort(key[inside[at : at + n]]))
+        return True
+
+    def _merge(self, ordered: np.ndarray) -> None:
+        keys, n = _runs(ordered, None)
         both, n = np.concatenate((self._keys, keys)), np.concatenate((self._n, n))
         order = np.argsort(both, kind="stable")
-        both, n = both[order], n[order]
-        first = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1]))) if len(both) else np.zeros(0, dtype=np.int64)
-        self._keys, self._n = both[first], np.add.reduceat(n, first) if len(first) else n
-        return True
+        self._keys, self._n = _runs(both[order], n[order])
 
     def rows(self) -> tuple[list[str], np.ndarray]:
         characters = np.array(self._characters, dtype=np.uint32)
@@ -126,7 +139,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             langs, texts = batch.column(0).to_pylist(), utf8(batch.column(1))
-            for a, b in slices(texts):
+            for a, b in slices(texts, _SLICE_BYTES):
                 by_lang: dict[str, list[bytes]] = {}
                 for lang, t in zip(langs[a:b], texts[a:b], strict=True):
                     if t and (words := t.split()):
@@ -211,36 +224,39 @@ def _hash_codes(columns: list[np.ndarray], seed: np.uint64) -> np.ndarray:
 
 
 class HashArrays:
-    """Sorted hashes with two values each, found through a table of the hashes' leading bits."""
+    """Entries sorted by hash, found through a table of the hashes' leading bits."""
 
-    def __init__(self, hashes: np.ndarray, logp: np.ndarray, back: np.ndarray):
-        order = np.argsort(hashes)
-        self.hashes, self.logp, self.back = hashes[order], logp[order], back[order]
-        if len(hashes) and (self.hashes[1:] == self.hashes[:-1]).any():
-            raise ValueError("two n-grams share a hash")
-        bits = max(1, int(np.ceil(np.log2(max(2, 4 * len(hashes))))))
+    def __init__(self, entries: np.ndarray):
+        self.logp, self.back = entries["logp"], entries["back"]
+        self._hashes = np.append(entries["hash"], np.uint64(0xFFFFFFFFFFFFFFFF))
+        bits = max(1, int(np.ceil(np.log2(max(2, 2 * len(entries))))))
         self._shift = np.uint64(64 - bits)
-        self._start = np.searchsorted(self.hashes, np.arange(1 << bits, dtype=np.uint64) << self._shift).astype(np.int32)
-        self._padded = np.append(self.hashes, np.uint64(0xFFFFFFFFFFFFFFFF))
+        self._start = np.searchsorted(entries["hash"], np.arange(1 << bits, dtype=np.uint64) << self._shift).astype(np.int32)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Places of ``hashes``; -1 for what is not there."""
         at = self._start[hashes >> self._shift]
-        here = self._padded[at]
+        here = self._hashes[at]
         again = np.flatnonzero(here < hashes)
         while len(again):
             at[again] += 1
-            here[again] = now = self._padded[at[again]]
+            here[again] = now = self._hashes[at[again]]
             again = again[now < hashes[again]]
-        at[(here != hashes) | (at == len(self.hashes))] = -1
+        at[(here != hashes) | (at == len(self.logp))] = -1
         return at
 
     def nll(self, codes: np.ndarray, seed: np.uint64) -> np.ndarray:
-        """Negative log-probability, in units, of each character after the padding of one stream of documents."""
+        """Negative log-probability, in units, of the last character of each n-gram of highest order in ``codes``."""
         m = max(0, len(codes) - ORDER + 1)
-        columns = [codes[j : j + m].astype(np.uint64) for j in range(ORDER)]
+        out = np.empty(m, dtype=np.int64)
+        for a in range(0, m, _CHUNK):
+            b = min(m, a + _CHUNK)
+            out[a:b] = self._nll([codes[a + j : b + j].astype(np.uint64) for j in range(ORDER)], seed)
+        return out
+
+    def _nll(self, columns: list[np.ndarray], seed: np.uint64) -> np.ndarray:
         at = self.find(_hash_codes(columns, seed))
-        out = np.where(at >= 0, self.logp[at], 0)
+        out = np.where(at >= 0, self.logp[at], 0).astype(np.int64) if len(self.logp) else np.zeros(len(at), dtype=np.int64)
         missing = np.flatnonzero(at < 0)
         for k in range(ORDER - 1, -1, -1):
             if not len(missing):
@@ -255,26 +271,49 @@ class HashArrays:
         return -out
 
 
-_ABSENT = np.int64(1) << 62
+_ABSENT = np.iinfo(np.int32).max
+
+
+def collect_arrays(model: DataFrame) -> dict[str, np.ndarray]:
+    """The entries of each language, sorted by hash; hashes are computed where the rows are."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs = np.array(batch.column(0).to_pylist(), dtype=object)
+            grams = np.array(batch.column(1).to_pylist(), dtype=object)
+            entries = np.zeros(len(grams), dtype=_ENTRY)
+            entries["logp"] = batch.column(2).fill_null(int(_ABSENT)).to_numpy()
+            entries["back"] = batch.column(3).fill_null(0).to_numpy()
+            lengths = np.fromiter(map(len, grams), dtype=np.int64, count=len(grams))
+            names = sorted(set(langs))
+            for lang in names:
+                for k in range(ORDER + 1):
+                    here = np.flatnonzero((langs == lang) & (lengths == k))
+                    codes = np.frombuffer("".join(grams[here]).encode("utf-32-le"), dtype=np.uint32).reshape(len(here), k).astype(np.uint64)
+                    entries["hash"][here] = _hash_codes([codes[:, j] for j in range(k)], _seed(lang)) if k else _hash_codes([], _seed(lang))[0]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([entries[langs == lang].tobytes() for lang in names], pa.binary())], names=["lang", "entries"])
+
+    found: dict[str, list[bytes]] = {}
+    for lang, entries in model.select("lang", "gram", F.col("logp").cast("int"), F.col("back").cast("int")).mapInArrow(pack, "lang string, entries binary").collect():
+        found.setdefault(lang, []).append(bytes(entries))
+    arrays = {}
+    for lang in sorted(found):
+        entries = np.frombuffer(b"".join(found.pop(lang)), dtype=_ENTRY)
+        arrays[lang] = entries = entries[np.argsort(entries["hash"])]
+        if (entries["hash"][1:] == entries["hash"][:-1]).any():
+            raise ValueError("two n-grams share a hash")
+    return arrays
+
+
+_loaded: dict[str, dict[str, HashArrays]] = {}
 
 
-def _arrays(rows: pa.Table) -> dict[str, HashArrays]:
-    """One set of arrays a language from the collected model."""
-    by_lang: dict[str, HashArrays] = {}
-    langs = rows.column("lang").to_numpy(zero_copy_only=False)
-    grams = rows.column("gram").to_numpy(zero_copy_only=False)
-    logp = rows.column("logp").fill_null(int(_ABSENT)).to_numpy()
-    back = rows.column("back").fill_null(0).to_numpy()
-    lengths = np.fromiter(map(len, grams), dtype=np.int64, count=len(grams))
-    hashes = np.zeros(len(grams), dtype=np.uint64)
-    for lang in sorted(set(langs)):
-        own = langs == lang
-        for k in range(ORDER + 1):
-            here = np.flatnonzero(own & (lengths == k))
-            codes = np.frombuffer("".join(grams[here]).encode("utf-32-le"), dtype=np.uint32).reshape(len(here), k).astype(np.uint64)
-            hashes[here] = _hash_codes([codes[:, j] for j in range(k)], _seed(lang)) if k else np.repeat(_hash_codes([], _seed(lang)), len(here))
-        by_lang[lang] = HashArrays(hashes[own], logp[own], back[own])
-    return by_lang
+def _model_of(shipped) -> dict[str, HashArrays]:
+    token, arrays = shipped.value
+    if token not in _loaded:
+        _loaded.clear()
+        _loaded[token] = {lang: HashArrays(entries) for lang, entries in arrays.items()}
+    return _loaded[token]
 
 
 # ---------------------------------------------------------------- base rules
@@ -321,15 +360,14 @@ def _measure(docs: DataFrame, keep: list[str], model: DataFrame, broadcast_bytes
     kept = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in keep)
     n_entries = model.count()
     n_keep = len(keep)
-    if n_entries * _ENTRY_BYTES <= broadcast_bytes:
-        arrays = _arrays(model.toArrow())
-        shipped = ship(docs.sparkSession, arrays, n_entries * _ENTRY_BYTES)
+    if n_entries * _ENTRY.itemsize <= broadcast_bytes:
+        shipped = ship(docs.sparkSession, (uuid.uuid4().hex, collect_arrays(model)), n_entries * _ENTRY.itemsize)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            model = shipped.value
+            model = _model_of(shipped)
             for batch in batches:
                 langs, texts = batch.column(n_keep).to_pylist(), utf8(batch.column(n_keep + 1))
-                for a, b in slices(texts):
+                for a, b in slices(texts, _SLICE_BYTES):
                     words = [t.split() if t else [] for t in texts[a:b]]
                     base = [base_counts(t, w) for t, w in zip(texts[a:b], words, strict=True)]
                     nll, events = [0] * (b - a), [0] * (b - a)
@@ -359,7 +397,7 @@ def _measure_by_join(docs: DataFrame, keep: list[str], kept: str, model: DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = utf8(batch.column(n_keep + 1))
-            for a, b in slices(texts):
+            for a, b in slices(texts, _SLICE_BYTES):
                 words = [t.split() if t else [] for t in texts[a:b]]
                 base = [base_counts(t, w) for t, w in zip(texts[a:b], words, strict=True)]
                 grams = [_grams_of(_stream(w)) for w in words]
