@@ -12,6 +12,7 @@ from . import url_filter
 from .chat_format import MarkedTurns, format_conversations, read_back
 from .common import table
 from .decontaminate import scan_documents
+from .line_dedup import dedup_report
 from .perplexity import quality_rules
 from .piece_codec import encode_decode
 from .quality_qda import quality_scores
@@ -53,6 +54,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_report(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
@@ -62,7 +67,7 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_simhash, op3_token_counts, op4_quality_qda, op5_url_filter, op6_chat_format, op7_decontaminate, op9_sharding, op10_piece_codec)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_simhash, op3_token_counts, op4_quality_qda, op5_url_filter, op6_chat_format, op7_decontaminate, op8_line_dedup, op9_sharding, op10_piece_codec)}
 
 
 def oracle_sql() -> dict[str, str]:
