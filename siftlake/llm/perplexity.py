@@ -8,6 +8,9 @@ model is stored as arrays sorted by a 64-bit hash of language and n-gram.  It
 is broadcast if a count proves it small enough; a larger model stays a table
 and is joined to the documents' n-grams.
 
+N-grams that only one document has are unknown to the model: else every
+document, noise above all, would vouch for itself.
+
 Log-probabilities are integers in units of 2**-20, so sums do not depend on the
 order of addition and both ways of scoring agree exactly.
 """
@@ -49,7 +52,7 @@ class Bands:
     """
 
     width: float = 6.0
-    least: float = 0.7
+    least: float = 1.0
 
 
 # ---------------------------------------------------------------- texts as arrays
@@ -64,59 +67,63 @@ def _codes(stream: bytes) -> np.ndarray:
     return np.frombuffer(stream.decode().encode("utf-32-le"), dtype=np.uint32)
 
 
-def _runs(ordered: np.ndarray, n: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct values of a sorted array, and how often they occur or the sums of their ``n``."""
-    if not len(ordered):
-        return ordered, np.zeros(0, dtype=np.int64)
-    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-    return ordered[first], np.diff(np.append(first, len(ordered))) if n is None else np.add.reduceat(n, first)
+def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of a sorted array, and where each starts."""
+    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(ordered) else np.zeros(0, dtype=np.int64)
+    return ordered[first], first
 
 
 class _Counts:
-    """Counts of all n-grams of the highest order, packed exactly into 64 bits by an alphabet of up to 4095 characters."""
+    """Occurrences and documents of all n-grams of the highest order, packed exactly into 64 bits by an alphabet of up to 4095 characters."""
 
     def __init__(self):
         self._id_of = np.zeros(0x110000, dtype=np.uint16)
         self._characters: list[int] = [0]
-        self._keys, self._n = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self._keys, self._n = np.zeros(0, dtype=np.int64), np.zeros((0, 2), dtype=np.int64)
 
     def add(self, streams: list[bytes]) -> bool:
         """False, with nothing added, if the alphabet would overflow."""
-        codes = _codes(b"".join(streams))
-        ids = self._id_of[codes]
-        if (missing := ids == 0).any():
-            new = np.unique(codes[missing])
+        codes = [_codes(s) for s in streams]
+        every = np.concatenate(codes)
+        missing = every[self._id_of[every] == 0]
+        if len(missing):
+            new = np.unique(missing)
             if len(self._characters) + len(new) > 1 << _BITS:
                 return False
             self._id_of[new] = np.arange(len(self._characters), len(self._characters) + len(new))
             self._characters += new.tolist()
-            ids = self._id_of[codes]
-        # n-grams must not reach from one document into the next
-        inside = np.ones(max(0, len(ids) - ORDER + 1), dtype=bool)
-        ends = np.cumsum(np.fromiter((len(x.decode()) for x in streams), dtype=np.int64, count=len(streams)))[:-1]
-        for j in range(1, ORDER):
-            inside[ends - j] = False
-        for at in range(0, len(inside), _CHUNK):
-            n = min(_CHUNK, len(inside) - at)
+        del every, missing
+        found = [self._of_document(self._id_of[c]) for c in codes]
+        keys, n = np.concatenate([self._keys, *(f[0] for f in found)]), np.concatenate([self._n, *(f[1] for f in found)])
+        self._keys, self._n = self._sums(keys, n)
+        return True
+
+    def _sums(self, keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(keys)
+        keys, first = _runs(keys[order])
+        return keys, np.add.reduceat(n[order], first, axis=0) if len(first) else n
+
+    def _of_document(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Its n-grams with their occurrences, and 1 each for the document."""
+        parts = []
+        for at in range(0, len(ids) - ORDER + 1, _CHUNK):
+            n = min(_CHUNK, len(ids) - ORDER + 1 - at)
             key = np.zeros(n, dtype=np.int64)
             for j in range(ORDER):
                 key = (key << _BITS) | ids[at + j : at + j + n]
-            self._merge(np.sort(key[inside[at : at + n]]))
-        return True
-
-    def _merge(self, ordered: np.ndarray) -> None:
-        keys, n = _runs(ordered, None)
-        both, n = np.concatenate((self._keys, keys)), np.concatenate((self._n, n))
-        order = np.argsort(both, kind="stable")
-        self._keys, self._n = _runs(both[order], n[order])
+            key.sort()
+            keys, first = _runs(key)
+            parts.append((keys, np.diff(np.append(first, n))))
+        keys, n = parts[0] if len(parts) == 1 else self._sums(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        return keys, np.stack([n, np.ones_like(n)], axis=1)
 
-    def rows(self) -> tuple[list[str], np.ndarray]:
+    def rows(self) -> tuple[list[str], np.ndarray, np.ndarray]:
         characters = np.array(self._characters, dtype=np.uint32)
         grid = np.empty((len(self._keys), ORDER), dtype=np.uint32)
         for j in range(ORDER):
             grid[:, j] = characters[(self._keys >> _BITS * (ORDER - 1 - j)) & ((1 << _BITS) - 1)]
         text = grid.tobytes().decode("utf-32-le")
-        return [text[i : i + ORDER] for i in range(0, len(text), ORDER)], self._n
+        return [text[i : i + ORDER] for i in range(0, len(text), ORDER)], self._n[:, 0], self._n[:, 1]
 
 
 def _grams_of(stream: bytes) -> Counter:
@@ -129,13 +136,13 @@ def _grams_of(stream: bytes) -> Counter:
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
-    """``lang, gram, c`` over all of ``docs(lang, text)``."""
+    """``lang, gram, c, n_docs``: occurrences, and documents that have it, over all of ``docs(lang, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, _Counts] = {}
 
-        def out(lang: str, grams: list[str], n) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.string()), pa.array(n, pa.int64())], names=["lang", "gram", "c"])
+        def out(lang: str, grams: list[str], n, n_docs) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.string()), pa.array(n, pa.int64()), pa.array(n_docs, pa.int64())], names=["lang", "gram", "c", "n_docs"])
 
         for batch in batches:
             langs, texts = batch.column(0).to_pylist(), utf8(batch.column(1))
@@ -151,14 +158,14 @@ def count_grams(docs: DataFrame) -> DataFrame:
                             if not held.setdefault(lang, _Counts()).add([s]):
                                 yield out(lang, *held.pop(lang).rows())
                                 grams = _grams_of(s)
-                                yield out(lang, list(grams), list(grams.values()))
+                                yield out(lang, list(grams), list(grams.values()), [1] * len(grams))
             if len(held) > 64:
                 for lang in list(held):
                     yield out(lang, *held.pop(lang).rows())
         for lang, counts in held.items():
             yield out(lang, *counts.rows())
 
-    return docs.select("lang", "text").mapInArrow(run, "lang string, gram string, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
+    return docs.select("lang", "text").mapInArrow(run, "lang string, gram string, c long, n_docs long").groupBy("lang", "gram").agg(F.sum("c").alias("c"), F.sum("n_docs").alias("n_docs"))
 
 
 def _discounts(counts: DataFrame) -> DataFrame:
@@ -174,7 +181,7 @@ def build_model(grams: DataFrame) -> DataFrame:
 
     A row with the empty n-gram holds the uniform distribution of its language.
     """
-    top = materialize(grams)
+    top = materialize(grams.filter("n_docs > 1").drop("n_docs"))
     levels = {ORDER: top}
     for k in range(ORDER - 1, 0, -1):
         levels[k] = materialize(levels[k + 1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("c")))
@@ -378,6 +385,10 @@ def _measure(docs: DataFrame, keep: list[str], model: DataFrame, broadcast_bytes
                     for lang, at in by_lang.items():
                         codes = [_codes(_stream(words[i])) for i in at]
                         ends = np.cumsum([len(c) for c in codes])
+                        if lang not in model:  # no two of its documents share an n-gram
+                            for i, c in zip(at, codes, strict=True):
+                                events[i] = len(c) - ORDER + 1
+                            continue
                         cost = model[lang].nll(np.concatenate(codes), _seed(lang))
                         for i, end, c in zip(at, ends.tolist(), codes, strict=True):
                             events[i] = len(c) - ORDER + 1
