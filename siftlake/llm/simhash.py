@@ -98,8 +98,8 @@ def links(prints: DataFrame) -> DataFrame:
         r = prints.select("fp", F.explode(F.get(near, s)).alias("flip")).select(F.col("fp").alias("v"), at(block, F.col("flip")).alias("anchor"))
         homes, replicas = (h, r) if homes is None else (homes.union(h), replicas.union(r))
     differ = F.col("u").bitwiseXOR(F.col("v"))
-    # a pair that is close in both halves is taken in the first only
-    first = (F.col("anchor") < F.lit(1 << 32)) | (F.bit_count(differ.bitwiseAND(F.lit(_HALF))) > 1)
+    # a pair may meet in both halves: it is taken in the first if it is within one bit there, else in the second
+    first = (F.col("anchor") < F.lit(1 << 32)) == (F.bit_count(differ.bitwiseAND(F.lit(_HALF))) <= 1)
     pairs = homes.join(replicas.withColumnRenamed("anchor", "replica_anchor"), (F.col("anchor") == F.col("replica_anchor")) & (F.col("u") < F.col("v")) & (F.bit_count(differ) <= THRESHOLD) & first)
     return pairs.select("u", "v")
 
