@@ -61,6 +61,14 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` has in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def ship(spark: SparkSession, payload: object, n_bytes: int):
     """Broadcast ``payload`` after checking its stated size."""
     if n_bytes > BROADCAST_BYTES:

@@ -25,7 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, materialize
+from .common import bounded, fresh, materialize
 
 MIN_CHARS = 40
 THRESHOLD = 2
@@ -162,8 +162,9 @@ def dedup_lines(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
     """``docs`` with the dropped lines cut out of their texts; all columns and rows stay."""
     decisions = materialize(line_decisions(docs, id_column=id_column, text_column=text_column, min_chars=min_chars, threshold=threshold).filter(F.size("dropped") > 0))
     text = F.col(text_column).cast("string")
-    at = decisions.select(F.col("doc").alias("__doc"), F.col("doc_hash").alias("__hash"), F.col("dropped").alias("__dropped"))
-    joined = docs.join(bounded(at), F.col(id_column).eqNullSafe(F.col("__doc")) & (F.xxhash64(text) == F.col("__hash")), "left")
+    doc, digest, dropped = (fresh(docs, n) for n in ("doc", "hash", "dropped"))
+    at = decisions.select(F.col("doc").alias(doc), F.col("doc_hash").alias(digest), F.col("dropped").alias(dropped))
+    joined = docs.join(bounded(at), F.col(id_column).eqNullSafe(F.col(doc)) & (F.xxhash64(text) == F.col(digest)), "left")
     lines = F.split(text, "\n", -1)
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__dropped")), lambda i: F.get(lines, i))
-    return joined.withColumn(text_column, F.when(F.col("__dropped").isNotNull(), F.array_join(kept, "\n")).otherwise(text)).select(docs.columns)
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(dropped)), lambda i: F.get(lines, i))
+    return joined.withColumn(text_column, F.when(F.col(dropped).isNotNull(), F.array_join(kept, "\n")).otherwise(text)).select(docs.columns)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import url_filter
+from . import decontaminate, url_filter
 from .chat_format import MarkedTurns, format_conversations, read_back
 from .common import table
 from .decontaminate import scan_documents
@@ -66,9 +66,15 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # stands at the repository's top and imports this subpackage
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_simhash, op3_token_counts, op4_quality_qda, op5_url_filter, op6_chat_format, op7_decontaminate, op8_line_dedup, op9_sharding, op10_piece_codec)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_simhash, op3_token_counts, op4_quality_qda, op5_url_filter, op6_chat_format, op7_decontaminate, op8_line_dedup, op9_sharding, op10_piece_codec, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": url_filter.oracle()}
+    return {"op5_url_filter": url_filter.oracle(), "op7_decontaminate": decontaminate.oracle()}
