@@ -11,8 +11,8 @@ Texts are not shuffled.  A first pass reduces each key to the least and the
 largest line hash seen under it, which also folds the copies of a line
 together; nearly all keys belong to one line.  A second pass keeps the rows of
 keys that two lines share, and texts are fetched for those lines alone.
-Candidates whose letter profiles differ too much are dropped inside the join;
-the rest are verified with Spark's edit distance, which computes only
+Candidates whose letter profiles differ too much are dropped inside the join,
+and the rest are verified there with Spark's edit distance, which computes only
 the band that the threshold leaves.
 
 Lines are told apart by 128 bits: a 64-bit hash, a 32-bit hash and the length.
@@ -20,8 +20,6 @@ Lines are told apart by 128 bits: a 64-bit hash, a 32-bit hash and the length.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,8 +40,8 @@ def _lines(docs: DataFrame, id_column: str, text_column: str, min_chars: int) ->
     return lines.withColumn("h1", F.xxhash64("line")).withColumn("h2", second)
 
 
-def _keys(threshold: int) -> Column:
-    """Index keys of a line, then its probe keys, as hashes of segment number, length and substring.
+def _keyed(lines: DataFrame, columns: list[str], threshold: int) -> DataFrame:
+    """``columns, key, probes`` for every index key and probe key of ``lines(line, n_chars)``: hashes of segment number, length and substring.
 
     A segment starts where as many edits before it (at most its number) and
     after it (at most the rest) as remain can move it.  A line of n characters
@@ -51,30 +49,23 @@ def _keys(threshold: int) -> Column:
     isn't whole.
     """
     k = threshold + 1
-    places = [(i, 0, 0) for i in range(k)]
+    places = [(False, i, 0, 0) for i in range(k)]
     for shorter in range(k):
         for i in range(k):
             after = threshold - i
-            places += [(i, shorter, shift) for shift in range(max(-i, shorter - after), min(i, shorter + after) + 1)]
-
-    def cuts(shorter: int) -> Column:
-        n = F.col("n_chars") - shorter
-        rest = F.pmod(n, F.lit(k))
-        base = ((n - rest) / k).cast("int")
-        return F.array(*(base * i + F.greatest(F.lit(0), rest + (i - k)) for i in range(k)), n)
-
-    starts = F.array(*map(cuts, range(k)))
-    at = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(d).alias("shorter"), F.lit(s).alias("shift")) for i, d, s in places))
-
-    def key(place: Column, part: Callable[[Column, Column], Column]) -> Column:
-        own = F.get(starts, place["shorter"])
-        start = F.get(own, place["i"])
-        return F.xxhash64(place["i"], place["shorter"] - F.col("n_chars"), part(start + place["shift"] + 1, F.get(own, place["i"] + 1) - start))
-
+            places += [(True, i, shorter, shift) for shift in range(max(-i, shorter - after), min(i, shorter + after) + 1)]
+    names = ("probes", "i", "shorter", "shift")
+    at = F.array(*(F.struct(*(F.lit(x).alias(n) for x, n in zip(p, names, strict=True))) for p in places))
+    n = F.col("n_chars") - F.col("shorter")
+    rest = F.pmod(n, F.lit(k))
+    base = ((n - rest) / k).cast("int")
+    extra = rest + F.col("i") - k
+    start = base * F.col("i") + F.greatest(F.lit(0), extra) + F.col("shift") + 1
+    width = base + (extra >= 0).cast("int")
     # characters of an ASCII line are its bytes, which are found faster; the hashes are the same
-    ascii_line = F.octet_length("line") == F.col("n_chars")
-    slow, fast = (lambda a, n: F.substring(F.col("line"), a, n)), (lambda a, n: F.substring(F.col("line").cast("binary"), a, n))
-    return F.when(ascii_line, F.transform(at, lambda p: key(p, fast))).otherwise(F.transform(at, lambda p: key(p, slow)))
+    part = lambda line: F.xxhash64("i", n, F.substring(line, start, width))
+    key = F.when(F.octet_length("line") == F.col("n_chars"), part(F.col("line").cast("binary"))).otherwise(part(F.col("line")))
+    return lines.select(*columns, "line", "n_chars", F.inline(at)).select(*columns, key.alias("key"), "probes")
 
 
 def _profile() -> Column:
@@ -97,22 +88,22 @@ def edit_links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
     Copies of a line may be among the lines; they fold together.
     """
-    rows = lines.select("h1", "h2", F.posexplode(_keys(threshold)).alias("at", "key")).select("key", "h1", "h2", (F.col("at") > threshold).alias("probes"))
+    rows = _keyed(lines, _LINE, threshold)
     live = rows.groupBy("key").agg(F.min("h1").alias("least"), F.max("h1").alias("most"), F.bool_or("probes").alias("probed"), F.bool_and("probes").alias("unindexed"))
     live = materialize(live.filter("least < most and probed and not unindexed").select("key"))
     met = materialize(rows.join(bounded(live), "key", "left_semi").distinct())
     few = bounded(materialize(met.select(*_LINE).distinct()))
     texts = materialize(lines.join(few, _LINE, "left_semi").groupBy(*_LINE).agg(F.first("line").alias("line")).withColumn("profile", _profile()))
-    sided = materialize(met.join(texts.select(*_LINE, "profile"), _LINE).select("key", "probes", F.struct(*_LINE).alias("id"), "profile"))
-    index = sided.filter("not probes").select("key", F.col("id").alias("a"), F.col("profile").alias("pa"))
-    probe = sided.filter("probes").select("key", F.col("id").alias("b"), F.col("profile").alias("pb"))
+    sided = materialize(met.join(texts, _LINE).select("key", "probes", F.struct(*_LINE).alias("id"), "profile", "line"))
+    side = lambda probes, name: sided.filter(F.col("probes") == probes).select("key", F.col("id").alias(name), F.col("profile").alias(f"p{name}"), F.col("line").alias(f"line_{name}"))
+    a, b = F.col("a"), F.col("b")
+    # of two lines of one length each probes the other; h2 starts with the length
+    once = (F.shiftright(a["h2"], 32) < F.shiftright(b["h2"], 32)) | (a < b)
     close = F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= 2 * threshold
-    pairs = index.join(probe, "key").filter((F.col("a") != F.col("b")) & close)
-    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    text = texts.select(F.struct(*_LINE).alias("id"), "line")
-    left = pairs.join(text.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a")
-    both = left.join(text.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
-    return both.withColumn("distance", F.levenshtein("line_a", "line_b", threshold)).filter("distance >= 0").select("a", "b", "distance")
+    distance = F.levenshtein("line_a", "line_b", threshold)
+    # verified inside the join, so that it gives rise to links alone
+    found = side(False, "a").join(side(True, "b"), "key").filter((a != b) & once & close & (distance >= 0))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), distance.alias("distance")).distinct()
 
 
 def line_decisions(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", min_chars: int = MIN_CHARS, threshold: int = THRESHOLD) -> DataFrame:

@@ -155,7 +155,7 @@ def test_edit_links_against_brute_force(spark, threshold):
     rnd = random.Random(threshold)
     bases = ["".join(rnd.choice("abcdé ") for _ in range(rnd.randrange(40, 60))) for _ in range(20)]
     lines = sorted({m for b in bases for m in [b, *(changed(rnd, b, 4) for _ in range(8))] if len(m) >= 40})
-    df = spark.createDataFrame([(i, 7 * i, s, len(s)) for i, s in enumerate(lines)], "h1 long, h2 long, line string, n_chars int")
+    df = spark.createDataFrame([(i, (len(s) << 32) + i, s, len(s)) for i, s in enumerate(lines)], "h1 long, h2 long, line string, n_chars int")
     got = {(r.a.h1, r.b.h1): r.distance for r in edit_links(df.union(df.limit(5)), threshold).collect()}
     want = {(i, j): d for j in range(len(lines)) for i in range(j) if abs(len(lines[i]) - len(lines[j])) <= threshold and (d := edit_distance(lines[i], lines[j])) <= threshold}
     assert got == want
