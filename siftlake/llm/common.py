@@ -1,64 +1,58 @@
-"""Shared plumbing: scratch tables, size-checked broadcasts, Arrow helpers."""
+"""Shared plumbing: resident models, caches, size-checked payloads, Arrow helpers."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Set
+from typing import Generic, TypeVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from ..storage import BROADCAST_ROWS, bounded, materialize, shared_dir
+
+__all__ = ["BROADCAST_BYTES", "BROADCAST_ROWS", "Cache", "bounded", "fresh", "materialize", "read_bytes", "resident", "shared_dir", "ship", "slices", "table", "utf8"]
 
 #: Largest payload that is ever put into a broadcast, in bytes.
 BROADCAST_BYTES = 64 << 20
-#: Largest row count of a DataFrame that is hinted to broadcast.
-BROADCAST_ROWS = 100_000
 #: Text bytes handled at once inside a Python worker.
 SLICE_BYTES = 4 << 20
 
-_scratch: list[tuple[SparkSession, str]] = []
-
+T = TypeVar("T")
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one when unset (local runs)."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not named:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="siftlake-")
-        sc.setCheckpointDir(named)
-        named = sc.getCheckpointDir()
-    return named
+_resident: dict[object, object] = {}
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back, which cuts its lineage.
+def resident(key: object, build: Callable[[], T]) -> T:
+    """What ``build`` makes, kept in this worker for as long as the same thing is asked for.
 
-    The table outlives lost executors.  It is removed when the application ends.
+    Workers outlive tasks and queries; only one model stays in memory at a time.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/siftlake/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _scratch.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@atexit.register
-def _remove_scratch() -> None:
-    for spark, path in _scratch:
-        try:
-            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-        except Exception:  # the JVM may already be gone at exit
-            return
-
-
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint ``df`` to broadcast if a count proves that it has at most ``rows`` rows; else leave the join to Spark."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    if key not in _resident:
+        _resident.clear()
+        _resident[key] = build()
+    return _resident[key]
+
+
+class Cache(Generic[T]):
+    """Results by text chunk, bounded to about ``size``: what hasn't been used since the last turnover goes at the next."""
+
+    def __init__(self, size: int):
+        self._half = size // 2
+        self._young: dict[bytes, T] = {}
+        self._old: dict[bytes, T] = {}
+
+    def serve(self, wanted: Set[bytes], learn: Callable[[list[bytes]], dict[bytes, T]]) -> dict[bytes, T]:
+        """A dictionary that holds all of ``wanted``; ``learn`` is asked for what isn't known."""
+        if len(self._young) > self._half:
+            self._old, self._young = self._young, {}
+        young, old = self._young, self._old
+        new = wanted.difference(young)
+        if new:
+            known = new.intersection(old)
+            young.update((k, old[k]) for k in known)
+            if len(known) < len(new):
+                young.update(learn(list(new.difference(known))))
+        return young
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, slices, utf8
+from .common import resident, ship, slices, utf8
 
 WINDOW = 10
 #: UTF-8 bytes of benchmark text that one automaton holds; a larger benchmark is streamed through in blocks.
@@ -168,15 +168,9 @@ class ItemAutomaton:
         return found
 
 
-_built: dict[str, ItemAutomaton] = {}
-
-
 def _automaton(shipped, window: int) -> ItemAutomaton:
     items, key = shipped.value
-    if key not in _built:
-        _built.clear()
-        _built[key] = ItemAutomaton(items, window)
-    return _built[key]
+    return resident((ItemAutomaton, key), lambda: ItemAutomaton(items, window))
 
 
 def _blocks(benchmark: DataFrame, item_column: str, text_column: str, block_bytes: int, window: int) -> list:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, bounded, materialize, ship, slices, utf8
+from .common import BROADCAST_BYTES, bounded, materialize, resident, ship, slices, utf8
 
 ORDER = 5
 UNIT = 1 << 20
@@ -312,15 +312,9 @@ def collect_arrays(model: DataFrame) -> dict[str, np.ndarray]:
     return arrays
 
 
-_loaded: dict[str, dict[str, HashArrays]] = {}
-
-
 def _model_of(shipped) -> dict[str, HashArrays]:
     token, arrays = shipped.value
-    if token not in _loaded:
-        _loaded.clear()
-        _loaded[token] = {lang: HashArrays(entries) for lang, entries in arrays.items()}
-    return _loaded[token]
+    return resident((HashArrays, token), lambda: {lang: HashArrays(entries) for lang, entries in arrays.items()})
 
 
 # ---------------------------------------------------------------- base rules

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_bytes, ship, slices, utf8
+from .common import Cache, read_bytes, resident, ship, slices, utf8
 
 _MARK = "▁"
 _MARK_UTF8 = _MARK.encode()
@@ -60,8 +60,7 @@ class PieceCodec:
                 self.byte_of[i] = int(p.piece[1:-1], 16)
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.bos, self.eos = self.library.bos_id(), self.library.eos_id()
-        self._cache: dict[bytes, tuple[bytes, bytes]] = {}
-        self._cache_size = cache_size
+        self._cache: Cache[bytes] = Cache(cache_size)
 
     def encode_segment(self, segment: str) -> list[int]:
         """Ids of one segment, whose spaces are already marks."""
@@ -122,7 +121,8 @@ class PieceCodec:
         out.append(run.decode(errors="replace").encode())
         return b"".join(out)
 
-    def _learn(self, keys: list[bytes]) -> None:
+    def _learn(self, keys: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of new segments, given without their first space; each is decoded too, and must come back as it was."""
         strings = [k.decode() for k in keys]
         coded = [self.encode_segment(_MARK + s.replace(" ", _MARK)) for s in strings]
         back = [self._decode(c) for c in coded]
@@ -132,8 +132,10 @@ class PieceCodec:
         for i, ids, text in zip(checked, truth, said, strict=True):
             if ids != coded[i] or text.encode() != back[i][1:]:
                 raise AssertionError(f"segment {strings[i]!r} differs from the library: {coded[i]} and {ids}")
-        for k, c, b in zip(keys, coded, back, strict=True):
-            self._cache[k] = (np.array(c, dtype="<u4").tobytes(), b)
+        for k, b in zip(keys, back, strict=True):
+            if b != b" " + k:
+                raise AssertionError(f"segment {k!r} decodes to {b!r}")
+        return {k: np.array(c, dtype="<u4").tobytes() for k, c in zip(keys, coded, strict=True)}
 
     def run(self, texts: list[bytes | None]) -> list[tuple[bytes, bytes]]:
         """Ids (little-endian unsigned 32-bit, with begin and end) and the decoded text of each text."""
@@ -151,19 +153,10 @@ class PieceCodec:
                 p = t.split(b" ")
             parts.append(p)
             wanted.update(p)
-        cache = self._cache
-        new = wanted.difference(cache)
-        if len(cache) + len(new) > self._cache_size:
-            cache.clear()
-            new = wanted
-        if new:
-            self._learn(list(new))
+        ids_of = self._cache.serve(wanted, self._learn).__getitem__
         begin, end = (np.array([x], dtype="<u4").tobytes() for x in (self.bos, self.eos))
-        out = []
-        for p in parts:
-            found = [cache[k] for k in p]
-            out.append((begin + b"".join([f[0] for f in found]) + end, b"".join([f[1] for f in found])[1:]))
-        return out
+        # a segment decodes to a space and its key, so a text to its keys with spaces between
+        return [(begin + b"".join(map(ids_of, p)) + end, b" ".join(p)) for p in parts]
 
     def check_texts(self, texts: list[bytes | None], results: list[tuple[bytes, bytes]]) -> None:
         """Hold whole texts against the library."""
@@ -173,17 +166,6 @@ class PieceCodec:
                 raise AssertionError("a text differs from the library")
 
 
-_loaded: dict[int, PieceCodec] = {}
-
-
-def _codec(model: bytes) -> PieceCodec:
-    key = hash(model)
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = PieceCodec(model)
-    return _loaded[key]
-
-
 def encode_decode(docs: DataFrame, model_path: str, *, text_column: str = "text", keep: tuple[str, ...] = ("doc_id",), outputs: tuple[str, ...] = ("ids", "decoded"), check: str = "segments") -> DataFrame:
     """Encode and decode the text of every row of ``docs``.
 
@@ -205,7 +187,8 @@ def encode_decode(docs: DataFrame, model_path: str, *, text_column: str = "text"
     }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shipped.value)
+        model = shipped.value
+        codec = resident((PieceCodec, hash(model)), lambda: PieceCodec(model))
         for batch in batches:
             texts = utf8(batch.column(len(keep)))
             for a, b in slices(texts):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_bytes, ship, slices, utf8
+from .common import Cache, read_bytes, resident, ship, slices, utf8
 
 _NONE = np.int64(1) << 40
 _ASCII_SPACE = re.compile(rb"[\x20\x09-\x0D]+")
@@ -61,8 +61,7 @@ class RankMerger:
         key, rank = key[order], rank[order]
         keep = np.concatenate(([True], key[1:] != key[:-1]))
         self.keys, self.ranks, self.made = key[keep], rank[keep], made
-        self._cache: dict[bytes, int] = {}
-        self._cache_size = cache_size
+        self._cache: Cache[int] = Cache(cache_size)
 
     def survivors(self, pretokens: list[str]) -> np.ndarray:
         """Symbols left of each pre-token once no merge applies."""
@@ -106,7 +105,7 @@ class RankMerger:
             chosen = chosen[~alone | first]
         return chosen
 
-    def _count_new(self, chunks: list[bytes]) -> None:
+    def _count_new(self, chunks: list[bytes]) -> dict[bytes, int]:
         owner: list[int] = []
         pretokens: list[str] = []
         base = [0] * len(chunks)
@@ -122,7 +121,7 @@ class RankMerger:
                     pretokens.append(p)
         total = np.array(base, dtype=np.int64)
         np.add.at(total, np.array(owner, dtype=np.int64), self.survivors(pretokens))
-        self._cache.update(zip(chunks, total.tolist(), strict=True))
+        return dict(zip(chunks, total.tolist(), strict=True))
 
     def count(self, texts: Iterable[bytes | None]) -> list[int]:
         """Tokens of each text.  ASCII white space always ends a pre-token, so texts are counted by chunk."""
@@ -130,25 +129,8 @@ class RankMerger:
         wanted: set[bytes] = set()
         for w in words:
             wanted.update(w)
-        cache = self._cache
-        new = wanted.difference(cache)
-        if len(cache) + len(new) > self._cache_size:
-            cache.clear()
-            new = wanted
-        if new:
-            self._count_new(list(new))
-        return [sum(map(cache.__getitem__, w)) for w in words]
-
-
-_loaded: dict[int, RankMerger] = {}
-
-
-def _merger(definition: bytes) -> RankMerger:
-    key = hash(definition)
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = RankMerger(definition)
-    return _loaded[key]
+        count_of = self._cache.serve(wanted, self._count_new).__getitem__
+        return [sum(map(count_of, w)) for w in words]
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, *, id_column: str = "doc_id", text_column: str = "text", limit: int = 2048) -> DataFrame:
@@ -165,7 +147,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, *, id_column: str = "doc_
     id_type = docs.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merger = _merger(shipped.value)
+        definition = shipped.value
+        merger = resident((RankMerger, hash(definition)), lambda: RankMerger(definition))
         for batch in batches:
             texts = utf8(batch.column(1))
             tokens: list[int] = []
