@@ -29,6 +29,11 @@ def test_entry_points_of_the_tree(spark):
     }
 
 
+def test_notes_of_the_tree(spark):
+    notes = {(r.repo, r.docker_path): r.note for r in plans.QUERIES["docker_parse"](spark, SF).collect()}
+    assert notes == {("app", "Dockerfile"): None, ("app", "docker/gpu.Dockerfile"): "module pkg.serve is pkg/serve.py", ("lib", "Dockerfile"): "neither CMD nor ENTRYPOINT", ("lib", "(fallback)"): "setup.cfg declares a script in lib.cli", ("flat", "(fallback)"): "main.py at the repository root"}
+
+
 def test_scan_of_the_tree(spark):
     rows = {r.repo: r for r in plans.QUERIES["repository_scan"](spark, SF).collect()}
     assert (rows["app"].reachable_files, rows["app"].parse_errors, rows["app"].dynamic_imports, rows["app"].max_depth) == (3, 1, 1, 1)
