@@ -12,14 +12,17 @@ largest line hash seen under it, which also folds the copies of a line
 together; nearly all keys belong to one line.  A second pass keeps the rows of
 keys that two lines share, and texts are fetched for those lines alone.
 Candidates whose letter profiles differ too much are dropped inside the join,
-and the rest are verified there with Spark's edit distance, which computes only
-the band that the threshold leaves.
+and so are those that Spark's own thresholded edit distance rules out, so that
+a group of alike lines gives rise to its links alone; these are verified, and
+their distances found, by a banded bit-parallel edit distance.
 
 Lines are told apart by 128 bits: a 64-bit hash, a 32-bit hash and the length.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,6 +86,54 @@ def _profile() -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(len(_LETTERS) - 1)), F.lit(0).cast("long"), add)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def banded_distance(a: Column, b: Column, threshold: int) -> Column:
+    """Edit distance of two texts whose lengths differ by at most ``threshold``; more than that if it exceeds ``threshold``.
+
+    The cells of a column within ``threshold`` rows of the diagonal are one word of
+    2 * threshold + 1 bits for vertical steps up and one for steps down; a
+    character of the shorter text moves the whole word along the diagonal.  The
+    longer text must have at least ``threshold`` characters.
+    """
+    k, width = threshold, 2 * threshold + 1
+    mask = F.lit((1 << width) - 1).cast("long")
+    invert = lambda x: x.bitwiseXOR(mask)
+    bit = lambda x, r: F.call_function("shiftright", x, r).bitwiseAND(F.lit(1))
+    longer, shorter = F.when(F.length(a) >= F.length(b), a).otherwise(b), F.when(F.length(a) >= F.length(b), b).otherwise(a)
+    # four bytes a character, with characters that match nothing around the longer text
+    pad = F.unhex(F.lit("FFFFFFFF" * k))
+    texts = F.struct(F.concat(pad, F.encode(longer, "UTF-32"), pad).alias("rows"), F.encode(shorter, "UTF-32").alias("columns"), F.length(longer).alias("m"), F.length(shorter).alias("n"))
+    start = F.struct(F.lit(((1 << k + 1) - 1) << k).cast("long").alias("up"), F.lit(0).cast("long").alias("down"), F.lit(k).alias("distance"))
+
+    def whole(t: Column) -> Column:
+        def step(state: Column, j: Column) -> Column:
+            up, down = state["up"], state["down"]
+
+            def matches(here: Column) -> Column:
+                return sum((F.when(F.substring(t["rows"], 4 * (j + r) + 1, F.lit(4)) == here, F.lit(1 << r)).otherwise(0) for r in range(width)), F.lit(0)).cast("long")
+
+            def moved(x: Column) -> Column:
+                diagonal = (((x.bitwiseAND(up) + up).bitwiseXOR(up)).bitwiseOR(x).bitwiseOR(down)).bitwiseAND(mask)
+                return _let(diagonal, lambda d: _let(down.bitwiseOR(invert(d.bitwiseOR(up))), lambda right: following(d, right)))
+
+            def following(diagonal: Column, right: Column) -> Column:
+                left, shifted = diagonal.bitwiseAND(up), F.shiftright(diagonal, 1)
+                # first along the band's lower edge, then along the last row
+                row = (t["m"] - 1 + k - j).cast("int")
+                change = F.when(j < t["m"] - k, 1 - bit(diagonal, F.lit(width - 1))).otherwise(bit(right, row) - bit(left, row))
+                return F.struct(left.bitwiseOR(invert(shifted.bitwiseOR(right))).alias("up"), shifted.bitwiseAND(right).alias("down"), (state["distance"] + change.cast("int")).alias("distance"))
+
+            return _let(F.substring(t["columns"], 4 * j + 1, F.lit(4)), lambda here: _let(matches(here), moved))
+
+        return F.when(t["n"] > 0, F.aggregate(F.sequence(F.lit(0), F.greatest(t["n"], F.lit(1)) - 1), start, step, lambda s: s["distance"])).otherwise(t["m"])
+
+    return _let(texts, whole)
+
+
 def edit_links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Links ``a < b`` (structs of h1 and h2) of the distinct ``lines(line, n_chars, h1, h2)`` within ``threshold`` edits, each once with its ``distance``.
 
@@ -100,10 +151,11 @@ def edit_links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     # of two lines of one length each probes the other; h2 starts with the length
     once = (F.shiftright(a["h2"], 32) < F.shiftright(b["h2"], 32)) | (a < b)
     close = F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= 2 * threshold
-    distance = F.levenshtein("line_a", "line_b", threshold)
-    # verified inside the join, so that it gives rise to links alone
-    found = side(False, "a").join(side(True, "b"), "key").filter((a != b) & once & close & (distance >= 0))
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), distance.alias("distance")).distinct()
+    near = F.levenshtein("line_a", "line_b", threshold) >= 0
+    found = side(False, "a").join(side(True, "b"), "key").filter((a != b) & once & close & near)
+    pairs = found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.first("line_a").alias("line_a"), F.first("line_b").alias("line_b"))
+    distance = banded_distance(F.col("line_a"), F.col("line_b"), threshold)
+    return materialize(pairs.select("a", "b", distance.alias("distance"))).filter(F.col("distance") <= threshold)
 
 
 def line_decisions(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", min_chars: int = MIN_CHARS, threshold: int = THRESHOLD) -> DataFrame:
