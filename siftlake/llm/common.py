@@ -6,17 +6,21 @@ from collections.abc import Callable, Iterator, Set
 from typing import Generic, TypeVar
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from ..storage import BROADCAST_ROWS, bounded, materialize, shared_dir
 
-__all__ = ["BROADCAST_BYTES", "BROADCAST_ROWS", "Cache", "bounded", "fresh", "materialize", "read_bytes", "resident", "shared_dir", "ship", "slices", "table", "utf8"]
+__all__ = ["BROADCAST_BYTES", "BROADCAST_ROWS", "Cache", "bounded", "fresh", "materialize", "read_bytes", "resident", "shared_dir", "ship", "table", "text_slices", "with_text"]
 
 #: Largest payload that is ever put into a broadcast, in bytes.
 BROADCAST_BYTES = 64 << 20
 #: Text bytes handled at once inside a Python worker.
 SLICE_BYTES = 4 << 20
 
+#: Chunks that are learned at once.
+_LEARN = 1 << 14
+
 T = TypeVar("T")
 
 _resident: dict[object, object] = {}
@@ -50,8 +54,9 @@ class Cache(Generic[T]):
         if new:
             known = new.intersection(old)
             young.update((k, old[k]) for k in known)
-            if len(known) < len(new):
-                young.update(learn(list(new.difference(known))))
+            rest = list(new.difference(known))
+            for i in range(0, len(rest), _LEARN):
+                young.update(learn(rest[i : i + _LEARN]))
         return young
 
 
@@ -75,22 +80,24 @@ def read_bytes(path: str) -> bytes:
         return f.read()
 
 
-def utf8(column: pa.Array) -> list[bytes | None]:
-    """The column's strings as UTF-8 bytes."""
-    return column.cast(pa.large_binary()).to_pylist()
-
-
-def slices(values: list[bytes | None], n_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Consecutive ranges of ``values`` holding about ``n_bytes`` each (one long value is a range of its own)."""
+def text_slices(column: pa.Array, n_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, int, list[bytes | None]]]:
+    """Consecutive ranges of a column of strings with about ``n_bytes`` of UTF-8 each (a longer text is a range of its own), and their texts."""
+    binary = column.cast(pa.large_binary())
+    sizes = pc.fill_null(pc.binary_length(binary), 0).to_numpy(zero_copy_only=False)
     start = total = 0
-    for i, v in enumerate(values):
-        size = len(v) if v else 0
+    for i, size in enumerate(sizes.tolist()):
         if i > start and total + size > n_bytes:
-            yield start, i
+            yield start, i, binary.slice(start, i - start).to_pylist()
             start, total = i, 0
         total += size
-    if start < len(values):
-        yield start, len(values)
+    if start < len(sizes):
+        yield start, len(sizes), binary.slice(start).to_pylist()
+
+
+def with_text(keep: tuple[str, ...], text_column: str) -> tuple[list[str], int]:
+    """The columns to hand to Python, each once, and where the text is among them."""
+    columns = list(keep) if text_column in keep else [*keep, text_column]
+    return columns, columns.index(text_column)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

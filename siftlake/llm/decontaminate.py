@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import resident, ship, slices, utf8
+from .common import resident, ship, text_slices
 
 WINDOW = 10
 #: UTF-8 bytes of benchmark text that one automaton holds; a larger benchmark is streamed through in blocks.
@@ -220,9 +220,8 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, *, keep: tuple[str, ..
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton = _automaton(shipped, window)
             for batch in batches:
-                texts = utf8(batch.column(k))
-                for a, b in slices(texts):
-                    docs_words = [words_of(t) for t in texts[a:b]]
+                for a, b, texts in text_slices(batch.column(k)):
+                    docs_words = [words_of(t) for t in texts]
                     found = automaton.scan(docs_words)
                     old = zip(batch.column(k + 1).slice(a, b - a).to_pylist(), batch.column(k + 2).slice(a, b - a).to_pylist(), strict=True)
                     merged = [(_union([*spans, *zip(h[::2], h[1::2], strict=True)]) if h else spans, sorted(items.union(n or ()))) for (spans, items), (h, n) in zip(found, old, strict=True)]
@@ -237,7 +236,7 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, *, keep: tuple[str, ..
                     extra = []
                     if with_text:
                         clean = []
-                        for t, m in zip(texts[a:b], merged, strict=True):
+                        for t, m in zip(texts, merged, strict=True):
                             long = [s for s in m[0] if s[1] - s[0] >= span_limit]
                             clean.append(cut(t, long).decode() if long else None if t is None else t.decode())
                         columns += [pa.array(clean, pa.string()), pa.array([h > coverage_limit * w for h, w in zip(n_hit, n_words, strict=True)], pa.bool_())]

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, bounded, materialize, resident, ship, slices, utf8
+from .common import BROADCAST_BYTES, bounded, materialize, resident, ship, text_slices
 
 ORDER = 5
 UNIT = 1 << 20
@@ -145,10 +145,10 @@ def count_grams(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.string()), pa.array(n, pa.int64()), pa.array(n_docs, pa.int64())], names=["lang", "gram", "c", "n_docs"])
 
         for batch in batches:
-            langs, texts = batch.column(0).to_pylist(), utf8(batch.column(1))
-            for a, b in slices(texts, _SLICE_BYTES):
+            langs = batch.column(0).to_pylist()
+            for a, b, texts in text_slices(batch.column(1), _SLICE_BYTES):
                 by_lang: dict[str, list[bytes]] = {}
-                for lang, t in zip(langs[a:b], texts[a:b], strict=True):
+                for lang, t in zip(langs[a:b], texts, strict=True):
                     if t and (words := t.split()):
                         by_lang.setdefault(lang, []).append(_stream(words))
                 for lang, streams in by_lang.items():
@@ -367,10 +367,10 @@ def _measure(docs: DataFrame, keep: list[str], model: DataFrame, broadcast_bytes
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model = _model_of(shipped)
             for batch in batches:
-                langs, texts = batch.column(n_keep).to_pylist(), utf8(batch.column(n_keep + 1))
-                for a, b in slices(texts, _SLICE_BYTES):
-                    words = [t.split() if t else [] for t in texts[a:b]]
-                    base = [base_counts(t, w) for t, w in zip(texts[a:b], words, strict=True)]
+                langs = batch.column(n_keep).to_pylist()
+                for a, b, texts in text_slices(batch.column(n_keep + 1), _SLICE_BYTES):
+                    words = [t.split() if t else [] for t in texts]
+                    base = [base_counts(t, w) for t, w in zip(texts, words, strict=True)]
                     nll, events = [0] * (b - a), [0] * (b - a)
                     by_lang: dict[str, list[int]] = {}
                     for i, w in enumerate(words):
@@ -401,14 +401,13 @@ def _measure_by_join(docs: DataFrame, keep: list[str], kept: str, model: DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = utf8(batch.column(n_keep + 1))
-            for a, b in slices(texts, _SLICE_BYTES):
-                words = [t.split() if t else [] for t in texts[a:b]]
-                base = [base_counts(t, w) for t, w in zip(texts[a:b], words, strict=True)]
+            for a, b, texts in text_slices(batch.column(n_keep + 1), _SLICE_BYTES):
+                words = [t.split() if t else [] for t in texts]
+                base = [base_counts(t, w) for t, w in zip(texts, words, strict=True)]
                 grams = [_grams_of(_stream(w)) for w in words]
                 columns = [batch.column(i).slice(a, b - a) for i in range(n_keep + 1)]
                 columns += [pa.array(x, pa.int64()) for x in zip(*base, strict=True)]
-                columns += [pa.array([list(g) for g in grams], pa.list_(pa.string())), pa.array([list(g.values()) for g in grams], pa.list_(pa.int64())), pa.array([xxhash.xxh3_128_hexdigest(t or b"") for t in texts[a:b]])]
+                columns += [pa.array([list(g) for g in grams], pa.list_(pa.string())), pa.array([list(g.values()) for g in grams], pa.list_(pa.int64())), pa.array([xxhash.xxh3_128_hexdigest(t or b"") for t in texts])]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, "lang", *_BASE_NAMES, "grams", "ns", "digest"])
 
     split = materialize(docs.select(*keep, "lang", "text").mapInArrow(run, f"{kept}, lang string, {_BASE}, grams array<string>, ns array<long>, digest string"))

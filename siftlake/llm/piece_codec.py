@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, read_bytes, resident, ship, slices, utf8
+from .common import Cache, read_bytes, resident, ship, text_slices, with_text
 
 _MARK = "▁"
 _MARK_UTF8 = _MARK.encode()
@@ -32,6 +32,27 @@ _SEGMENT = re.compile(rb" +[^ ]*")
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 
 
+def _repaired(run: bytes) -> bytes:
+    """UTF-8 with a replacement character for each byte that is part of no character."""
+    try:
+        run.decode()
+        return run
+    except UnicodeDecodeError:
+        pass
+    out, i = [], 0
+    while i < len(run):
+        lead = run[i]
+        n = 1 if lead < 0xC0 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
+        try:
+            run[i : i + n].decode()
+            out.append(run[i : i + n])
+            i += n
+        except UnicodeDecodeError:
+            out.append("\ufffd".encode())
+            i += 1
+    return b"".join(out)
+
+
 class PieceCodec:
     def __init__(self, model: bytes, cache_size: int = 500_000):
         import sentencepiece
@@ -101,8 +122,10 @@ class PieceCodec:
         return ids
 
     def decode(self, ids: list[int]) -> str:
-        """Text of any ids: control pieces vanish, runs of byte pieces become characters, one leading space goes."""
-        return self._decode(ids).removeprefix(b" ").decode()
+        """Text of any ids: control pieces vanish, byte pieces become characters, the space of a first ordinary piece goes."""
+        first = next((i for i in ids if self.kinds[i] != _CONTROL), None)
+        text = self._decode(ids)
+        return (text[1:] if first is not None and self.kinds[first] == _NORMAL and self.pieces[first].startswith(_MARK) else text).decode()
 
     def _decode(self, ids: list[int]) -> bytes:
         out: list[bytes] = []
@@ -112,13 +135,13 @@ class PieceCodec:
                 run.append(self.byte_of[i])
                 continue
             if run:
-                out.append(run.decode(errors="replace").encode())
+                out.append(_repaired(bytes(run)))
                 run = bytearray()
             if self.kinds[i] == _UNKNOWN:
                 out.append(" ⁇ ".encode())
             elif self.kinds[i] == _NORMAL:
                 out.append(self.pieces[i].replace(_MARK, " ").encode())
-        out.append(run.decode(errors="replace").encode())
+        out.append(_repaired(bytes(run)))
         return b"".join(out)
 
     def _learn(self, keys: list[bytes]) -> dict[bytes, bytes]:
@@ -190,15 +213,15 @@ def encode_decode(docs: DataFrame, model_path: str, *, text_column: str = "text"
         model = shipped.value
         codec = resident((PieceCodec, hash(model)), lambda: PieceCodec(model))
         for batch in batches:
-            texts = utf8(batch.column(len(keep)))
-            for a, b in slices(texts):
-                done = codec.run(texts[a:b])
+            for a, b, texts in text_slices(batch.column(at)):
+                done = codec.run(texts)
                 if check == "texts":
-                    codec.check_texts(texts[a:b], done)
+                    codec.check_texts(texts, done)
                 columns = [batch.column(i).slice(a, b - a) for i in range(len(keep))]
                 columns += [pa.array([made[o](*d) for d in done], kinds[o][1]) for o in outputs]
                 yield pa.RecordBatch.from_arrays(columns, names=[*(f"k{i}" for i in range(len(keep))), *outputs])
 
+    handed, at = with_text(keep, text_column)
     schema = ", ".join([*(f"k{i} {docs.schema[k].dataType.simpleString()}" for i, k in enumerate(keep)), *(f"{o} {kinds[o][0]}" for o in outputs)])
-    rows = docs.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keep)), F.col(text_column).cast("string").alias("text_in"))
+    rows = docs.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(handed)))
     return rows.mapInArrow(run, schema).select(*(F.col(f"k{i}").alias(k) for i, k in enumerate(keep)), *outputs)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, utf8
+from .common import materialize, text_slices
 
 # Byte classes that are counted (non-ASCII characters by their first byte).
 _CLASSES = {
@@ -161,7 +161,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [statistics(t) for t in utf8(batch.column(1))]
+            rows = [statistics(t) for _, _, texts in text_slices(batch.column(1)) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["id", "x"])
 
     measured = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")).mapInArrow(measure, f"id {id_type}, x array<double>")

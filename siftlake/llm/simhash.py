@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, utf8
+from .common import materialize, text_slices, with_text
 from .components import components
 
 THRESHOLD = 3
@@ -61,12 +61,13 @@ def fingerprints(docs: DataFrame, *, width: int = 3, keep: tuple[str, ...] = ("d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = b"".join(fingerprint(t, width) for t in utf8(batch.column(len(keep))))
+            prints = b"".join(fingerprint(t, width) for _, _, texts in text_slices(batch.column(at)) for t in texts)
             columns = [batch.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(np.frombuffer(prints, dtype=">i8").astype(np.int64))], names=[*(f"k{i}" for i in range(len(keep))), "fp"])
 
+    handed, at = with_text(keep, text_column)
     schema = ", ".join([*(f"k{i} {docs.schema[k].dataType.simpleString()}" for i, k in enumerate(keep)), "fp long"])
-    rows = docs.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keep)), F.col(text_column).cast("string").alias("text_in"))
+    rows = docs.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(handed)))
     return rows.mapInArrow(run, schema).select(*(F.col(f"k{i}").alias(k) for i, k in enumerate(keep)), "fp")
 
 
