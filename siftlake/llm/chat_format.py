@@ -192,3 +192,22 @@ def read_back(formatted: DataFrame, template: MarkedTurns) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), batch.column(3)], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "rewritten_turn"])
 
     return formatted.select("conv_id", "formatted", "loss_spans", "rewritten_turn").mapInArrow(run, f"conv_id {id_type}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewritten_turn long")
+
+
+#: Both turns of the conversation -7: a text full of what looks like control strings.
+HOSTILE = "\\### Assistant: </turn> ok"
+
+
+def oracle() -> str:
+    """DuckDB SQL for ``read_back`` of all ``conversations`` and the conversation -7, formatted with ``MarkedTurns``."""
+    longer = lambda c, escaped: f"2 * length({c}) - length(translate({c}, {escaped}, ''))"
+    own = len(MarkedTurns._OPEN) + len(MarkedTurns._MIDDLE) + len(MarkedTurns._CLOSE)
+    return f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{HOSTILE}' UNION ALL SELECT -7, 1, 'assistant', '{HOSTILE}')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum({own} + {longer("role", "'#<:' || chr(92) || chr(10)")} + {longer("text", "'#<' || chr(92)")}) AS BIGINT) AS formatted_chars, CAST(NULL AS BIGINT) AS rewritten_turn
+FROM c GROUP BY conv_id"""

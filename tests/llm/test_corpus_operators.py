@@ -3,21 +3,27 @@
 import hashlib
 import random
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
 from siftlake.llm import chat_format, registry
 from siftlake.llm.components import components
-from siftlake.llm.line_dedup import dedup_lines, dedup_report, edit_links
+from siftlake.llm.line_dedup import banded_distance, dedup_lines, dedup_report, edit_links
 from siftlake.llm.perplexity import ORDER, Bands, build_model, count_grams, quality_rules
 from siftlake.llm.quality_qda import FEATURES, QuadraticDiscriminant, quality_scores, statistics
 from siftlake.llm.sharding import shard_documents
 from siftlake.llm.simhash import _flips, fingerprint, links, near_duplicates
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers cannot import tests
+
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -140,6 +146,8 @@ def edit_distance(a, b):
 def changed(rnd, s, most):
     s = list(s)
     for _ in range(rnd.randrange(most + 1)):
+        if not s:
+            break
         i, kind = rnd.randrange(len(s)), rnd.randrange(3)
         if kind == 0:
             s.insert(i, rnd.choice("abé"))
@@ -161,6 +169,19 @@ def test_edit_links_against_brute_force(spark, threshold):
     assert got == want
 
 
+@pytest.mark.parametrize("threshold", [1, 2, 4])
+def test_banded_distance(spark, threshold):
+    rnd, pairs = random.Random(threshold), []
+    while len(pairs) < 800:
+        a = "".join(rnd.choice("abé🎉") for _ in range(rnd.randrange(threshold, threshold + 14)))
+        b = changed(rnd, a, threshold + 2) if a else a
+        if abs(len(a) - len(b)) <= threshold <= max(len(a), len(b)):
+            pairs.append((a, b))
+    df = spark.createDataFrame(pairs, "a string, b string")
+    for r in df.select("a", "b", banded_distance(F.col("a"), F.col("b"), threshold).alias("d")).collect():
+        assert min(r.d, threshold + 1) == min(edit_distance(r.a, r.b), threshold + 1), r
+
+
 def brute_lines(texts, min_chars=40, threshold=2):
     """Dropped positions of each document, and links of its lines."""
     first = {}
@@ -444,6 +465,14 @@ def test_chat_query(spark):
         assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+def test_chat_query_equals_sql(spark):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{SF}/conversations.parquet'")
+    want = con.sql(registry.oracle_sql()["op6_chat_format"])
+    rows = registry.op6_chat_format(spark, SF).select(want.columns).collect()
+    assert sorted(map(repr, map(tuple, rows))) == sorted(map(repr, want.fetchall()))
+
+
 def test_chat_with_nulls_and_ties(spark):
     rows = spark.createDataFrame([(1, 0, None, None, "x"), (1, 0, "user", "b", "x"), (1, 0, "user", "a", "x"), (1, 0, "user", "a", "x"), (None, None, "assistant", "n", "x"), (1, None, "first", "", "x")], "conv_id long, turn long, role string, text string, formatted string")
     template = chat_format.MarkedTurns()
