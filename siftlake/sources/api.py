@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar, text
 from ..operators import statistics
+from ..storage import on_workers
 
 Transport = Callable[[str], tuple[int, dict[str, str], str]]
 
@@ -67,7 +68,7 @@ def fetch(repos: DataFrame, client: Client, path: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["repo", "status", "link", "body"])
 
     parts = scalar.owner_and_name(F.col("repo"))
-    return repos.select("repo", parts["owner"].alias("owner"), parts["name"].alias("name")).mapInPandas(run, "repo string, status int, link string, body string")
+    return on_workers(repos.select("repo", parts["owner"].alias("owner"), parts["name"].alias("name"))).mapInPandas(run, "repo string, status int, link string, body string")
 
 
 def fetch_pages(repos: DataFrame, client: Client, path: str, page_size: int = 100, max_pages: int = 10) -> DataFrame:
@@ -88,7 +89,7 @@ def fetch_pages(repos: DataFrame, client: Client, path: str, page_size: int = 10
                         break
 
     parts = scalar.owner_and_name(F.col("repo"))
-    return repos.select("repo", parts["owner"].alias("owner"), parts["name"].alias("name")).mapInPandas(run, "repo string, page int, body string")
+    return on_workers(repos.select("repo", parts["owner"].alias("owner"), parts["name"].alias("name"))).mapInPandas(run, "repo string, page int, body string")
 
 
 def repository_metrics(repos: DataFrame, client: Client) -> DataFrame:

@@ -10,6 +10,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..storage import on_workers
+
 FILES = "repo string, status string, detail string, path string, content string"
 _SIGNS = ("fatal:", "error:", "not found", "could not", "denied", "rate limit")
 
@@ -60,4 +62,4 @@ def checkout(repos: DataFrame, *, suffixes: tuple[str, ...] = (), token: str | N
                     rows = [(repo, "clone_failed", failed, None, None)] if failed else list(files(repo, os.path.join(folder, "r")))
                 yield pd.DataFrame(rows, columns=["repo", "status", "detail", "path", "content"])
 
-    return repos.select("repo").distinct().mapInPandas(run, FILES)
+    return on_workers(repos.select("repo").distinct()).mapInPandas(run, FILES)

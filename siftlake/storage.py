@@ -1,8 +1,10 @@
-"""Intermediate tables in the folder that all executors share."""
+"""What executors share: intermediate tables, and this package's code."""
 
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -49,6 +51,17 @@ def _remove_scratch() -> None:
             return
 
 
+def on_workers(df: DataFrame) -> DataFrame:
+    """``df``, once its Python workers can import this package: it is sent to the executors at the first call in an application."""
+    sc = df.sparkSession.sparkContext
+    if not getattr(sc, "_has_siftlake", False):
+        package = os.path.dirname(os.path.abspath(__file__))
+        archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="siftlake-code-"), "siftlake-code"), "zip", os.path.dirname(package), os.path.basename(package))
+        sc.addPyFile(archive)
+        sc._has_siftlake = True
+    return df
+
+
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint ``df`` to broadcast if a count proves that it has at most ``rows`` rows; else leave the join to Spark."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
