@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import on_workers
+
 Turn = tuple[str, str]
 
 
@@ -172,7 +174,7 @@ def format_conversations(rows: DataFrame, template: Template, *, loss_role: str
             yield flush()
 
     ordered = rows.select("conv_id", "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.select("conv_id", "role", "text").mapInArrow(run, f"conv_id {id_type}, formatted string, spans array<array<long>>, loss_spans array<array<long>>, rewritten_turn long")
+    return on_workers(ordered.select("conv_id", "role", "text")).mapInArrow(run, f"conv_id {id_type}, formatted string, spans array<array<long>>, loss_spans array<array<long>>, rewritten_turn long")
 
 
 def read_back(formatted: DataFrame, template: MarkedTurns) -> DataFrame:
@@ -191,7 +193,7 @@ def read_back(formatted: DataFrame, template: MarkedTurns) -> DataFrame:
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), batch.column(3)], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "rewritten_turn"])
 
-    return formatted.select("conv_id", "formatted", "loss_spans", "rewritten_turn").mapInArrow(run, f"conv_id {id_type}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewritten_turn long")
+    return on_workers(formatted.select("conv_id", "formatted", "loss_spans", "rewritten_turn")).mapInArrow(run, f"conv_id {id_type}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewritten_turn long")
 
 
 #: Both turns of the conversation -7: a text full of what looks like control strings.

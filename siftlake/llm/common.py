@@ -9,9 +9,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from ..storage import BROADCAST_ROWS, bounded, materialize, shared_dir
+from ..storage import BROADCAST_ROWS, bounded, materialize, on_workers, shared_dir
 
-__all__ = ["BROADCAST_BYTES", "BROADCAST_ROWS", "Cache", "bounded", "fresh", "materialize", "read_bytes", "resident", "shared_dir", "ship", "table", "text_slices", "with_text"]
+__all__ = ["BROADCAST_BYTES", "BROADCAST_ROWS", "Cache", "bounded", "fresh", "materialize", "on_workers", "read_bytes", "resident", "shared_dir", "ship", "table", "text_slices", "with_text"]
 
 #: Largest payload that is ever put into a broadcast, in bytes.
 BROADCAST_BYTES = 64 << 20

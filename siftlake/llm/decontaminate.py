@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import resident, ship, text_slices
+from .common import on_workers, resident, ship, text_slices
 
 WINDOW = 10
 #: UTF-8 bytes of benchmark text that one automaton holds; a larger benchmark is streamed through in blocks.
@@ -248,7 +248,7 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, *, keep: tuple[str, ..
     for i, shipped in enumerate(parts):
         last = i == len(parts) - 1
         tail = ["n_words long", "n_hit long", "items array<string>", *(["clean_text string", "over_coverage boolean"] if with_text else [])] if last else ["text_in string", "hits array<int>", "items array<string>"]
-        frame = frame.mapInArrow(step(shipped, last), ", ".join([*kept_schema, *tail]))
+        frame = on_workers(frame).mapInArrow(step(shipped, last), ", ".join([*kept_schema, *tail]))
     return frame.select(*(F.col(n).alias(c) for c, n in zip(keep, names, strict=True)), *(c for c in frame.columns if c not in names))
 
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, bounded, materialize, resident, ship, text_slices
+from .common import BROADCAST_BYTES, bounded, materialize, on_workers, resident, ship, text_slices
 
 ORDER = 5
 UNIT = 1 << 20
@@ -48,11 +48,13 @@ class Bands:
 
     They lie ``width`` times the distance from the median to the 10th and to the
     90th percentile away from the median, and at least ``least`` nats.  The percentiles are of all
-    documents that pass the base rules, to a hundredth of a nat.
+    documents that pass the base rules, to a hundredth of a nat.  A document of n
+    characters has ``noise`` / sqrt(n) nats more on either side, about three standard errors of its mean.
     """
 
     width: float = 6.0
     least: float = 1.0
+    noise: float = 4.0
 
 
 # ---------------------------------------------------------------- texts as arrays
@@ -165,7 +167,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
         for lang, counts in held.items():
             yield out(lang, *counts.rows())
 
-    return docs.select("lang", "text").mapInArrow(run, "lang string, gram string, c long, n_docs long").groupBy("lang", "gram").agg(F.sum("c").alias("c"), F.sum("n_docs").alias("n_docs"))
+    return on_workers(docs.select("lang", "text")).mapInArrow(run, "lang string, gram string, c long, n_docs long").groupBy("lang", "gram").agg(F.sum("c").alias("c"), F.sum("n_docs").alias("n_docs"))
 
 
 def _discounts(counts: DataFrame) -> DataFrame:
@@ -301,7 +303,7 @@ def collect_arrays(model: DataFrame) -> dict[str, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([entries[langs == lang].tobytes() for lang in names], pa.binary())], names=["lang", "entries"])
 
     found: dict[str, list[bytes]] = {}
-    for lang, entries in model.select("lang", "gram", F.col("logp").cast("int"), F.col("back").cast("int")).mapInArrow(pack, "lang string, entries binary").collect():
+    for lang, entries in on_workers(model.select("lang", "gram", F.col("logp").cast("int"), F.col("back").cast("int"))).mapInArrow(pack, "lang string, entries binary").collect():
         found.setdefault(lang, []).append(bytes(entries))
     arrays = {}
     for lang in sorted(found):
@@ -391,7 +393,7 @@ def _measure(docs: DataFrame, keep: list[str], model: DataFrame, broadcast_bytes
                     columns += [pa.array(x, pa.int64()) for x in (*zip(*base, strict=True), nll, events)]
                     yield pa.RecordBatch.from_arrays(columns, names=[*keep, "lang", *_BASE_NAMES, "nll", "n_events"])
 
-        return docs.select(*keep, "lang", "text").mapInArrow(run, f"{kept}, lang string, {_BASE}, nll long, n_events long")
+        return on_workers(docs.select(*keep, "lang", "text")).mapInArrow(run, f"{kept}, lang string, {_BASE}, nll long, n_events long")
     return _measure_by_join(docs, keep, kept, model)
 
 
@@ -410,7 +412,7 @@ def _measure_by_join(docs: DataFrame, keep: list[str], kept: str, model: DataFra
                 columns += [pa.array([list(g) for g in grams], pa.list_(pa.string())), pa.array([list(g.values()) for g in grams], pa.list_(pa.int64())), pa.array([xxhash.xxh3_128_hexdigest(t or b"") for t in texts])]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, "lang", *_BASE_NAMES, "grams", "ns", "digest"])
 
-    split = materialize(docs.select(*keep, "lang", "text").mapInArrow(run, f"{kept}, lang string, {_BASE}, grams array<string>, ns array<long>, digest string"))
+    split = materialize(on_workers(docs.select(*keep, "lang", "text")).mapInArrow(run, f"{kept}, lang string, {_BASE}, grams array<string>, ns array<long>, digest string"))
     pairs = split.select("lang", "digest", "grams", "ns").dropDuplicates(["lang", "digest"]).select("lang", "digest", F.explode(F.arrays_zip("grams", "ns")).alias("z")).select("lang", "digest", F.col("z.grams").alias("gram"), F.col("z.ns").alias("n"))
     pairs = materialize(pairs)
     score = materialize(pairs.select("lang", "gram").distinct()).withColumn("cost", F.lit(0).cast("long")).withColumn("done", F.lit(False))
@@ -463,6 +465,7 @@ def quality_rules(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), text_
     measured = _measure(rows, names, model, broadcast_bytes)
     measured = materialize(measured.withColumn("base_failed", failed).withColumn("mean_nll", F.coalesce(F.try_divide(F.col("nll").cast("double"), F.col("n_events") * F.lit(float(UNIT))), F.lit(0.0))))
     limits = bounded(materialize(perplexity_bands(measured, bands)))
-    judged = measured.join(limits, "lang", "left")
+    slack = F.coalesce(F.try_divide(F.lit(bands.noise), F.sqrt("n_events")), F.lit(0.0))
+    judged = measured.join(limits, "lang", "left").withColumns({"low": F.col("low") - slack, "high": F.col("high") + slack})
     kept = ~F.col("base_failed") & F.coalesce(F.col("mean_nll").between(F.col("low"), F.col("high")), F.lit(False))
     return judged.select(*(F.col(n).alias(c) for c, n in zip(keep, names, strict=True)), *_BASE_NAMES, "base_failed", kept.alias("kept"), F.col("lang").alias("model_lang"), "mean_nll", "low", "high")

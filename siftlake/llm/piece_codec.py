@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, read_bytes, resident, ship, text_slices, with_text
+from .common import Cache, on_workers, read_bytes, resident, ship, text_slices, with_text
 
 _MARK = "▁"
 _MARK_UTF8 = _MARK.encode()
@@ -224,4 +224,4 @@ def encode_decode(docs: DataFrame, model_path: str, *, text_column: str = "text"
     handed, at = with_text(keep, text_column)
     schema = ", ".join([*(f"k{i} {docs.schema[k].dataType.simpleString()}" for i, k in enumerate(keep)), *(f"{o} {kinds[o][0]}" for o in outputs)])
     rows = docs.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(handed)))
-    return rows.mapInArrow(run, schema).select(*(F.col(f"k{i}").alias(k) for i, k in enumerate(keep)), *outputs)
+    return on_workers(rows).mapInArrow(run, schema).select(*(F.col(f"k{i}").alias(k) for i, k in enumerate(keep)), *outputs)

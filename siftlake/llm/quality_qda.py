@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_slices
+from .common import materialize, on_workers, text_slices
 
 # Byte classes that are counted (non-ASCII characters by their first byte).
 _CLASSES = {
@@ -141,7 +141,7 @@ def _moments(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 parts += [np.array([len(own)], dtype=float), own.sum(axis=0), (own.T @ own).ravel()]
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(size), pa.int32()), pa.array(np.concatenate(parts))], names=["at", "value"])
 
-    added = dict(rows.mapInArrow(run, "at int, value double").groupBy("at").agg(F.sum("value")).collect())  # a fixed number of rows
+    added = dict(on_workers(rows).mapInArrow(run, "at int, value double").groupBy("at").agg(F.sum("value")).collect())  # a fixed number of rows
     flat = np.array([added.get(i, 0.0) for i in range(size)]).reshape(2, -1)
     return flat[:, 0], flat[:, 1 : 1 + d], flat[:, 1 + d :].reshape(2, d, d)
 
@@ -164,7 +164,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_
             rows = [statistics(t) for _, _, texts in text_slices(batch.column(1)) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["id", "x"])
 
-    measured = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")).mapInArrow(measure, f"id {id_type}, x array<double>")
+    measured = on_workers(docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))).mapInArrow(measure, f"id {id_type}, x array<double>")
     held_out = F.coalesce(F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(folds)) == 0, F.lit(False))
     measured = materialize(measured.withColumn("held_out", held_out))
     known = labels.filter(F.col(label_column).isin(0, 1)).groupBy(F.col(id_column).alias("id")).agg(F.min(label_column).cast("int").alias("label"))
@@ -175,4 +175,4 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_
             scores = fitted.score(np.array(batch.column(2).flatten()).reshape(-1, len(FEATURES)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= cut).astype(np.int32))], names=["id", "held_out", "score", "predicted"])
 
-    return measured.select("id", "held_out", "x").mapInArrow(judge, f"id {id_type}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_column)
+    return on_workers(measured.select("id", "held_out", "x")).mapInArrow(judge, f"id {id_type}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_column)

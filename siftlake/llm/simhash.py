@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_slices, with_text
+from .common import materialize, on_workers, text_slices, with_text
 from .components import components
 
 THRESHOLD = 3
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, *, width: int = 3, keep: tuple[str, ...] = ("d
     handed, at = with_text(keep, text_column)
     schema = ", ".join([*(f"k{i} {docs.schema[k].dataType.simpleString()}" for i, k in enumerate(keep)), "fp long"])
     rows = docs.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(handed)))
-    return rows.mapInArrow(run, schema).select(*(F.col(f"k{i}").alias(k) for i, k in enumerate(keep)), "fp")
+    return on_workers(rows).mapInArrow(run, schema).select(*(F.col(f"k{i}").alias(k) for i, k in enumerate(keep)), "fp")
 
 
 def _half(block: int) -> Column:

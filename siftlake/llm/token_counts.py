@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, read_bytes, resident, ship, text_slices
+from .common import Cache, on_workers, read_bytes, resident, ship, text_slices
 
 _NONE = np.int64(1) << 40
 _ASCII_SPACE = re.compile(rb"[\x20\x09-\x0D]+")
@@ -156,5 +156,5 @@ def token_counts(docs: DataFrame, tokenizer_path: str, *, id_column: str = "doc_
                 sizes += [len(t) if t else 0 for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64())], names=["id", "n_bytes", "n_tokens"])
 
-    counted = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, f"id {id_type}, n_bytes long, n_tokens long")
+    counted = on_workers(docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))).mapInArrow(run, f"id {id_type}, n_bytes long, n_tokens long")
     return counted.select(F.col("id").alias(id_column), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import on_workers
+
 # Fixed values: (host, path, verdict); a rule fits its host, all subdomains, and paths with its prefix.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 
@@ -107,7 +109,7 @@ def filter_urls(pages: DataFrame, *, id_column: str = "page_id", url_column: str
             kinds = [pa.string()] * 4 + [pa.int64()] * 2
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["id", "host", "path", "rule", "verdict", "n_strict", "n_soft"])
 
-    out = pages.select(F.col(id_column).alias("id"), F.col(url_column).cast("string").alias("url")).mapInArrow(run, f"id {id_type}, host string, path string, rule string, verdict string, n_strict long, n_soft long")
+    out = on_workers(pages.select(F.col(id_column).alias("id"), F.col(url_column).cast("string").alias("url"))).mapInArrow(run, f"id {id_type}, host string, path string, rule string, verdict string, n_strict long, n_soft long")
     return out.withColumnRenamed("id", id_column)
 
 

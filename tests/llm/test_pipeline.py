@@ -55,7 +55,8 @@ def expected(rows, items):
         bins = sorted(math.floor(c * 100) for c in cost.values())
         q = lambda x: bins[math.ceil(x * len(bins)) - 1] / 100  # noqa: B023, E731
         low, high = q(0.5) - max(1.0, 6 * (q(0.5) - q(0.1))), q(0.5) + max(1.0, 6 * (q(0.9) - q(0.5)))
-        docs += [r for r in ok if low <= cost[r[0]] <= high]
+        slack = lambda r: 4 / math.sqrt(len(grams_of(r[1])))
+        docs += [r for r in ok if low - slack(r) <= cost[r[0]] <= high + slack(r)]
     docs.sort()
     dropped, _ = brute_lines([r[1] for r in docs])
     left = [(r[0], "\n".join(x for k, x in enumerate(r[1].split("\n")) if k not in d), r[2]) for r, d in zip(docs, dropped, strict=True)]
