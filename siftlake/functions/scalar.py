@@ -247,6 +247,3 @@ def last_page(link_header: Column) -> Column:
     """Page number of the ``rel="last"`` entry of a Link header; null without one."""
     return blank_to_null(F.regexp_extract(link_header, r'[?&]page=([0-9]+)[^>]*>;\s*rel="last"', 1)).cast("long")
 
-
-def coalesce_first(*columns: Column) -> Column:
-    return F.coalesce(*columns)

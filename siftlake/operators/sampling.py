@@ -65,7 +65,8 @@ def budget_concat(items: DataFrame, keys: list[str], order: list[str], header: C
 
 def first_candidate(candidates: DataFrame, existing: DataFrame, keys: list[str], path: str = "path", ordinal: str = "ordinal") -> DataFrame:
     """For each key the candidate with the least ordinal that exists."""
-    found = candidates.join(existing.select(*[k for k in keys if k in existing.columns], path).distinct(), [*[k for k in keys if k in existing.columns], path])
+    shared = [*(k for k in keys if k in existing.columns), path]
+    found = candidates.join(existing.select(*shared).distinct(), shared)
     return found.groupBy(*keys).agg(F.min_by(F.struct(path, ordinal), ordinal).alias("__best")).select(*keys, "__best.*")
 
 

@@ -30,7 +30,7 @@ def write_per_repository(findings: DataFrame, path: str) -> None:
     findings.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo_key").json(path)
 
 
-def snapshot_json(snapshot: Column | None = None) -> Column:
+def snapshot_json() -> Column:
     """A snapshot row as JSON text."""
     return F.to_json(F.struct("repo", "entry_route", "entry_files", "stages_present", "analysis", "reachable_files", F.col("context_files").alias("rq2_context_files")))
 
