@@ -19,6 +19,8 @@ from siftlake.llm.piece_codec import encode_decode
 from siftlake.llm.simhash import near_duplicates
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Jaccard similarity of five-word shingles from which two documents are near-duplicates.
+SIMILARITY = 0.8
 
 #: SQL cannot express perplexities, line links or token ids; tests hold run() against a brute-force version.
 ORACLE_SQL = None
@@ -47,7 +49,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays; of rows that repeat it, one."""
-    groups = materialize(near_duplicates(docs, width=5).select("doc_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("first")))
+    groups = materialize(near_duplicates(docs, width=5, similarity=SIMILARITY).select("doc_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("first")))
     goes = materialize(groups.filter("not first").select("doc_id").distinct())
     left = docs.join(bounded(goes), docs["doc_id"].eqNullSafe(goes["doc_id"]), "left_anti").select(*COLUMNS)
     repeated = materialize(groups.filter("first and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"))

@@ -7,10 +7,18 @@ anchor (the covering radius).  A fingerprint is kept at its home anchor and
 replicated to every anchor within covering radius plus threshold, 2 bits, which
 are at most 17; whoever is within one bit of it has a home among them.  Homes
 and replicas are compared per anchor on all 64 bits.
+
+Three bits cover (almost) exact copies alone: at a shingle Jaccard similarity of
+0.8 about ten bits differ.  With ``similarity`` given, all pairs of texts that
+reach it are linked as well, by an exact prefix join: of two sets that are
+similar enough, the least ``n - ceil(similarity * n) + 1`` shingle hashes of
+each have one in common.  Candidates are bounded by the number of hashes they
+share there, and what is left is verified on the whole sets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
@@ -20,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, on_workers, text_slices, with_text
+from .common import bounded, fresh, materialize, on_workers, text_slices, with_text
 from .components import components
 
 THRESHOLD = 3
@@ -43,32 +51,101 @@ def _flips(syndrome: int) -> list[int]:
     return found
 
 
-def fingerprint(text: bytes | None, width: int = 3) -> bytes:
-    """Eight bytes: a bit is 1 if set in over half of the hashes of all ``width``-word shingles."""
+def _hashes(text: bytes | None, width: int) -> np.ndarray:
+    """The eight hash bytes of each ``width``-word shingle, one row a shingle; a shorter text is one shingle."""
     words = text.lower().split() if text else []
     if not words:
-        return bytes(8)
+        return np.zeros((0, 8), dtype=np.uint8)
     shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)) if len(words) >= width else [b" ".join(words)]
-    hashes = np.frombuffer(b"".join(map(xxhash.xxh64_digest, shingles, repeat(42))), dtype=np.uint8).reshape(-1, 8)
+    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, shingles, repeat(42))), dtype=np.uint8).reshape(-1, 8)
+
+
+def _majority(hashes: np.ndarray) -> bytes:
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, len(hashes), _CHUNK):
         ones += np.unpackbits(hashes[i : i + _CHUNK], axis=1).sum(axis=0, dtype=np.int64)
     return np.packbits(2 * ones > len(hashes)).tobytes()
 
 
-def fingerprints(docs: DataFrame, *, width: int = 3, keep: tuple[str, ...] = ("doc_id",), text_column: str = "text") -> DataFrame:
-    """The ``keep`` columns and ``fp``, the fingerprint as a long, for every row of ``docs``."""
+def fingerprint(text: bytes | None, width: int = 3) -> bytes:
+    """Eight bytes: a bit is 1 if set in over half of the hashes of all ``width``-word shingles."""
+    return _majority(_hashes(text, width))
+
+
+def _set_of(hashes: np.ndarray) -> tuple[int, np.ndarray]:
+    """The sorted distinct shingle hashes, and a hash that names the set."""
+    own = np.unique(hashes.reshape(-1).view(np.int64))
+    return xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63), own
+
+
+def fingerprints(docs: DataFrame, *, width: int = 3, keep: tuple[str, ...] = ("doc_id",), text_column: str = "text", similarity: float | None = None) -> DataFrame:
+    """The ``keep`` columns and ``fp``, the fingerprint as a long, for every row of ``docs``.
+
+    With ``similarity`` also ``s``, which names the set of shingles, ``n``, its size, and ``prefix``, its least hashes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = b"".join(fingerprint(t, width) for _, _, texts in text_slices(batch.column(at)) for t in texts)
-            columns = [batch.column(i) for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.frombuffer(prints, dtype=">i8").astype(np.int64))], names=[*(f"k{i}" for i in range(len(keep))), "fp"])
-
+            prints, names, sizes, prefixes = [], [], [], [np.zeros(0, dtype=np.int64)]
+            for _, _, texts in text_slices(batch.column(at)):
+                for t in texts:
+                    hashes = _hashes(t, width)
+                    prints.append(_majority(hashes))
+                    if similarity is not None:
+                        name, own = _set_of(hashes)
+                        names.append(name)
+                        sizes.append(len(own))
+                        prefixes.append(own[: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1])
+            columns = [*(batch.column(i) for i in range(len(keep))), pa.array(np.frombuffer(b"".join(prints), dtype=">i8").astype(np.int64))]
+            if similarity is not None:
+                ends = np.cumsum([len(x) for x in prefixes]).astype(np.int32)
+                columns += [pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes)))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*(f"k{i}" for i in range(len(keep))), "fp", *more])
+
+    more = [] if similarity is None else ["s", "n", "prefix"]
     handed, at = with_text(keep, text_column)
-    schema = ", ".join([*(f"k{i} {docs.schema[k].dataType.simpleString()}" for i, k in enumerate(keep)), "fp long"])
+    schema = ", ".join([*(f"k{i} {docs.schema[k].dataType.simpleString()}" for i, k in enumerate(keep)), "fp long", *([] if similarity is None else ["s long", "n long", "prefix array<long>"])])
     rows = docs.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(handed)))
-    return on_workers(rows).mapInArrow(run, schema).select(*(F.col(f"k{i}").alias(k) for i, k in enumerate(keep)), "fp")
+    return on_workers(rows).mapInArrow(run, schema).select(*(F.col(f"k{i}").alias(k) for i, k in enumerate(keep)), "fp", *more)
+
+
+def _shingle_sets(docs: DataFrame, width: int, text_column: str) -> DataFrame:
+    """``s, own``: each distinct set of shingle hashes once, by its name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, texts in text_slices(batch.column(0)):
+                sets = [_set_of(_hashes(t, width)) for t in texts]
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in sets], pa.int64()), pa.array([own for _, own in sets], pa.list_(pa.int64()))], names=["s", "own"])
+
+    return on_workers(docs.select(text_column)).mapInArrow(run, "s long, own array<long>").dropDuplicates(["s"])
+
+
+def similar_links(docs: DataFrame, prints: DataFrame, *, width: int, similarity: float, content: str, text_column: str = "text") -> DataFrame:
+    """Pairs ``u < v`` of the fingerprints of texts whose sets of shingles have a Jaccard similarity of ``similarity`` or more.
+
+    ``prints(content, fp, s, n, prefix)`` are those of ``docs(content, text)``.  Pairs that ``links`` finds anyway are left out.
+    """
+    facts = ["fp", "s", "n", "p", "last"]
+    rows = prints.filter("n > 0").select("fp", "s", "n", F.size("prefix").alias("p"), F.element_at("prefix", -1).alias("last"), F.explode("prefix").alias("key"))
+    live = rows.groupBy("key").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).filter("least < most").select("key")
+    met = materialize(rows.join(bounded(materialize(live)), "key", "left_semi").distinct())
+    u, v = (met.select("key", *(F.col(x).alias(f"{x}_{side}") for x in facts)) for side in "uv")
+    sizes = (F.col("n_u") >= F.col("n_v") * similarity - 1e-9) & (F.col("n_v") >= F.col("n_u") * similarity - 1e-9)
+    far = F.bit_count(F.col("fp_u").bitwiseXOR(F.col("fp_v"))) > THRESHOLD
+    both = u.join(v, "key").filter((F.col("fp_u") < F.col("fp_v")) & sizes & far)
+    both = both.groupBy(*(f"{x}_{side}" for side in "uv" for x in facts)).agg(F.count("*").alias("shared"))
+    # of the set whose prefix ends first, hashes of the prefix that are not shared there are not shared at all
+    rest = F.when(F.col("last_u") <= F.col("last_v"), F.col("n_u") - F.col("p_u")).otherwise(F.col("n_v") - F.col("p_v"))
+    both = both.filter(F.col("shared") + rest >= (F.col("n_u") + F.col("n_v")) * (similarity / (1 + similarity)) - 1e-6)
+    both = materialize(both.select("fp_u", "fp_v", "s_u", "s_v", "n_u", "n_v"))
+    wanted = both.select(F.col("s_u").alias("s")).union(both.select(F.col("s_v").alias("s"))).distinct()
+    texts = materialize(prints.join(bounded(materialize(wanted)), "s", "left_semi").groupBy("s").agg(F.min(content).alias(content)).select(content))
+    sets = materialize(_shingle_sets(docs.join(bounded(texts), content, "left_semi"), width, text_column))
+    of = lambda side: sets.select(F.col("s").alias(f"s_{side}"), F.col("own").alias(f"own_{side}"))
+    common = F.size(F.array_intersect("own_u", "own_v"))
+    verified = both.join(of("u"), "s_u").join(of("v"), "s_v").withColumn("common", common)
+    return verified.filter(F.col("common") / (F.col("n_u") + F.col("n_v") - F.col("common")) >= similarity).select(F.col("fp_u").alias("u"), F.col("fp_v").alias("v")).distinct()
 
 
 def _half(block: int) -> Column:
@@ -105,18 +182,24 @@ def links(prints: DataFrame) -> DataFrame:
     return pairs.select("u", "v")
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, width: int = 3, id_column: str = "doc_id", text_column: str = "text", similarity: float | None = None) -> DataFrame:
     """``id, fingerprint, component_id`` for every row of ``docs``.
 
     ``component_id`` is the smallest id reachable over links of at most three
-    differing bits.  Texts without words (null, empty, white space) have
+    differing bits and, with ``similarity``, of at least that Jaccard similarity
+    of the texts' shingles.  Texts without words (null, empty, white space) have
     fingerprint zero and link like any other; repeated rows each give a row;
     null ids take part but never name a component that has another id; other
     columns are not read; an empty table gives an empty result.
     """
-    prints = materialize(fingerprints(docs, width=width, keep=(id_column,), text_column=text_column))
+    content = fresh(docs, "content")
+    docs = docs.withColumn(content, F.xxhash64(text_column))
+    prints = materialize(fingerprints(docs, width=width, keep=(id_column, content), text_column=text_column, similarity=similarity))
     nodes = materialize(prints.groupBy("fp").agg(F.min(id_column).alias("first_id")))
-    roots = materialize(components(links(nodes.select("fp"))))
+    near = links(nodes.select("fp"))
+    if similarity is not None:
+        near = near.union(similar_links(docs, prints, width=width, similarity=similarity, content=content, text_column=text_column))
+    roots = materialize(components(near))
     rooted = materialize(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = materialize(rooted.join(named, "root").select("fp", "component_id"))
