@@ -16,7 +16,7 @@ from siftlake.llm.decontaminate import scan_documents
 from siftlake.llm.line_dedup import dedup_lines
 from siftlake.llm.perplexity import quality_rules
 from siftlake.llm.piece_codec import encode_decode
-from siftlake.llm.simhash import near_duplicates
+from siftlake.llm.simhash import near_classes
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Jaccard similarity of five-word shingles from which two documents are near-duplicates.
@@ -48,15 +48,27 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays; of rows that repeat it, one."""
-    groups = materialize(near_duplicates(docs, width=5, similarity=SIMILARITY).select("doc_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("first")))
-    goes = materialize(groups.filter("not first").select("doc_id").distinct())
-    left = docs.join(bounded(goes), docs["doc_id"].eqNullSafe(goes["doc_id"]), "left_anti").select(*COLUMNS)
-    repeated = materialize(groups.filter("first and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    """Of each group of near-duplicates the document with the smallest id stays, null last; of rows that repeat id and text, one.
+
+    A document is an id with a text, named by the id and the text's hashes: an id may be null or have several texts.
+    """
+    content = {"h1": F.xxhash64("text"), "h2": F.hash("text"), "h3": F.coalesce(F.length("text"), F.lit(-1))}
+    key = ("doc_id", *content)
+    named = docs.select(*COLUMNS).withColumns(content)
+    groups = materialize(near_classes(named, keep=key, width=5, similarity=SIMILARITY).groupBy("root", *key).agg(F.count("*").alias("n")))
+    order = F.struct(F.col("doc_id").isNull(), *key)
+    first = materialize(groups.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("n_documents")).filter("n_documents > 1").select("root", "first"))
+    marked = groups.join(first, "root", "left").withColumn("goes", F.col("first").isNotNull() & ~F.col("first").eqNullSafe(order))
+    known = materialize(marked.filter("goes or n > 1").select(*(F.col(k).alias(f"_{k}") for k in key), "goes"))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id"))
+    for k in content:
+        same = same & (F.col(k) == F.col(f"_{k}"))
+    left = named.join(bounded(known.filter("goes")), same, "left_anti")
+    repeated = materialize(known.filter("not goes"))
     if repeated.isEmpty():
-        return left
-    once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(repeated, "doc_id", "left_anti").unionByName(once).select(*COLUMNS)
+        return left.select(*COLUMNS)
+    once = left.join(bounded(repeated), same, "left_semi").dropDuplicates(list(key))
+    return left.join(bounded(repeated), same, "left_anti").unionByName(once).select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -182,6 +182,20 @@ def links(prints: DataFrame) -> DataFrame:
     return pairs.select("u", "v")
 
 
+def near_classes(docs: DataFrame, *, keep: tuple[str, ...], width: int = 3, text_column: str = "text", similarity: float | None = None) -> DataFrame:
+    """The ``keep`` columns, ``fp`` and ``root``, the least fingerprint of the row's component, for every row of ``docs``."""
+    content = fresh(docs, "content")
+    docs = docs.withColumn(content, F.xxhash64(text_column))
+    prints = materialize(fingerprints(docs, width=width, keep=(*keep, content), text_column=text_column, similarity=similarity))
+    nodes = materialize(prints.select("fp").distinct())
+    near = links(nodes)
+    if similarity is not None:
+        near = near.union(similar_links(docs, prints, width=width, similarity=similarity, content=content, text_column=text_column))
+    roots = components(near)
+    rooted = materialize(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
+    return prints.join(rooted, "fp").select(*keep, "fp", "root")
+
+
 def near_duplicates(docs: DataFrame, *, width: int = 3, id_column: str = "doc_id", text_column: str = "text", similarity: float | None = None) -> DataFrame:
     """``id, fingerprint, component_id`` for every row of ``docs``.
 
@@ -192,15 +206,6 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, id_column: str = "doc_id
     null ids take part but never name a component that has another id; other
     columns are not read; an empty table gives an empty result.
     """
-    content = fresh(docs, "content")
-    docs = docs.withColumn(content, F.xxhash64(text_column))
-    prints = materialize(fingerprints(docs, width=width, keep=(id_column, content), text_column=text_column, similarity=similarity))
-    nodes = materialize(prints.groupBy("fp").agg(F.min(id_column).alias("first_id")))
-    near = links(nodes.select("fp"))
-    if similarity is not None:
-        near = near.union(similar_links(docs, prints, width=width, similarity=similarity, content=content, text_column=text_column))
-    roots = materialize(components(near))
-    rooted = materialize(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
-    named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = materialize(rooted.join(named, "root").select("fp", "component_id"))
-    return prints.join(classes, "fp").select(id_column, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    rows = materialize(near_classes(docs, keep=(id_column,), width=width, text_column=text_column, similarity=similarity))
+    named = materialize(rows.groupBy("root").agg(F.min(id_column).alias("component_id")))
+    return rows.join(named, "root").select(id_column, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -53,3 +53,19 @@ def test_stage_removes_near_copies(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], SCHEMA)
     left = [shingles(r.text) for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()]
     assert not [1 for i, a in enumerate(left) for b in left[:i] if jaccard(a, b) >= 0.8]
+
+
+def test_stage_tells_documents_apart_by_id_and_text(spark):
+    rnd = random.Random(23)
+    texts = [" ".join(f"w{rnd.randrange(900)}" for _ in range(60)) for _ in range(8)]
+    rows = [
+        (5, texts[0]), (None, texts[0]),  # a copy under a null id goes ...
+        (None, texts[1]), (None, texts[2]),  # ... and other null ids stay
+        (7, texts[0]), (7, texts[3]),  # one text of an id goes, the other stays
+        (8, texts[4]), (8, texts[5]),  # two texts under one id stay
+        (None, texts[6]), (None, texts[6]), (None, texts[6].replace(" ", "  ", 1)),  # a group of null ids keeps one
+        (9, texts[7]), (9, texts[7]),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    got = sorted((str(r.doc_id), " ".join(r.text.split())) for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect())
+    assert got == sorted([("5", texts[0]), ("None", texts[1]), ("None", texts[2]), ("7", texts[3]), ("8", texts[4]), ("8", texts[5]), ("None", texts[6]), ("9", texts[7])])
