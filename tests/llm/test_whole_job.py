@@ -1,10 +1,14 @@
 """Places where an operator once did less than the whole job."""
 
 import random
+import zlib
+from collections import defaultdict
 
+import pytest
 from test_corpus_operators import WORD, frame, slow_fingerprint, union_find
 
 import corpus_pipeline
+from siftlake.llm.sharding import shard_documents
 from siftlake.llm.simhash import near_duplicates
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -69,3 +73,27 @@ def test_stage_tells_documents_apart_by_id_and_text(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
     got = sorted((str(r.doc_id), " ".join(r.text.split())) for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect())
     assert got == sorted([("5", texts[0]), ("None", texts[1]), ("None", texts[2]), ("7", texts[3]), ("8", texts[4]), ("8", texts[5]), ("None", texts[6]), ("9", texts[7])])
+
+
+@pytest.mark.parametrize("hot", [0, 330])
+def test_sharding_keeps_every_group_that_fits_together(spark, hot):
+    texts = ["hot"] * hot + [f"pair {i // 2}" for i in range(560)] + [f"seven {i // 7}" for i in range(140)]
+    docs = frame(spark, texts)
+    rows = shard_documents(docs).collect()
+    shards, sizes = defaultdict(set), defaultdict(int)
+    for r in rows:
+        shards[texts[r.doc_id]].add(r.shard)
+        sizes[r.shard] += 1
+    assert max(sizes.values()) - min(sizes.values()) <= 1
+    # without other rows to fill up with, a pair may be left over in a shard of odd quota
+    assert sum(len(s) > 1 for t, s in shards.items() if t != "hot") <= (0 if hot else 8)
+
+
+def test_sharding_keeps_copies_of_one_cell_together(spark):
+    # every row has the same id, so each group lies in a single cell
+    texts = [f"pair {i // 2}" for i in range(400)] + [f"single {i}" for i in range(200)]
+    docs = spark.createDataFrame([(1, t) for t in texts], "doc_id long, text string")
+    shards = defaultdict(set)
+    for r in shard_documents(docs).collect():
+        shards[r.text_crc32].add(r.shard)
+    assert all(len(shards[zlib.crc32(f"pair {i}".encode())]) == 1 for i in range(200))
