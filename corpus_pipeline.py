@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from siftlake.llm.common import bounded, materialize, table
 from siftlake.llm.decontaminate import scan_documents
-from siftlake.llm.line_dedup import dedup_lines
+from siftlake.llm.line_dedup import LINK_CHARS, dedup_lines
 from siftlake.llm.perplexity import quality_rules
 from siftlake.llm.piece_codec import encode_decode
 from siftlake.llm.simhash import near_classes
@@ -44,7 +44,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier line, up to the edit threshold, go; so do documents of which nothing but white space is left."""
-    return _with_length(dedup_lines(docs)).filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return _with_length(dedup_lines(docs, min_chars=LINK_CHARS, short_lines=True)).filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

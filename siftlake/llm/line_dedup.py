@@ -1,6 +1,7 @@
 """Line dedup by a segment-partition edit join, in DataFrame functions only.
 
-Lines of at least ``min_chars`` characters take part.  Within edit distance
+Lines of at least ``min_chars`` characters take part; with ``short_lines`` all
+shorter lines that have a word do so too, as exact repeats only.  Within edit distance
 ``threshold``, one of the shorter line's ``threshold + 1`` even segments must
 occur unchanged in the other, at a place that the difference of lengths narrows
 down to a few starts.  So each line is indexed by the hashes of its segments,
@@ -30,15 +31,22 @@ from .common import bounded, fresh, materialize
 
 MIN_CHARS = 40
 THRESHOLD = 2
+#: Length from which the registered query and the pipeline link lines by edits: two edits are a tenth of it.
+LINK_CHARS = 20
 # Letters whose counts make a line's profile.
 _LETTERS = "etaonirshldu"
 _LINE = ["h1", "h2"]
 
 
-def _lines(docs: DataFrame, id_column: str, text_column: str, min_chars: int) -> DataFrame:
+def _takes_part(line: Column, min_chars: int, short_lines: bool) -> Column:
+    long = F.length(line) >= min_chars
+    return long | line.rlike(r"[^\x20\x09-\x0D]") if short_lines else long
+
+
+def _lines(docs: DataFrame, id_column: str, text_column: str, min_chars: int, short_lines: bool) -> DataFrame:
     """``doc, doc_hash, pos, line, n_chars, h1, h2`` of every line that takes part."""
     text = F.col(text_column).cast("string")
-    lines = docs.select(F.col(id_column).alias("doc"), F.xxhash64(text).alias("doc_hash"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line")).withColumn("n_chars", F.length("line")).filter(F.col("n_chars") >= min_chars)
+    lines = docs.select(F.col(id_column).alias("doc"), F.xxhash64(text).alias("doc_hash"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line")).filter(_takes_part(F.col("line"), min_chars, short_lines)).withColumn("n_chars", F.length("line"))
     second = F.shiftleft(F.col("n_chars").cast("long"), 32) + F.hash("line").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
     return lines.withColumn("h1", F.xxhash64("line")).withColumn("h2", second)
 
@@ -158,19 +166,20 @@ def edit_links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return materialize(pairs.select("a", "b", distance.alias("distance"))).filter(F.col("distance") <= threshold)
 
 
-def line_decisions(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", min_chars: int = MIN_CHARS, threshold: int = THRESHOLD) -> DataFrame:
+def line_decisions(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", min_chars: int = MIN_CHARS, threshold: int = THRESHOLD, short_lines: bool = False) -> DataFrame:
     """``doc, doc_hash, dropped, n_links, earlier_docs`` of the documents that hold a repeated or linked line.
 
     Lines are ordered by id (null first), then position.  Of equal lines only
     the first stays, and that goes too if an earlier line lies within
-    ``threshold`` edits of it.  ``dropped`` are the sorted positions of lines that go,
+    ``threshold`` edits of it.  Lines shorter than ``min_chars`` have no links; with
+    ``short_lines`` all but the first of those that are equal and have a word go.  ``dropped`` are the sorted positions of lines that go,
     ``n_links`` the links of the document's lines to other texts, and
     ``earlier_docs`` the sorted ids that hold the earliest such line.
     """
-    lines = _lines(docs, id_column, text_column, min_chars)
+    lines = _lines(docs, id_column, text_column, min_chars, short_lines)
     here = F.struct("doc", "pos", "doc_hash")
     once = materialize(lines.groupBy(*_LINE).agg(F.min(here).alias("first"), F.count("*").alias("n")))
-    links = materialize(edit_links(lines, threshold).select("a", "b"))
+    links = materialize(edit_links(lines.filter(F.col("n_chars") >= min_chars), threshold).select("a", "b"))
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = both.select(F.col("a.h1").alias("h1"), F.col("a.h2").alias("h2"), F.col("b.h1").alias("o1"), F.col("b.h2").alias("o2"))
     others = once.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("first").alias("other"))
@@ -183,7 +192,7 @@ def line_decisions(docs: DataFrame, *, id_column: str = "doc_id", text_column: s
     return found.groupBy("doc", "doc_hash").agg(F.array_sort(F.collect_set(F.when(goes, F.col("pos")))).alias("dropped"), F.sum("n_links").alias("n_links"), F.array_sort(F.collect_set(F.when(goes, earlier))).alias("earlier_docs"))
 
 
-def dedup_report(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", min_chars: int = MIN_CHARS, threshold: int = THRESHOLD) -> DataFrame:
+def dedup_report(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", min_chars: int = MIN_CHARS, threshold: int = THRESHOLD, short_lines: bool = False) -> DataFrame:
     """``id, n_lines, n_checked, n_dropped, n_links, dropped, earlier_docs`` for every row of ``docs``.
 
     A null text has no lines, an empty text one empty line.  Rows with the same
@@ -191,19 +200,19 @@ def dedup_report(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
     and different texts are told apart.  Other columns are not read; an empty
     table gives an empty result.
     """
-    decisions = materialize(line_decisions(docs, id_column=id_column, text_column=text_column, min_chars=min_chars, threshold=threshold))
+    decisions = materialize(line_decisions(docs, id_column=id_column, text_column=text_column, min_chars=min_chars, threshold=threshold, short_lines=short_lines))
     text = F.col(text_column).cast("string")
     split = F.split(text, "\n", -1)
     count = lambda lines: F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long")
-    counted = docs.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("hash"), count(split).alias("n_lines"), count(F.filter(split, lambda x: F.length(x) >= min_chars)).alias("n_checked"))
+    counted = docs.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("hash"), count(split).alias("n_lines"), count(F.filter(split, lambda x: _takes_part(x, min_chars, short_lines))).alias("n_checked"))
     joined = counted.join(decisions, F.col("id").eqNullSafe(F.col("doc")) & (F.col("hash") == F.col("doc_hash")), "left")
     dropped = F.coalesce("dropped", F.array().cast("array<int>"))
     return joined.select(F.col("id").alias(id_column), "n_lines", "n_checked", F.size(dropped).cast("long").alias("n_dropped"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), dropped.alias("dropped"), F.coalesce("earlier_docs", F.array().cast(dict(decisions.dtypes)["earlier_docs"])).alias("earlier_docs"))
 
 
-def dedup_lines(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", min_chars: int = MIN_CHARS, threshold: int = THRESHOLD) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", min_chars: int = MIN_CHARS, threshold: int = THRESHOLD, short_lines: bool = False) -> DataFrame:
     """``docs`` with the dropped lines cut out of their texts; all columns and rows stay."""
-    decisions = materialize(line_decisions(docs, id_column=id_column, text_column=text_column, min_chars=min_chars, threshold=threshold).filter(F.size("dropped") > 0))
+    decisions = materialize(line_decisions(docs, id_column=id_column, text_column=text_column, min_chars=min_chars, threshold=threshold, short_lines=short_lines).filter(F.size("dropped") > 0))
     text = F.col(text_column).cast("string")
     doc, digest, dropped = (fresh(docs, n) for n in ("doc", "hash", "dropped"))
     at = decisions.select(F.col("doc").alias(doc), F.col("doc_hash").alias(digest), F.col("dropped").alias(dropped))

@@ -12,7 +12,7 @@ from . import chat_format, decontaminate, url_filter
 from .chat_format import MarkedTurns, format_conversations, read_back
 from .common import table
 from .decontaminate import scan_documents
-from .line_dedup import dedup_report
+from .line_dedup import LINK_CHARS, dedup_report
 from .perplexity import quality_rules
 from .piece_codec import encode_decode
 from .quality_qda import quality_scores
@@ -54,7 +54,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_report(table(spark, sf_dir, "documents"))
+    return dedup_report(table(spark, sf_dir, "documents"), min_chars=LINK_CHARS, short_lines=True)
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

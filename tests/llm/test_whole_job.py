@@ -8,6 +8,7 @@ import pytest
 from test_corpus_operators import WORD, frame, slow_fingerprint, union_find
 
 import corpus_pipeline
+from siftlake.llm.registry import op8_line_dedup
 from siftlake.llm.sharding import shard_documents
 from siftlake.llm.simhash import near_duplicates
 
@@ -97,3 +98,14 @@ def test_sharding_keeps_copies_of_one_cell_together(spark):
     for r in shard_documents(docs).collect():
         shards[r.text_crc32].add(r.shard)
     assert all(len(shards[zlib.crc32(f"pair {i}".encode())]) == 1 for i in range(200))
+
+
+def test_short_lines_take_part_in_line_dedup(spark, tmp_path):
+    link = "a line of 26 characters ok"
+    texts = ["Read more\n}\n \n\n" + link, " \n\nRead more\nother\n}", "Read  more\n" + link.replace("26", "27"), "other"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: (r.n_checked, r.dropped) for r in op8_line_dedup(spark, str(tmp_path)).collect()}
+    assert rows == {0: (3, []), 1: (3, [2, 4]), 2: (2, [1]), 3: (1, [0])}
+    left = {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, docs, "").collect()}
+    assert left == {0: texts[0], 1: " \n\nother", 2: "Read  more"}
