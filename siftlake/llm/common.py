@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import sys
 from collections.abc import Callable, Iterator, Set
 from typing import Generic, TypeVar
 
@@ -11,15 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..storage import BROADCAST_ROWS, bounded, materialize, on_workers, shared_dir
 
-__all__ = ["BROADCAST_BYTES", "BROADCAST_ROWS", "Cache", "bounded", "fresh", "materialize", "on_workers", "read_bytes", "resident", "shared_dir", "ship", "table", "text_slices", "with_text"]
+__all__ = ["BROADCAST_BYTES", "BROADCAST_ROWS", "CACHE_BYTES", "Cache", "bounded", "fresh", "materialize", "on_workers", "read_bytes", "release", "resident", "shared_dir", "ship", "table", "text_slices", "unload", "with_text"]
 
 #: Largest payload that is ever put into a broadcast, in bytes.
 BROADCAST_BYTES = 64 << 20
 #: Text bytes handled at once inside a Python worker.
 SLICE_BYTES = 4 << 20
 
-#: Chunks that are learned at once.
+#: Bytes that a worker's cache of chunks takes at most, about.
+CACHE_BYTES = 80 << 20
+#: Chunks that are learned at once, and bytes that a cached one takes besides its own.
 _LEARN = 1 << 14
+_ENTRY_BYTES = 160
 
 T = TypeVar("T")
 
@@ -37,26 +42,49 @@ def resident(key: object, build: Callable[[], T]) -> T:
     return _resident[key]
 
 
+def release() -> None:
+    """Free what ``resident`` holds in this worker; called by whatever runs there without a model of its own."""
+    if _resident:
+        _resident.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
+def unload(shipped) -> None:
+    """Forget this process's copy of a broadcast's value; it is read again where it is asked for again."""
+    shipped.__dict__.pop("_value", None)
+
+
 class Cache(Generic[T]):
-    """Results by text chunk, bounded to about ``size``: what hasn't been used since the last turnover goes at the next."""
+    """Results by text chunk, bounded to about ``n_bytes``: what hasn't been used since the last turnover goes at the next.
+
+    Chunks longer than ``LONG`` are learned each time they are met.
+    """
+
+    LONG = 256
 
-    def __init__(self, size: int):
-        self._half = size // 2
+    def __init__(self, n_bytes: int):
+        self._half = n_bytes // 2
         self._young: dict[bytes, T] = {}
         self._old: dict[bytes, T] = {}
+        self._size = 0
+        self._passing: list[bytes] = []
 
     def serve(self, wanted: Set[bytes], learn: Callable[[list[bytes]], dict[bytes, T]]) -> dict[bytes, T]:
-        """A dictionary that holds all of ``wanted``; ``learn`` is asked for what isn't known."""
-        if len(self._young) > self._half:
-            self._old, self._young = self._young, {}
+        """A dictionary that holds all of ``wanted`` until the next call; ``learn`` is asked for what isn't known."""
+        for k in self._passing:
+            del self._young[k]
+        if self._size > self._half:
+            self._old, self._young, self._size = self._young, {}, 0
         young, old = self._young, self._old
         new = wanted.difference(young)
-        if new:
-            known = new.intersection(old)
-            young.update((k, old[k]) for k in known)
-            rest = list(new.difference(known))
-            for i in range(0, len(rest), _LEARN):
-                young.update(learn(rest[i : i + _LEARN]))
+        known = new.intersection(old)
+        young.update((k, old[k]) for k in known)
+        rest = list(new.difference(known))
+        for i in range(0, len(rest), _LEARN):
+            young.update(learn(rest[i : i + _LEARN]))
+        self._passing = [k for k in rest if len(k) > self.LONG]
+        self._size += sum(sys.getsizeof(k) + _ENTRY_BYTES for k in new if len(k) <= self.LONG)
         return young
 
 

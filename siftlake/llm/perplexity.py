@@ -4,15 +4,16 @@ The model is a modified Kneser-Ney model over characters (words joined by one
 space), of order five, one per language.  Highest-order counts are added up in
 each task and by Spark over all documents; continuation counts, discounts and
 interpolated probabilities follow by aggregations and joins.  The finished
-model is stored as arrays sorted by a 64-bit hash of language and n-gram.  It
-is broadcast if a count proves it small enough; a larger model stays a table
-and is joined to the documents' n-grams.
+model is stored as arrays sorted by a 64-bit hash of language and n-gram, in
+broadcast blocks of bounded size.
 
-N-grams that only one document has are unknown to the model: else every
-document, noise above all, would vouch for itself.
+No text vouches for itself: scoring leaves its own n-grams out.  Those that
+other texts have too are known; those that it alone has, copies included, are
+backed off from, which is why they need no place in the arrays.
 
 Log-probabilities are integers in units of 2**-20, so sums do not depend on the
-order of addition and both ways of scoring agree exactly.
+order of addition, nor on the number of blocks.  Of n-grams that share a 64-bit
+hash the lesser log-probability counts.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, bounded, materialize, on_workers, resident, ship, text_slices
+from .common import bounded, materialize, on_workers, release, resident, ship, text_slices, unload
 
 ORDER = 5
 UNIT = 1 << 20
@@ -38,6 +39,13 @@ _SYMBOLS = b"#*$%&|<>"
 #: Characters that the array code handles at once, and bytes of text that are decoded at once.
 _CHUNK = 1 << 19
 _SLICE_BYTES = 1 << 20
+_WIDE_SLICE_BYTES = 8 << 20
+#: N-grams that a worker holds before it puts them out, and rows that it puts out at once.
+_HELD = 1 << 19
+_ROWS = 1 << 15
+#: Bytes of one block of the model, and buckets that contexts are dealt into.
+BLOCK_BYTES = 32 << 20
+_BUCKET_BITS = 12
 #: Bytes of a model entry: hash, log-probability, weight of backing off.
 _ENTRY = np.dtype([("hash", "<u8"), ("logp", "<i4"), ("back", "<i4")])
 
@@ -46,14 +54,16 @@ _ENTRY = np.dtype([("hash", "<u8"), ("logp", "<i4"), ("back", "<i4")])
 class Bands:
     """Limits of the mean negative log-probability of a character, per language.
 
-    They lie ``width`` times the distance from the median to the 10th and to the
-    90th percentile away from the median, and at least ``least`` nats.  The percentiles are of all
-    documents that pass the base rules, to a hundredth of a nat.  A document of n
-    characters has ``noise`` / sqrt(n) nats more on either side, about three standard errors of its mean.
+    They lie ``width`` times the distance from the median to the lower and to
+    the upper quartile away from the median (12 are eight standard deviations of
+    a normal distribution), and at least ``least`` nats.  The quartiles are of
+    all documents that pass the base rules, to a hundredth of a nat.  A document
+    of n characters has ``noise`` / sqrt(n) nats more on either side, about three
+    standard errors of its mean.
     """
 
-    width: float = 6.0
-    least: float = 1.0
+    width: float = 12.0
+    least: float = 0.15
     noise: float = 4.0
 
 
@@ -76,12 +86,17 @@ def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Counts:
-    """Occurrences and documents of all n-grams of the highest order, packed exactly into 64 bits by an alphabet of up to 4095 characters."""
+    """Occurrences of all n-grams of the highest order, with the least and the largest hash of the texts that have them.
+
+    N-grams are packed exactly into 64 bits by an alphabet of up to 4095
+    characters.  Runs sorted by n-gram are merged when they outgrow what was merged before.
+    """
 
     def __init__(self):
         self._id_of = np.zeros(0x110000, dtype=np.uint16)
         self._characters: list[int] = [0]
-        self._keys, self._n = np.zeros(0, dtype=np.int64), np.zeros((0, 2), dtype=np.int64)
+        self._runs: list[tuple[np.ndarray, ...]] = []
+        self._fresh = 0
 
     def add(self, streams: list[bytes]) -> bool:
         """False, with nothing added, if the alphabet would overflow."""
@@ -95,19 +110,23 @@ class _Counts:
             self._id_of[new] = np.arange(len(self._characters), len(self._characters) + len(new))
             self._characters += new.tolist()
         del every, missing
-        found = [self._of_document(self._id_of[c]) for c in codes]
-        keys, n = np.concatenate([self._keys, *(f[0] for f in found)]), np.concatenate([self._n, *(f[1] for f in found)])
-        self._keys, self._n = self._sums(keys, n)
+        for s, c in zip(streams, codes, strict=True):
+            for keys, n in self._of_document(self._id_of[c]):
+                self._runs.append((keys, n, *[np.full(len(keys), _name_of(s))] * 2))
+                self._fresh += len(keys)
+        if self._fresh > max(_HELD // 4, len(self._runs[0][0])):
+            self._merge()
         return True
 
-    def _sums(self, keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _merge(self) -> None:
+        keys, n, least, most = (np.concatenate(x) for x in zip(*self._runs, strict=True))
         order = np.argsort(keys)
         keys, first = _runs(keys[order])
-        return keys, np.add.reduceat(n[order], first, axis=0) if len(first) else n
+        n, least, most = (f.reduceat(x[order], first) for f, x in ((np.add, n), (np.minimum, least), (np.maximum, most)))
+        self._runs, self._fresh = [(keys, n, least, most)], 0
 
-    def _of_document(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Its n-grams with their occurrences, and 1 each for the document."""
-        parts = []
+    def _of_document(self, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Its n-grams with their occurrences, a chunk at a time."""
         for at in range(0, len(ids) - ORDER + 1, _CHUNK):
             n = min(_CHUNK, len(ids) - ORDER + 1 - at)
             key = np.zeros(n, dtype=np.int64)
@@ -115,17 +134,34 @@ class _Counts:
                 key = (key << _BITS) | ids[at + j : at + j + n]
             key.sort()
             keys, first = _runs(key)
-            parts.append((keys, np.diff(np.append(first, n))))
-        keys, n = parts[0] if len(parts) == 1 else self._sums(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-        return keys, np.stack([n, np.ones_like(n)], axis=1)
+            yield keys, np.diff(np.append(first, n))
+
+    def full(self) -> bool:
+        """Whether more n-grams are held than a worker should."""
+        return bool(self._runs) and len(self._runs[0][0]) > _HELD
 
-    def rows(self) -> tuple[list[str], np.ndarray, np.ndarray]:
+    def rows(self, lang: str) -> Iterator[pa.RecordBatch]:
+        self._merge()
         characters = np.array(self._characters, dtype=np.uint32)
-        grid = np.empty((len(self._keys), ORDER), dtype=np.uint32)
-        for j in range(ORDER):
-            grid[:, j] = characters[(self._keys >> _BITS * (ORDER - 1 - j)) & ((1 << _BITS) - 1)]
-        text = grid.tobytes().decode("utf-32-le")
-        return [text[i : i + ORDER] for i in range(0, len(text), ORDER)], self._n[:, 0], self._n[:, 1]
+        keys, *numbers = self._runs.pop()
+        for a in range(0, len(keys), _ROWS):
+            part = keys[a : a + _ROWS]
+            grid = np.empty((len(part), ORDER), dtype=np.uint32)
+            for j in range(ORDER):
+                grid[:, j] = characters[(part >> _BITS * (ORDER - 1 - j)) & ((1 << _BITS) - 1)]
+            sizes = (1 + (grid >= 1 << 7) + (grid >= 1 << 11) + (grid >= 1 << 16)).sum(axis=1)
+            ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+            grams = pa.StringArray.from_buffers(len(part), pa.py_buffer(ends), pa.py_buffer(grid.tobytes().decode("utf-32-le").encode()))
+            yield _gram_rows(lang, grams, *(x[a : a + _ROWS] for x in numbers))
+
+
+def _gram_rows(lang: str, grams: pa.StringArray, *numbers) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(grams)), grams, *(pa.array(x, pa.int64()) for x in numbers)], names=["lang", "gram", "c", "least", "most"])
+
+
+def _name_of(stream: bytes) -> int:
+    """A hash that names a text; texts that differ in white space alone have one name."""
+    return xxhash.xxh3_64_intdigest(stream) - (1 << 63)
 
 
 def _grams_of(stream: bytes) -> Counter:
@@ -138,14 +174,14 @@ def _grams_of(stream: bytes) -> Counter:
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
-    """``lang, gram, c, n_docs``: occurrences, and documents that have it, over all of ``docs(lang, text)``."""
+    """``lang, gram, c, least, most`` over all of ``docs(lang, text)``: occurrences, and the least and the largest hash of the texts that have the n-gram.
+
+    A worker puts out what it has counted whenever it holds many n-grams; Spark adds the parts up.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held: dict[str, _Counts] = {}
-
-        def out(lang: str, grams: list[str], n, n_docs) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.string()), pa.array(n, pa.int64()), pa.array(n_docs, pa.int64())], names=["lang", "gram", "c", "n_docs"])
-
         for batch in batches:
             langs = batch.column(0).to_pylist()
             for a, b, texts in text_slices(batch.column(1), _SLICE_BYTES):
@@ -155,58 +191,70 @@ def count_grams(docs: DataFrame) -> DataFrame:
                         by_lang.setdefault(lang, []).append(_stream(words))
                 for lang, streams in by_lang.items():
                     if not held.setdefault(lang, _Counts()).add(streams):
-                        yield out(lang, *held.pop(lang).rows())
+                        yield from held.pop(lang).rows(lang)
                         for s in streams:  # a rare slice with a very large alphabet
                             if not held.setdefault(lang, _Counts()).add([s]):
-                                yield out(lang, *held.pop(lang).rows())
+                                yield from held.pop(lang).rows(lang)
                                 grams = _grams_of(s)
-                                yield out(lang, list(grams), list(grams.values()), [1] * len(grams))
-            if len(held) > 64:
+                                names, n = list(grams), list(grams.values())
+                                for i in range(0, len(n), _ROWS):
+                                    part = n[i : i + _ROWS]
+                                    yield _gram_rows(lang, pa.array(names[i : i + _ROWS], pa.string()), part, *[[_name_of(s)] * len(part)] * 2)
+                    elif held[lang].full():
+                        yield from held.pop(lang).rows(lang)
+            if len(held) > 16:
                 for lang in list(held):
-                    yield out(lang, *held.pop(lang).rows())
-        for lang, counts in held.items():
-            yield out(lang, *counts.rows())
+                    yield from held.pop(lang).rows(lang)
+        for lang in list(held):
+            yield from held.pop(lang).rows(lang)
 
-    return on_workers(docs.select("lang", "text")).mapInArrow(run, "lang string, gram string, c long, n_docs long").groupBy("lang", "gram").agg(F.sum("c").alias("c"), F.sum("n_docs").alias("n_docs"))
+    counted = on_workers(docs.select("lang", "text")).mapInArrow(run, "lang string, gram string, c long, least long, most long")
+    return counted.groupBy("lang", "gram").agg(F.sum("c").alias("c"), F.min("least").alias("least"), F.max("most").alias("most"))
 
 
 def _discounts(counts: DataFrame) -> DataFrame:
-    """``lang, d1, d2, d3`` by the counts of counts, kept within what they are taken from."""
+    """``lang, d1, d2, d3`` by the counts of counts; a hundredth at least, so that every context leaves something for unseen n-grams."""
     n = counts.groupBy("lang").agg(*(F.count_if(F.col("c") == k).cast("double").alias(f"n{k}") for k in range(1, 5)))
     y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
-    d = lambda k: F.greatest(F.lit(0.0), F.least(F.lit(float(k)), F.coalesce(k - (k + 1) * y * F.try_divide(F.col(f"n{k + 1}"), F.col(f"n{k}")), F.lit(k / 2))))
+    d = lambda k: F.greatest(F.lit(0.01), F.least(F.lit(float(k)), F.coalesce(k - (k + 1) * y * F.try_divide(F.col(f"n{k + 1}"), F.col(f"n{k}")), F.lit(k / 2))))
     return n.select("lang", *(d(k).alias(f"d{k}") for k in (1, 2, 3)))
 
 
-def build_model(grams: DataFrame) -> DataFrame:
-    """``lang, gram, logp, back``: interpolated log-probability of each n-gram's last character, and the log-weight of backing off from it as a context, in units (null where it is not one).
+def build_model(grams: DataFrame, *, shared_only: bool = True) -> DataFrame:
+    """``lang, gram, logp, back``: rows with the interpolated log-probability of an n-gram's last character, and rows with the log-weight of backing off from it as a context, in units (the other column is null).
 
+    All n-grams make up the counts, continuation counts and discounts.  With
+    ``shared_only`` the rows of n-grams and contexts that a single text has (with
+    its copies) are left out afterwards: that text alone could ask for them.
     A row with the empty n-gram holds the uniform distribution of its language.
     """
-    top = materialize(grams.filter("n_docs > 1").drop("n_docs"))
-    levels = {ORDER: top}
+    levels = {ORDER: materialize(grams)}
+    names = (F.min("least").alias("least"), F.max("most").alias("most"))
     for k in range(ORDER - 1, 0, -1):
-        levels[k] = materialize(levels[k + 1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("c")))
-    unit = lambda p: F.round(F.log(p) * UNIT).cast("long")
+        levels[k] = materialize(levels[k + 1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("c"), *names))
+    unit = lambda p: F.round(F.log(p) * UNIT).cast("int")
+    none = F.lit(None).cast("int")
+    shared = F.col("least") < F.col("most") if shared_only else F.lit(True)
     lower = materialize(levels[1].groupBy("lang").agg((1 / (F.count("*") + 1)).alias("p")).select("lang", F.lit("").alias("gram"), "p"))
-    parts = [lower.select("lang", "gram", unit(F.col("p")).alias("logp"), F.lit(None).cast("long").alias("back"))]
+    parts = [lower.select("lang", "gram", unit(F.col("p")).alias("logp"), none.alias("back"))]
     for k in range(1, ORDER + 1):
         level = levels[k].join(bounded(materialize(_discounts(levels[k]))), "lang")
         taken = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        level = level.select("lang", "gram", "c", F.substring("gram", 1, k - 1).alias("context"), F.substring("gram", 2, k - 1).alias("rest"), "d1", "d2", "d3", taken.alias("d"))
+        level = level.select("lang", "gram", "c", "least", "most", F.substring("gram", 1, k - 1).alias("context"), F.substring("gram", 2, k - 1).alias("rest"), "d1", "d2", "d3", taken.alias("d"))
         kinds = [F.count_if(x).alias(f"k{i}") for i, x in enumerate((F.col("c") == 1, F.col("c") == 2, F.col("c") >= 3), 1)]
-        contexts = level.groupBy("lang", "context").agg(F.sum("c").alias("total"), *kinds, *(F.max(f"d{i}").alias(f"d{i}") for i in (1, 2, 3)))
-        contexts = contexts.select("lang", "context", "total", (sum((F.col(f"d{i}") * F.col(f"k{i}") for i in (1, 2, 3)), F.lit(0.0)) / F.col("total")).alias("gamma"))
+        contexts = level.groupBy("lang", "context").agg(F.sum("c").alias("total"), *names, *kinds, *(F.max(f"d{i}").alias(f"d{i}") for i in (1, 2, 3)))
+        contexts = contexts.select("lang", "context", "total", "least", "most", (sum((F.col(f"d{i}") * F.col(f"k{i}") for i in (1, 2, 3)), F.lit(0.0)) / F.col("total")).alias("gamma"))
         contexts = materialize(contexts)
         below = lower.select("lang", F.col("gram").alias("rest"), F.col("p").alias("p_rest"))
         p = (F.col("c") - F.col("d")) / F.col("total") + F.col("gamma") * F.col("p_rest")
-        lower = materialize(level.join(contexts, ["lang", "context"]).join(below, ["lang", "rest"]).select("lang", "gram", p.alias("p")))
-        parts.append(lower.select("lang", "gram", unit(F.col("p")).alias("logp"), F.lit(None).cast("long").alias("back")))
-        parts.append(contexts.filter("gamma > 0").select("lang", F.col("context").alias("gram"), F.lit(None).cast("long").alias("logp"), unit(F.col("gamma")).alias("back")))
+        lower = level.join(contexts.drop("least", "most"), ["lang", "context"]).join(below, ["lang", "rest"]).select("lang", "gram", p.alias("p"), "least", "most")
+        lower = materialize(lower)
+        parts.append(lower.filter(shared).select("lang", "gram", unit(F.col("p")).alias("logp"), none.alias("back")))
+        parts.append(contexts.filter(shared).select("lang", F.col("context").alias("gram"), none.alias("logp"), unit(F.col("gamma")).alias("back")))
     model = parts[0]
     for part in parts[1:]:
         model = model.union(part)
-    return materialize(model.groupBy("lang", "gram").agg(F.max("logp").alias("logp"), F.max("back").alias("back")))
+    return materialize(model)
 
 
 # ---------------------------------------------------------------- the model, as sorted hash arrays
@@ -232,15 +280,20 @@ def _hash_codes(columns: list[np.ndarray], seed: np.uint64) -> np.ndarray:
     return _mix(h)
 
 
+def _bucket(older: np.ndarray, newer: np.ndarray) -> np.ndarray:
+    """Bucket of the last two characters of a context."""
+    return (_hash_codes([older, newer], np.uint64(7)) >> np.uint64(64 - _BUCKET_BITS)).astype(np.int64)
+
+
 class HashArrays:
     """Entries sorted by hash, found through a table of the hashes' leading bits."""
 
     def __init__(self, entries: np.ndarray):
-        self.logp, self.back = entries["logp"], entries["back"]
+        self.logp, self.back = np.ascontiguousarray(entries["logp"]), np.ascontiguousarray(entries["back"])
         self._hashes = np.append(entries["hash"], np.uint64(0xFFFFFFFFFFFFFFFF))
         bits = max(1, int(np.ceil(np.log2(max(2, 2 * len(entries))))))
         self._shift = np.uint64(64 - bits)
-        self._start = np.searchsorted(entries["hash"], np.arange(1 << bits, dtype=np.uint64) << self._shift).astype(np.int32)
+        self._start = np.searchsorted(self._hashes[:-1], np.arange(1 << bits, dtype=np.uint64) << self._shift).astype(np.int32)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Places of ``hashes``; -1 for what is not there."""
@@ -254,18 +307,23 @@ class HashArrays:
         at[(here != hashes) | (at == len(self.logp))] = -1
         return at
 
-    def nll(self, codes: np.ndarray, seed: np.uint64) -> np.ndarray:
-        """Negative log-probability, in units, of the last character of each n-gram of highest order in ``codes``."""
-        m = max(0, len(codes) - ORDER + 1)
-        out = np.empty(m, dtype=np.int64)
-        for a in range(0, m, _CHUNK):
-            b = min(m, a + _CHUNK)
-            out[a:b] = self._nll([codes[a + j : b + j].astype(np.uint64) for j in range(ORDER)], seed)
-        return out
+    def nll(self, codes: np.ndarray, seed: np.uint64, out: np.ndarray, mine: np.ndarray | None = None) -> None:
+        """Set ``out`` to the negative log-probability, in units, of the last character of each n-gram of highest order in ``codes``.
+
+        With ``mine``, a flag for each bucket, only n-grams whose context is in these buckets are dealt with.
+        """
+        for a in range(0, len(out), _CHUNK):
+            b = min(len(out), a + _CHUNK)
+            columns = [codes[a + j : b + j].astype(np.uint64) for j in range(ORDER)]
+            if mine is None:
+                out[a:b] = self._nll(columns, seed)
+            else:
+                here = np.flatnonzero(mine[_bucket(columns[ORDER - 3], columns[ORDER - 2])])
+                out[a + here] = self._nll([c[here] for c in columns], seed)
 
     def _nll(self, columns: list[np.ndarray], seed: np.uint64) -> np.ndarray:
         at = self.find(_hash_codes(columns, seed))
-        out = np.where(at >= 0, self.logp[at], 0).astype(np.int64) if len(self.logp) else np.zeros(len(at), dtype=np.int64)
+        out = np.where(at >= 0, self.logp[at], 0).astype(np.int64)
         missing = np.flatnonzero(at < 0)
         for k in range(ORDER - 1, -1, -1):
             if not len(missing):
@@ -283,40 +341,107 @@ class HashArrays:
 _ABSENT = np.iinfo(np.int32).max
 
 
-def collect_arrays(model: DataFrame) -> dict[str, np.ndarray]:
-    """The entries of each language, sorted by hash; hashes are computed where the rows are."""
+def _merged(entries: np.ndarray) -> np.ndarray:
+    """``entries`` sorted by hash, those of one hash made one."""
+    entries = entries[np.argsort(entries["hash"])]
+    hashes, first = _runs(entries["hash"])
+    out = np.empty(len(hashes), dtype=_ENTRY)
+    out["hash"] = hashes
+    for name in ("logp", "back"):
+        out[name] = np.minimum.reduceat(entries[name], first)
+    return out
+
+
+@dataclass
+class ModelBlocks:
+    """The model in broadcasts of bounded size; n-grams whose contexts end alike are in one block, and what all need is in each."""
+
+    parts: list
+    block_of: np.ndarray
+    token: str
+
+    def load(self, k: int) -> dict[str, HashArrays]:
+        """Block ``k`` by language; a worker holds one block at a time."""
+
+        def build() -> dict[str, HashArrays]:
+            loaded = {lang: HashArrays(entries) for lang, entries in self.parts[k].value.items()}
+            unload(self.parts[k])
+            return loaded
+
+        return resident((ModelBlocks, self.token, k), build)
+
+    def mine(self, k: int) -> np.ndarray | None:
+        return None if len(self.parts) == 1 else self.block_of == k
+
+
+def _hashed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Languages, entries and buckets (-1: needed in all blocks) of rows of the model."""
+    langs = np.array(batch.column(0).to_pylist(), dtype=object)
+    grams = np.array(batch.column(1).to_pylist(), dtype=object)
+    entries, bucket = np.zeros(len(grams), dtype=_ENTRY), np.full(len(grams), -1, dtype=np.int64)
+    entries["logp"] = batch.column(2).fill_null(int(_ABSENT)).to_numpy()
+    entries["back"] = batch.column(3).fill_null(0).to_numpy()
+    is_context = batch.column(2).is_null().to_numpy(zero_copy_only=False)
+    lengths = np.fromiter(map(len, grams), dtype=np.int64, count=len(grams))
+    for k in range(ORDER + 1):
+        for lang in sorted(set(langs[lengths == k])):
+            here = np.flatnonzero((langs == lang) & (lengths == k))
+            codes = np.frombuffer("".join(grams[here]).encode("utf-32-le"), dtype=np.uint32).reshape(len(here), k).astype(np.uint64)
+            columns = [codes[:, j] for j in range(k)]
+            entries["hash"][here] = _hash_codes(columns, _seed(lang)) if k else _hash_codes([], _seed(lang))[0]
+            if k >= 2:
+                bucket[here] = np.where(is_context[here], _bucket(*columns[-2:]), _bucket(*columns[-3:-1]) if k >= 3 else -1)
+    return langs, entries, bucket
+
+
+def ship_model(model: DataFrame, block_bytes: int = BLOCK_BYTES) -> ModelBlocks:
+    """Broadcast ``model`` in as many blocks as it takes for none to exceed ``block_bytes``, one after the other.
+
+    Contexts are dealt out by their last two characters; characters, pairs and
+    contexts of one character are in each block.  One block is at most the
+    broadcast bound (an error beyond).
+    """
+    spark, total = model.sparkSession, model.count() * _ENTRY.itemsize
+    block_of, n = np.zeros(1 << _BUCKET_BITS, dtype=np.int16), 1
+    if total > block_bytes:
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            release()
+            for batch in batches:
+                buckets, n = np.unique(_hashed(batch)[2], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(n, pa.int64())], names=["bucket", "n"])
+
+        sizes = dict(on_workers(model).mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n")).collect())  # a row a bucket
+        common = sizes.pop(-1, 0) * _ENTRY.itemsize
+        room = max(block_bytes // 4, block_bytes - common)
+        filled, n = 0, 1
+        for bucket, rows in sorted(sizes.items()):
+            if filled and filled + rows * _ENTRY.itemsize > room:
+                filled, n = 0, n + 1
+            filled += rows * _ENTRY.itemsize
+            block_of[bucket] = n - 1
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
-            langs = np.array(batch.column(0).to_pylist(), dtype=object)
-            grams = np.array(batch.column(1).to_pylist(), dtype=object)
-            entries = np.zeros(len(grams), dtype=_ENTRY)
-            entries["logp"] = batch.column(2).fill_null(int(_ABSENT)).to_numpy()
-            entries["back"] = batch.column(3).fill_null(0).to_numpy()
-            lengths = np.fromiter(map(len, grams), dtype=np.int64, count=len(grams))
-            names = sorted(set(langs))
-            for lang in names:
-                for k in range(ORDER + 1):
-                    here = np.flatnonzero((langs == lang) & (lengths == k))
-                    codes = np.frombuffer("".join(grams[here]).encode("utf-32-le"), dtype=np.uint32).reshape(len(here), k).astype(np.uint64)
-                    entries["hash"][here] = _hash_codes([codes[:, j] for j in range(k)], _seed(lang)) if k else _hash_codes([], _seed(lang))[0]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([entries[langs == lang].tobytes() for lang in names], pa.binary())], names=["lang", "entries"])
-
-    found: dict[str, list[bytes]] = {}
-    for lang, entries in on_workers(model.select("lang", "gram", F.col("logp").cast("int"), F.col("back").cast("int"))).mapInArrow(pack, "lang string, entries binary").collect():
-        found.setdefault(lang, []).append(bytes(entries))
-    arrays = {}
-    for lang in sorted(found):
-        entries = np.frombuffer(b"".join(found.pop(lang)), dtype=_ENTRY)
-        arrays[lang] = entries = entries[np.argsort(entries["hash"])]
-        if (entries["hash"][1:] == entries["hash"][:-1]).any():
-            raise ValueError("two n-grams share a hash")
-    return arrays
-
-
-def _model_of(shipped) -> dict[str, HashArrays]:
-    token, arrays = shipped.value
-    return resident((HashArrays, token), lambda: {lang: HashArrays(entries) for lang, entries in arrays.items()})
+            langs, entries, bucket = _hashed(batch)
+            rows = []
+            for k in range(n):
+                mine = (bucket < 0) | (block_of[bucket] == k)
+                rows += [(k, lang, entries[mine & (langs == lang)].tobytes()) for lang in sorted(set(langs[mine]))]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.string(), pa.binary()), strict=True)] if rows else [pa.array([], t) for t in (pa.int32(), pa.string(), pa.binary())], names=["block", "lang", "entries"])
+
+    packed = on_workers(model).mapInArrow(pack, "block int, lang string, entries binary")
+    packed = materialize(packed) if n > 1 else packed
+    parts = []
+    for k in range(n):
+        found: dict[str, list[bytes]] = {}
+        for _, lang, entries in (packed.filter(F.col("block") == k) if n > 1 else packed).collect():
+            found.setdefault(lang, []).append(bytes(entries))
+        arrays = {lang: _merged(np.frombuffer(b"".join(found.pop(lang)), dtype=_ENTRY)) for lang in sorted(found)}
+        parts.append(ship(spark, arrays, sum(x.nbytes for x in arrays.values())))
+        unload(parts[-1])
+    return ModelBlocks(parts, block_of, uuid.uuid4().hex)
 
 
 # ---------------------------------------------------------------- base rules
@@ -358,76 +483,46 @@ _BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repe
 _BASE_NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def _measure(docs: DataFrame, keep: list[str], model: DataFrame, broadcast_bytes: int) -> DataFrame:
-    """The ``keep`` columns, ``lang``, base counts, ``nll`` and ``n_events`` of ``docs(keep…, lang, text)``."""
-    kept = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in keep)
-    n_entries = model.count()
-    n_keep = len(keep)
-    if n_entries * _ENTRY.itemsize <= broadcast_bytes:
-        shipped = ship(docs.sparkSession, (uuid.uuid4().hex, collect_arrays(model)), n_entries * _ENTRY.itemsize)
+def _measure(docs: DataFrame, keep: list[str], model: ModelBlocks) -> DataFrame:
+    """The ``keep`` columns, ``lang``, base counts, ``nll`` and ``n_events`` of ``docs(keep…, lang, text)``.
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            model = _model_of(shipped)
-            for batch in batches:
-                langs = batch.column(n_keep).to_pylist()
-                for a, b, texts in text_slices(batch.column(n_keep + 1), _SLICE_BYTES):
-                    words = [t.split() if t else [] for t in texts]
-                    base = [base_counts(t, w) for t, w in zip(texts, words, strict=True)]
-                    nll, events = [0] * (b - a), [0] * (b - a)
-                    by_lang: dict[str, list[int]] = {}
-                    for i, w in enumerate(words):
-                        if w:
-                            by_lang.setdefault(langs[a + i], []).append(i)
-                    for lang, at in by_lang.items():
-                        codes = [_codes(_stream(words[i])) for i in at]
-                        ends = np.cumsum([len(c) for c in codes])
-                        if lang not in model:  # no two of its documents share an n-gram
-                            for i, c in zip(at, codes, strict=True):
-                                events[i] = len(c) - ORDER + 1
-                            continue
-                        cost = model[lang].nll(np.concatenate(codes), _seed(lang))
-                        for i, end, c in zip(at, ends.tolist(), codes, strict=True):
-                            events[i] = len(c) - ORDER + 1
-                            nll[i] = int(cost[end - len(c) : end - ORDER + 1].sum())
-                    columns = [batch.column(i).slice(a, b - a) for i in range(n_keep + 1)]
-                    columns += [pa.array(x, pa.int64()) for x in (*zip(*base, strict=True), nll, events)]
-                    yield pa.RecordBatch.from_arrays(columns, names=[*keep, "lang", *_BASE_NAMES, "nll", "n_events"])
-
-        return on_workers(docs.select(*keep, "lang", "text")).mapInArrow(run, f"{kept}, lang string, {_BASE}, nll long, n_events long")
-    return _measure_by_join(docs, keep, kept, model)
-
-
-def _measure_by_join(docs: DataFrame, keep: list[str], kept: str, model: DataFrame) -> DataFrame:
-    """The same for a model of any size: the documents' n-grams are joined to it."""
-    n_keep = len(keep)
+    Of a model in several blocks, a worker goes through all of them for each
+    large slice of texts; every n-gram is looked up in one.
+    """
+    kept = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in keep)
+    n_keep, n_blocks = len(keep), len(model.parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, texts in text_slices(batch.column(n_keep + 1), _SLICE_BYTES):
+            langs = batch.column(n_keep).to_pylist()
+            for a, b, texts in text_slices(batch.column(n_keep + 1), _SLICE_BYTES if n_blocks == 1 else _WIDE_SLICE_BYTES):
                 words = [t.split() if t else [] for t in texts]
                 base = [base_counts(t, w) for t, w in zip(texts, words, strict=True)]
-                grams = [_grams_of(_stream(w)) for w in words]
+                nll, events = [0] * (b - a), [0] * (b - a)
+                by_lang: dict[str, list[int]] = {}
+                for i, w in enumerate(words):
+                    if w:
+                        by_lang.setdefault(langs[a + i], []).append(i)
+                codes = {lang: [_codes(_stream(words[i])) for i in at] for lang, at in by_lang.items()}
+                ends = {lang: np.cumsum([len(c) for c in own]).tolist() for lang, own in codes.items()}
+                codes = {lang: np.concatenate(own) for lang, own in codes.items()}
+                del words
+                cost = {lang: np.empty(len(own) - ORDER + 1, dtype=np.int32) for lang, own in codes.items()}
+                for k in range(n_blocks):
+                    arrays = model.load(k) if by_lang else {}
+                    for lang, own in codes.items():
+                        arrays[lang].nll(own, _seed(lang), cost[lang], model.mine(k))
+                for lang, at in by_lang.items():
+                    start = 0
+                    for i, end in zip(at, ends[lang], strict=True):
+                        events[i] = end - start - ORDER + 1
+                        nll[i] = int(cost[lang][start : end - ORDER + 1].sum(dtype=np.int64))
+                        start = end
                 columns = [batch.column(i).slice(a, b - a) for i in range(n_keep + 1)]
-                columns += [pa.array(x, pa.int64()) for x in zip(*base, strict=True)]
-                columns += [pa.array([list(g) for g in grams], pa.list_(pa.string())), pa.array([list(g.values()) for g in grams], pa.list_(pa.int64())), pa.array([xxhash.xxh3_128_hexdigest(t or b"") for t in texts])]
-                yield pa.RecordBatch.from_arrays(columns, names=[*keep, "lang", *_BASE_NAMES, "grams", "ns", "digest"])
-
-    split = materialize(on_workers(docs.select(*keep, "lang", "text")).mapInArrow(run, f"{kept}, lang string, {_BASE}, grams array<string>, ns array<long>, digest string"))
-    pairs = split.select("lang", "digest", "grams", "ns").dropDuplicates(["lang", "digest"]).select("lang", "digest", F.explode(F.arrays_zip("grams", "ns")).alias("z")).select("lang", "digest", F.col("z.grams").alias("gram"), F.col("z.ns").alias("n"))
-    pairs = materialize(pairs)
-    score = materialize(pairs.select("lang", "gram").distinct()).withColumn("cost", F.lit(0).cast("long")).withColumn("done", F.lit(False))
-    for k in range(ORDER, -1, -1):
-        # a suffix of k characters; before that, the weight of backing off from its context
-        if k < ORDER:
-            weight = model.filter("back is not null").select("lang", F.col("gram").alias("context"), "back")
-            score = score.withColumn("context", F.substring("gram", ORDER - k, k)).join(weight, ["lang", "context"], "left").withColumn("cost", F.when(F.col("done"), F.col("cost")).otherwise(F.col("cost") + F.coalesce("back", F.lit(0)))).drop("context", "back")
-        known = model.filter("logp is not null").select("lang", F.col("gram").alias("suffix"), "logp")
-        score = score.withColumn("suffix", F.substring("gram", ORDER - k + 1, k)).join(known, ["lang", "suffix"], "left")
-        score = score.withColumn("cost", F.when(F.col("done"), F.col("cost")).otherwise(F.col("cost") + F.coalesce("logp", F.lit(0)))).withColumn("done", F.col("done") | F.col("logp").isNotNull()).drop("suffix", "logp")
-    score = materialize(score.drop("done"))
-    sums = pairs.join(score, ["lang", "gram"]).groupBy("lang", "digest").agg((-F.sum(F.col("cost") * F.col("n"))).alias("nll"), F.sum("n").alias("n_events"))
-    joined = split.drop("grams", "ns").join(materialize(sums), ["lang", "digest"], "left")
-    return joined.select(*keep, "lang", *_BASE_NAMES, F.coalesce("nll", F.lit(0)).alias("nll"), F.coalesce("n_events", F.lit(0)).alias("n_events"))
+                columns += [pa.array(x, pa.int64()) for x in (*zip(*base, strict=True), nll, events)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*keep, "lang", *_BASE_NAMES, "nll", "n_events"])
+
+    return on_workers(docs.select(*keep, "lang", "text")).mapInArrow(run, f"{kept}, lang string, {_BASE}, nll long, n_events long")
 
 
 # ---------------------------------------------------------------- the operator
@@ -444,25 +539,25 @@ def perplexity_bands(measured: DataFrame, bands: Bands) -> DataFrame:
     bins = measured.filter("not base_failed").groupBy("lang", F.floor(F.col("mean_nll") * 100).alias("bin")).agg(F.count("*").alias("n"))
     ordered = Window.partitionBy("lang").orderBy("bin")
     bins = bins.withColumn("upto", F.sum("n").over(ordered)).withColumn("total", F.sum("n").over(Window.partitionBy("lang")))
-    q = bins.groupBy("lang").agg(*(_quantile(bins, x).alias(n) for x, n in ((0.1, "q10"), (0.5, "q50"), (0.9, "q90"))))
-    return q.select("lang", (F.col("q50") - F.greatest(F.lit(bands.least), bands.width * (F.col("q50") - F.col("q10")))).alias("low"), (F.col("q50") + F.greatest(F.lit(bands.least), bands.width * (F.col("q90") - F.col("q50")))).alias("high"))
+    q = bins.groupBy("lang").agg(*(_quantile(bins, x).alias(n) for x, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))))
+    return q.select("lang", (F.col("q50") - F.greatest(F.lit(bands.least), bands.width * (F.col("q50") - F.col("q25")))).alias("low"), (F.col("q50") + F.greatest(F.lit(bands.least), bands.width * (F.col("q75") - F.col("q50")))).alias("high"))
 
 
-def quality_rules(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), text_column: str = "text", lang_column: str = "lang", bands: Bands = Bands(), broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def quality_rules(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), text_column: str = "text", lang_column: str = "lang", bands: Bands = Bands(), block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The ``keep`` columns, base counts, ``base_failed``, ``kept``, ``lang``, ``mean_nll``, ``low``, ``high`` for every row of ``docs``.
 
     ``base_failed``: fewer than 10 words, or more than a fifth of them in
     repeated five-word windows.  Other documents are kept if the mean negative
-    log-probability of their characters lies within their language's band.  A
-    null text has no words; a null language is a language of its own; repeated
-    rows each count in the model and give a row; columns not named are not
-    read; an empty table gives an empty result.
+    log-probability of their characters lies within their language's band, and
+    rejected above and below.  A null text has no words; null and the empty
+    string are one language; repeated rows each count in the model and give a
+    row; columns not named are not read; an empty table gives an empty result.
     """
     names = [f"k{i}" for i in range(len(keep))]
     rows = docs.select(*(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)), F.coalesce(F.col(lang_column).cast("string"), F.lit("")).alias("lang"), F.col(text_column).cast("string").alias("text"))
-    model = build_model(count_grams(rows))
+    model = ship_model(build_model(count_grams(rows)), block_bytes)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    measured = _measure(rows, names, model, broadcast_bytes)
+    measured = _measure(rows, names, model)
     measured = materialize(measured.withColumn("base_failed", failed).withColumn("mean_nll", F.coalesce(F.try_divide(F.col("nll").cast("double"), F.col("n_events") * F.lit(float(UNIT))), F.lit(0.0))))
     limits = bounded(materialize(perplexity_bands(measured, bands)))
     slack = F.coalesce(F.try_divide(F.lit(bands.noise), F.sqrt("n_events")), F.lit(0.0))

@@ -10,6 +10,7 @@ back to byte pieces.
 
 Every distinct segment a worker meets is checked against the sentencepiece
 library, encoding and decoding, in the Arrow batch in which it first occurs.
+Texts are decoded from all of their ids.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, on_workers, read_bytes, resident, ship, text_slices, with_text
+from .common import CACHE_BYTES, Cache, on_workers, read_bytes, resident, ship, text_slices, with_text
 
 _MARK = "▁"
 _MARK_UTF8 = _MARK.encode()
@@ -54,7 +55,7 @@ def _repaired(run: bytes) -> bytes:
 
 
 class PieceCodec:
-    def __init__(self, model: bytes, cache_size: int = 500_000):
+    def __init__(self, model: bytes, cache_bytes: int = CACHE_BYTES):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
 
@@ -79,9 +80,12 @@ class PieceCodec:
             if p.type == _BYTE:
                 self.byte_id[int(p.piece[1:-1], 16)] = i
                 self.byte_of[i] = int(p.piece[1:-1], 16)
+        # what a piece decodes to, but for the space of a first one
+        plain = {_NORMAL: lambda i: self.pieces[i].replace(_MARK, " ").encode(), _UNKNOWN: lambda i: " ⁇ ".encode(), _CONTROL: lambda i: b"", _BYTE: lambda i: bytes([self.byte_of[i]])}
+        self._bytes = [plain[k](i) for i, k in enumerate(self.kinds)]
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.bos, self.eos = self.library.bos_id(), self.library.eos_id()
-        self._cache: Cache[bytes] = Cache(cache_size)
+        self._cache: Cache[bytes] = Cache(cache_bytes)
 
     def encode_segment(self, segment: str) -> list[int]:
         """Ids of one segment, whose spaces are already marks."""
@@ -123,9 +127,17 @@ class PieceCodec:
 
     def decode(self, ids: list[int]) -> str:
         """Text of any ids: control pieces vanish, byte pieces become characters, the space of a first ordinary piece goes."""
+        return self.decode_bytes(ids).decode()
+
+    def decode_bytes(self, ids: list[int]) -> bytes:
+        """The same as UTF-8."""
+        text = b"".join(map(self._bytes.__getitem__, ids))
+        try:
+            text.decode()
+        except UnicodeDecodeError:  # byte pieces that make no characters
+            text = self._decode(ids)
         first = next((i for i in ids if self.kinds[i] != _CONTROL), None)
-        text = self._decode(ids)
-        return (text[1:] if first is not None and self.kinds[first] == _NORMAL and self.pieces[first].startswith(_MARK) else text).decode()
+        return text[1:] if first is not None and self.kinds[first] == _NORMAL and self.pieces[first].startswith(_MARK) else text
 
     def _decode(self, ids: list[int]) -> bytes:
         out: list[bytes] = []
@@ -137,10 +149,7 @@ class PieceCodec:
             if run:
                 out.append(_repaired(bytes(run)))
                 run = bytearray()
-            if self.kinds[i] == _UNKNOWN:
-                out.append(" ⁇ ".encode())
-            elif self.kinds[i] == _NORMAL:
-                out.append(self.pieces[i].replace(_MARK, " ").encode())
+            out.append(self._bytes[i])
         out.append(_repaired(bytes(run)))
         return b"".join(out)
 
@@ -160,8 +169,8 @@ class PieceCodec:
                 raise AssertionError(f"segment {k!r} decodes to {b!r}")
         return {k: np.array(c, dtype="<u4").tobytes() for k, c in zip(keys, coded, strict=True)}
 
-    def run(self, texts: list[bytes | None]) -> list[tuple[bytes, bytes]]:
-        """Ids (little-endian unsigned 32-bit, with begin and end) and the decoded text of each text."""
+    def encode(self, texts: list[bytes | None]) -> list[bytes]:
+        """Ids of each text (little-endian unsigned 32-bit, with begin and end)."""
         parts: list[list[bytes]] = []
         wanted: set[bytes] = set()
         for t in texts:
@@ -178,8 +187,11 @@ class PieceCodec:
             wanted.update(p)
         ids_of = self._cache.serve(wanted, self._learn).__getitem__
         begin, end = (np.array([x], dtype="<u4").tobytes() for x in (self.bos, self.eos))
-        # a segment decodes to a space and its key, so a text to its keys with spaces between
-        return [(begin + b"".join(map(ids_of, p)) + end, b" ".join(p)) for p in parts]
+        return [begin + b"".join(map(ids_of, p)) + end for p in parts]
+
+    def run(self, texts: list[bytes | None]) -> list[tuple[bytes, bytes]]:
+        """Ids of each text, and what all of its ids together decode to."""
+        return [(ids, self.decode_bytes(np.frombuffer(ids, dtype="<u4").tolist())) for ids in self.encode(texts)]
 
     def check_texts(self, texts: list[bytes | None], results: list[tuple[bytes, bytes]]) -> None:
         """Hold whole texts against the library."""

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, on_workers, read_bytes, resident, ship, text_slices
+from .common import CACHE_BYTES, Cache, on_workers, read_bytes, resident, ship, text_slices
 
 _NONE = np.int64(1) << 40
 _ASCII_SPACE = re.compile(rb"[\x20\x09-\x0D]+")
@@ -32,7 +32,7 @@ _ASCII_SPACE = re.compile(rb"[\x20\x09-\x0D]+")
 class RankMerger:
     """Counts tokens of a BPE vocabulary with an end-of-word suffix, given as the JSON of the tokenizers library."""
 
-    def __init__(self, definition: bytes, cache_size: int = 500_000):
+    def __init__(self, definition: bytes, cache_bytes: int = CACHE_BYTES):
         from tokenizers import Tokenizer
 
         spec = json.loads(definition)
@@ -61,7 +61,7 @@ class RankMerger:
         key, rank = key[order], rank[order]
         keep = np.concatenate(([True], key[1:] != key[:-1]))
         self.keys, self.ranks, self.made = key[keep], rank[keep], made
-        self._cache: Cache[int] = Cache(cache_size)
+        self._cache: Cache[int] = Cache(cache_bytes)
 
     def survivors(self, pretokens: list[str]) -> np.ndarray:
         """Symbols left of each pre-token once no merge applies."""

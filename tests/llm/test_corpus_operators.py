@@ -14,10 +14,10 @@ import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from siftlake.llm import chat_format, registry
+from siftlake.llm import chat_format, line_dedup, perplexity, registry
 from siftlake.llm.components import components
 from siftlake.llm.line_dedup import banded_distance, dedup_lines, dedup_report, edit_links
-from siftlake.llm.perplexity import ORDER, Bands, build_model, count_grams, quality_rules
+from siftlake.llm.perplexity import ORDER, build_model, count_grams, quality_rules, ship_model
 from siftlake.llm.quality_qda import FEATURES, QuadraticDiscriminant, quality_scores, statistics
 from siftlake.llm.sharding import shard_documents
 from siftlake.llm.simhash import _flips, fingerprint, links, near_duplicates
@@ -169,6 +169,31 @@ def test_edit_links_against_brute_force(spark, threshold):
     assert got == want
 
 
+@pytest.mark.parametrize("hot_pairs", [0, 8])
+def test_lines_that_share_a_segment_keep_all_links(spark, monkeypatch, hot_pairs):
+    rnd = random.Random(31)
+    heads = ["all of these lines start alike, é " * 2, "short head "]
+    lines = set()
+    for h in heads:
+        for _ in range(25):
+            tail = "".join(rnd.choice("abc01") for _ in range(rnd.randrange(6, 14)))
+            lines |= {h + tail, changed(rnd, h + tail, 3), changed(rnd, h, 2) + tail}
+    lines = sorted(x for x in lines if len(x) >= 10)
+    df = spark.createDataFrame([(i, (len(s) << 32) + i, s, len(s)) for i, s in enumerate(lines)], "h1 long, h2 long, line string, n_chars int")
+    monkeypatch.setattr(line_dedup, "_HOT_PAIRS", hot_pairs)
+    got = {(r.a.h1, r.b.h1): r.distance for r in edit_links(df).collect()}
+    assert got == {(i, j): d for j in range(len(lines)) for i in range(j) if abs(len(lines[i]) - len(lines[j])) <= 2 and (d := edit_distance(lines[i], lines[j])) <= 2}
+
+
+def test_twenty_thousand_lines_that_share_a_segment(spark):
+    rnd = random.Random(32)
+    lines = list({"this line is the same in all of them " + "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(24)) for _ in range(20_000)})
+    near = [(i, x[:-3] + "!" + x[-2:]) for i, x in enumerate(lines[:20])]
+    rows = [(i, (len(s) << 32) + i, s, len(s)) for i, s in enumerate([*lines, *(x for _, x in near)])]
+    links = edit_links(spark.createDataFrame(rows, "h1 long, h2 long, line string, n_chars int"))
+    assert {(r.a.h1, r.b.h1) for r in links.collect()} == {(i, len(lines) + k) for k, (i, _) in enumerate(near)}
+
+
 @pytest.mark.parametrize("threshold", [1, 2, 4])
 def test_banded_distance(spark, threshold):
     rnd, pairs = random.Random(threshold), []
@@ -182,20 +207,21 @@ def test_banded_distance(spark, threshold):
         assert min(r.d, threshold + 1) == min(edit_distance(r.a, r.b), threshold + 1), r
 
 
-def brute_lines(texts, min_chars=40, threshold=2):
+def brute_lines(texts, min_chars=40, threshold=2, short_lines=False):
     """Dropped positions of each document, and links of its lines."""
     first = {}
+    takes_part = lambda x: len(x) >= min_chars or short_lines and WORD.search(x)
     for i, t in enumerate(texts):
         for p, line in enumerate(t.split("\n") if t is not None else []):
-            if len(line) >= min_chars:
+            if takes_part(line):
                 first.setdefault(line, (i, p))
-    linked = {a: [b for b in first if a != b and edit_distance(a, b) <= threshold] for a in first}
+    long = [x for x in first if len(x) >= min_chars]
+    linked = {a: [b for b in long if len(a) >= min_chars and a != b and edit_distance(a, b) <= threshold] for a in first}
     dropped, n_links = [], []
     for i, t in enumerate(texts):
-        lines = t.split("\n") if t is not None else []
-        long = [(p, x) for p, x in enumerate(lines) if len(x) >= min_chars]
-        dropped.append([p for p, x in long if first[x] != (i, p) or any(first[b] < first[x] for b in linked[x])])
-        n_links.append(sum(len(linked[x]) for _, x in long))
+        lines = [(p, x) for p, x in enumerate(t.split("\n") if t is not None else []) if takes_part(x)]
+        dropped.append([p for p, x in lines if first[x] != (i, p) or any(first[b] < first[x] for b in linked[x])])
+        n_links.append(sum(len(linked[x]) for _, x in lines))
     return dropped, n_links
 
 
@@ -250,27 +276,37 @@ def grams_of(text):
     return [s[i : i + ORDER] for i in range(len(s) - ORDER + 1)] if words else []
 
 
-def brute_kneser_ney(texts):
-    """Probabilities of n-grams of all orders and weights of backing off, straight from the definition."""
-    top, n_docs = Counter(), Counter()
+def brute_kneser_ney(texts, shared_only=True):
+    """Probabilities of n-grams of all orders and weights of backing off, straight from the definition; those that one text alone has (with its copies) go at the end."""
+    counts, owners = {ORDER: Counter()}, {ORDER: defaultdict(set)}
     for t in texts:
-        top.update(own := grams_of(t))
-        n_docs.update(set(own))
-    counts = {ORDER: Counter({g: c for g, c in top.items() if n_docs[g] > 1})}
+        counts[ORDER].update(own := grams_of(t))
+        for g in own:
+            owners[ORDER][g].add(tuple(own))
     for k in range(ORDER - 1, 0, -1):
         counts[k] = Counter(g[1:] for g in counts[k + 1])
-    p, back = {"": 1 / (len(counts[1]) + 1)}, {}
+        owners[k] = defaultdict(set)
+        for g, who in owners[k + 1].items():
+            owners[k][g[1:]] |= who
+    p, back, alone = {"": 1 / (len(counts[1]) + 1)}, {}, defaultdict(set)
     for k in range(1, ORDER + 1):
         n = [sum(c == j for c in counts[k].values()) for j in range(5)]
         y = n[1] / (n[1] + 2 * n[2]) if n[1] + 2 * n[2] else None
-        d = [0.0] + [max(0.0, min(float(j), j - (j + 1) * y * n[j + 1] / n[j])) if y is not None and n[j] else j / 2 for j in (1, 2, 3)]
-        followers = defaultdict(list)
+        d = [0.0] + [max(0.01, min(float(j), j - (j + 1) * y * n[j + 1] / n[j])) if y is not None and n[j] else j / 2 for j in (1, 2, 3)]
+        followers, context_owners = defaultdict(list), defaultdict(set)
         for g, c in counts[k].items():
             followers[g[:-1]].append(c)
+            context_owners[g[:-1]] |= owners[k][g]
         for g, c in counts[k].items():
             own = followers[g[:-1]]
             back[g[:-1]] = gamma = sum(d[min(x, 3)] for x in own) / sum(own)
             p[g] = (c - d[min(c, 3)]) / sum(own) + gamma * p[g[1:]]
+            if len(owners[k][g]) < 2:
+                alone["p"].add(g)
+            if len(context_owners[g[:-1]]) < 2:
+                alone["back"].add(g[:-1])
+    if shared_only:
+        p, back = {g: x for g, x in p.items() if g not in alone["p"]}, {g: x for g, x in back.items() if g not in alone["back"]}
     return p, back
 
 
@@ -296,25 +332,43 @@ def test_base_rules_and_bands(spark):
         assert r.kept == (not r.base_failed and r.low <= r.mean_nll <= r.high)
 
 
-def test_both_ways_of_scoring_agree(spark):
+def test_scoring_by_blocks_agrees(spark):
     docs = frame(spark, TEXTS).union(frame(spark, TEXTS[4:7]))
     docs = docs.unionByName(docs.limit(6).withColumn("lang", docs["source"].substr(5, 1)))
-    one, two = ([tuple(r) for r in quality_rules(docs, broadcast_bytes=b).collect()] for b in (1 << 20, 0))
-    assert sorted(map(repr, one)) == sorted(map(repr, two))
+    one, many = ([tuple(r) for r in quality_rules(docs, block_bytes=b).collect()] for b in (1 << 20, 6000))
+    assert sorted(map(repr, one)) == sorted(map(repr, many))
+
 
+def test_model_is_dealt_into_blocks(spark):
+    model = build_model(count_grams(frame(spark, TEXTS).select("lang", "text")))
+    whole, blocks = ship_model(model), ship_model(model, 6000)
+    assert len(whole.parts) == 1 and len(blocks.parts) > 2
+    entries = [b.value["en"] for b in blocks.parts]
+    assert set(np.concatenate(entries)["hash"]) == set(whole.parts[0].value["en"]["hash"]) and max(x.nbytes for x in entries) < whole.parts[0].value["en"].nbytes
 
-def test_model_is_kneser_ney(spark):
-    want, back = brute_kneser_ney(TEXTS)
-    docs = frame(spark, TEXTS).select("lang", "text")
-    got = {r.gram: r.logp for r in build_model(count_grams(docs)).filter("logp is not null").collect()}
-    assert got.keys() == want.keys()
+
+@pytest.mark.parametrize("shared_only", [True, False])
+def test_model_is_kneser_ney(spark, shared_only):
+    texts = [*TEXTS, TEXTS[5], TEXTS[9]]
+    want, back = brute_kneser_ney(texts, shared_only)
+    model = build_model(count_grams(frame(spark, texts).select("lang", "text")), shared_only=shared_only)
+    got = {r.gram: r.logp for r in model.filter("logp is not null").collect()}
+    assert got.keys() == want.keys() and len(got) > 100
     for g, p in want.items():
         assert abs(got[g] / 2**20 - np.log(p)) < 2e-6
-    weights = {r.gram: r.back for r in build_model(count_grams(docs)).filter("back is not null").collect()}
-    assert weights.keys() == {c for c, g in back.items() if g > 0}
+    weights = {r.gram: r.back for r in model.filter("back is not null").collect()}
+    assert weights.keys() == back.keys()
     assert all(abs(w / 2**20 - np.log(back[c])) < 2e-6 for c, w in weights.items())
 
 
+def test_whole_model_is_a_distribution(spark):
+    p, back = brute_kneser_ney(TEXTS, shared_only=False)
+    alphabet = {g for g in p if len(g) == 1}
+    for context in ("", "a", "the ", "on t", "ne", "    "):
+        # one more character stands for all that the corpus lacks
+        assert abs(sum(backed_off(p, back, context + c) for c in alphabet) + backed_off(p, back, context + "\0") - 1) < 1e-9
+
+
 def test_perplexity_is_that_of_the_model(spark):
     p, back = brute_kneser_ney(TEXTS)
     for r in quality_rules(frame(spark, TEXTS)).collect():
@@ -322,13 +376,44 @@ def test_perplexity_is_that_of_the_model(spark):
             assert abs(r.mean_nll + sum(np.log(backed_off(p, back, g)) for g in grams) / len(grams)) < 1e-5
 
 
-def test_noise_leaves_the_band(spark):
+def test_counting_in_parts_agrees(spark, monkeypatch):
+    """A worker that puts out its n-grams early, and alphabets beyond what is packed, change nothing."""
+    monkeypatch.setattr(perplexity, "_HELD", 40)
+    monkeypatch.setattr(perplexity, "_CHUNK", 64)
+    monkeypatch.setattr(perplexity, "_ROWS", 16)
+    monkeypatch.setattr(perplexity, "_BITS", 6)
+    cloudpickle.register_pickle_by_value(perplexity)
+    try:
+        counted = {r.gram: r.c for r in count_grams(frame(spark, TEXTS).select("lang", "text")).collect()}
+    finally:
+        cloudpickle.unregister_pickle_by_value(perplexity)
+    assert counted == Counter(g for t in TEXTS for g in grams_of(t))
+
+
+def clean_texts(rnd, n, words=60):
+    vocabulary = ["".join(rnd.choice("etaoinshr") for _ in range(rnd.randrange(2, 7))) for _ in range(words)]
+    return [" ".join(rnd.choice(vocabulary) for _ in range(120)) for _ in range(n)]
+
+
+def test_noise_leaves_the_band_whatever_its_copies(spark):
     rnd = random.Random(5)
-    vocabulary = ["".join(rnd.choice("etaoinshr") for _ in range(rnd.randrange(2, 7))) for _ in range(60)]
-    clean = [" ".join(rnd.choice(vocabulary) for _ in range(120)) for _ in range(60)]
-    noise = ["".join(chr(rnd.randrange(33, 4000)) + " " * (j % 5 == 0) for j in range(300))]
-    rows = {r.doc_id: r for r in quality_rules(frame(spark, clean + noise), bands=Bands(width=6, least=1.0)).collect()}
-    assert all(rows[i].kept for i in range(60)) and not rows[60].kept and not rows[60].base_failed
+    noise = ["".join(chr(rnd.randrange(33, 126)) + " " * (j % 5 == 0) for j in range(300)) for _ in range(4)]
+    texts = clean_texts(rnd, 60) + [x for k, x in enumerate(noise) for _ in range(k + 1)]
+    rows = {r.doc_id: r for r in quality_rules(frame(spark, texts)).collect()}
+    assert all(rows[i].kept for i in range(60))
+    for i in range(60, len(texts)):
+        assert not rows[i].kept and not rows[i].base_failed and rows[i].mean_nll > rows[i].high
+
+
+def test_stock_phrases_leave_the_band_below(spark):
+    rnd = random.Random(6)
+    stock = "in accordance with the aforementioned provisions hereinafter referred to as regulations concerning documentation".split()
+    texts = [f"{t} {' '.join(stock)} {t[::-1][:40]}" for t in clean_texts(rnd, 60, 800)]
+    # the phrase again and again, broken off so early and in so many ways that few windows of five words repeat
+    below = " ".join(" ".join(stock[i : i + n]) for n in (2, 3, 4) for i in range(len(stock) - n + 1))
+    rows = {r.doc_id: r for r in quality_rules(frame(spark, [*texts, below])).collect()}
+    assert all(rows[i].kept for i in range(60))
+    assert not rows[60].base_failed and rows[60].mean_nll < rows[60].low and not rows[60].kept
 
 
 def test_quality_rules_without_documents(spark):
@@ -351,6 +436,25 @@ def test_discriminant_is_that_of_two_gaussians():
     assert np.allclose(model.score(x), 1 / (1 + np.exp(log[0] - log[1])), atol=1e-6)
 
 
+def test_calibration_fits_the_labels():
+    rng = np.random.default_rng(1)
+    margins = np.arange(-100, 101) * 0.5
+    truth = 1 / (1 + np.exp(-(0.3 * margins - 1)))
+    total = rng.integers(200, 400, len(margins))
+    ones = rng.binomial(total, truth)
+    model = QuadraticDiscriminant()
+    model._means = [np.zeros(1)]
+    slope, offset = model.calibrate(margins, np.stack([total - ones, ones], axis=1).astype(float)).line
+    assert abs(slope - 0.3) < 0.02 and abs(offset + 1) < 0.1
+    for counts in (np.zeros((201, 2)), np.eye(201, 2), np.stack([total, 0 * total], axis=1)):
+        assert QuadraticDiscriminant().calibrate(margins, counts).line == (1.0, 0.0)
+    model = QuadraticDiscriminant()
+    model._means = [np.zeros(1)]
+    # labels that the margins part, and margins that mislead
+    assert 0 < model.calibrate(margins, np.stack([margins < 0, margins >= 0], axis=1).astype(float)).line[0] < 100
+    assert model.calibrate(margins, np.stack([margins > 0, margins <= 0], axis=1).astype(float)).line[0] > 0
+
+
 def test_statistics_of_odd_texts():
     for t in (None, b"", b" \n ", b"a", "ü\n\n".encode() * 1000, b"x" * 200_000):
         values = statistics(t)
@@ -370,6 +474,14 @@ def test_quality_on_held_out_documents(spark):
     assert np.mean([(g > b) + (g == b) / 2 for g in good for b in bad]) > 0.97
 
 
+def test_scores_are_calibrated(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.quality for r in registry.table(spark, sf, "labels").collect()}
+    held = [(r.score, labels[r.doc_id]) for r in registry.op4_quality_qda(spark, sf).collect() if r.held_out and r.doc_id in labels]
+    p, y = (np.array(x) for x in zip(*held, strict=True))
+    assert -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)) < 0.1 and abs(p.mean() - y.mean()) < 0.02
+
+
 def test_quality_with_odd_labels(spark):
     docs = frame(spark, [None, "", "some text", "more text"])
     odd = spark.createDataFrame([(0, None, 1), (1, 1, 0), (1, 1, 0), (None, 0, 1), (2, 7, 0)], "doc_id long, quality int, score int")

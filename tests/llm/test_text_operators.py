@@ -27,7 +27,7 @@ CLASH = "id long, k0 long, text_in string, n_tokens long, host string, TEXT_ str
 @pytest.fixture(scope="module")
 def merger():
     with open(TOKENIZER, "rb") as f:
-        return RankMerger(f.read(), cache_size=50)
+        return RankMerger(f.read(), cache_bytes=10_000)
 
 
 @pytest.fixture(scope="module")
@@ -40,7 +40,7 @@ def library():
 @pytest.fixture(scope="module")
 def codec():
     with open(PIECES, "rb") as f:
-        return PieceCodec(f.read(), cache_size=50)
+        return PieceCodec(f.read(), cache_bytes=10_000)
 
 
 def odd_rows(spark):
