@@ -22,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import on_workers, resident, ship, text_slices
+from .common import SLICE_BYTES, materialize, on_workers, resident, ship, text_slices, unload
 
 WINDOW = 10
-#: UTF-8 bytes of benchmark text that one automaton holds; a larger benchmark is streamed through in blocks.
+#: UTF-8 bytes of benchmark text that one automaton holds; of a larger benchmark a worker holds one block after the other against each wide slice of texts.
 BLOCK_BYTES = 2 << 20
+_WIDE_SLICE_BYTES = 32 << 20
 # What is no word character becomes a space, A-Z become lower case.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -168,22 +169,31 @@ class ItemAutomaton:
         return found
 
 
-def _automaton(shipped, window: int) -> ItemAutomaton:
-    items, key = shipped.value
-    return resident((ItemAutomaton, key), lambda: ItemAutomaton(items, window))
+def _automaton(shipped, key: str, window: int) -> ItemAutomaton:
+    """A worker holds one block's automaton at a time, and not the items it is made of."""
+
+    def build() -> ItemAutomaton:
+        made = ItemAutomaton(shipped.value, window)
+        unload(shipped)
+        return made
+
+    return resident((ItemAutomaton, key), build)
 
 
 def _blocks(benchmark: DataFrame, item_column: str, text_column: str, block_bytes: int, window: int) -> list:
-    """Broadcasts of the items, each of about ``block_bytes``."""
+    """Broadcasts of the items, each of about ``block_bytes``, with a name for what is in them."""
     items = benchmark.select(F.coalesce(F.col(item_column).cast("string"), F.lit("")).alias("item"), F.col(text_column).cast("string").alias("text")).filter("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
+    if n > 1:  # sorted by block, so that each is read alone
+        items = materialize(items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n))).repartitionByRange(n, "block"))
     out = []
     for k in range(n):
-        part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        rows = sorted({(r[0], r[1].encode()) for r in part.toLocalIterator()})
+        part = items if n == 1 else items.filter(F.col("block") == k)
+        rows = sorted({(r[0], r[1].encode()) for r in part.select("item", "text").toLocalIterator()})
         key = hashlib.sha256(repr((window, rows)).encode()).hexdigest()
-        out.append(ship(benchmark.sparkSession, (rows, key), sum(len(t) + len(i) for i, t in rows)))
+        out.append((ship(benchmark.sparkSession, rows, sum(len(t) + len(i) for i, t in rows)), key))
+        unload(out[-1][0])
     return out
 
 
@@ -208,48 +218,56 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, *, keep: tuple[str, ..
     A null or word-less text has no words and no hits.  Items without words
     match nothing, repeated items count once by id, a null item id reads as the
     empty string.  Repeated documents each give a row; columns not in ``keep``
-    are not read; empty tables are allowed on either side.
+    are not read; empty tables are allowed on either side.  An item must fit a
+    broadcast (64 MB; an error beyond).
     """
     parts = _blocks(benchmark, item_column, item_text_column, block_bytes, window)
     k = len(keep)
     names = [f"k{i}" for i in range(k)]
-    kept_schema = [f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)]
-    frame = docs.select(*(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)), F.col(text_column).cast("string").alias("text_in"), F.lit(None).cast("array<int>").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
-
-    def step(shipped, last: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            automaton = _automaton(shipped, window)
-            for batch in batches:
-                for a, b, texts in text_slices(batch.column(k)):
-                    docs_words = [words_of(t) for t in texts]
-                    found = automaton.scan(docs_words)
-                    old = zip(batch.column(k + 1).slice(a, b - a).to_pylist(), batch.column(k + 2).slice(a, b - a).to_pylist(), strict=True)
-                    merged = [(_union([*spans, *zip(h[::2], h[1::2], strict=True)]) if h else spans, sorted(items.union(n or ()))) for (spans, items), (h, n) in zip(found, old, strict=True)]
-                    columns = [batch.column(i).slice(a, b - a) for i in range(k)]
-                    if not last:
-                        columns += [batch.column(k).slice(a, b - a), pa.array([[x for s in m[0] for x in s] for m in merged], pa.list_(pa.int32())), pa.array([m[1] for m in merged], pa.list_(pa.string()))]
-                        yield pa.RecordBatch.from_arrays(columns, names=[*names, "text_in", "hits", "items"])
-                        continue
-                    n_words = [len(w) for w in docs_words]
-                    n_hit = [sum(y - x for x, y in m[0]) for m in merged]
-                    columns += [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([m[1] for m in merged], pa.list_(pa.string()))]
-                    extra = []
-                    if with_text:
-                        clean = []
-                        for t, m in zip(texts, merged, strict=True):
-                            long = [s for s in m[0] if s[1] - s[0] >= span_limit]
-                            clean.append(cut(t, long).decode() if long else None if t is None else t.decode())
-                        columns += [pa.array(clean, pa.string()), pa.array([h > coverage_limit * w for h, w in zip(n_hit, n_words, strict=True)], pa.bool_())]
-                        extra = ["clean_text", "over_coverage"]
-                    yield pa.RecordBatch.from_arrays(columns, names=[*names, "n_words", "n_hit", "items", *extra])
-
-        return run
-
-    for i, shipped in enumerate(parts):
-        last = i == len(parts) - 1
-        tail = ["n_words long", "n_hit long", "items array<string>", *(["clean_text string", "over_coverage boolean"] if with_text else [])] if last else ["text_in string", "hits array<int>", "items array<string>"]
-        frame = on_workers(frame).mapInArrow(step(shipped, last), ", ".join([*kept_schema, *tail]))
-    return frame.select(*(F.col(n).alias(c) for c, n in zip(keep, names, strict=True)), *(c for c in frame.columns if c not in names))
+    extra = ["clean_text", "over_coverage"] if with_text else []
+    tail = ["n_words long", "n_hit long", "items array<string>", *(["clean_text string", "over_coverage boolean"] if with_text else [])]
+    schema = ", ".join([*(f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)), *tail])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, texts in text_slices(batch.column(k), SLICE_BYTES if len(parts) == 1 else _WIDE_SLICE_BYTES):
+                merged: list[tuple[list[tuple[int, int]], set[str]]] = [([], set()) for _ in texts]
+                n_words = [0] * len(texts)
+                for shipped, key in parts:
+                    automaton = _automaton(shipped, key, window)
+                    for lo, hi, some in _small_slices(texts):
+                        words = [words_of(t) for t in some]
+                        n_words[lo:hi] = map(len, words)
+                        for i, (spans, items) in enumerate(automaton.scan(words), lo):
+                            if spans:
+                                merged[i] = _union([*merged[i][0], *spans]) if merged[i][0] else spans, merged[i][1] | items
+                n_hit = [sum(y - x for x, y in spans) for spans, _ in merged]
+                columns = [batch.column(i).slice(a, b - a) for i in range(k)]
+                columns += [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([sorted(items) for _, items in merged], pa.list_(pa.string()))]
+                if with_text:
+                    clean = []
+                    for t, (spans, _) in zip(texts, merged, strict=True):
+                        long = [s for s in spans if s[1] - s[0] >= span_limit]
+                        clean.append(cut(t, long).decode() if long else None if t is None else t.decode())
+                    columns += [pa.array(clean, pa.string()), pa.array([h > coverage_limit * w for h, w in zip(n_hit, n_words, strict=True)], pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, "n_words", "n_hit", "items", *extra])
+
+    rows = docs.select(*(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)), F.col(text_column).cast("string").alias("text_in"))
+    found = on_workers(rows).mapInArrow(run, schema)
+    return found.select(*(F.col(n).alias(c) for c, n in zip(keep, names, strict=True)), "n_words", "n_hit", "items", *extra)
+
+
+def _small_slices(texts: list[bytes | None]) -> Iterator[tuple[int, int, list[bytes | None]]]:
+    """Consecutive ranges of ``texts`` with about ``SLICE_BYTES`` each."""
+    start = total = 0
+    for i, t in enumerate(texts):
+        size = len(t or b"")
+        if i > start and total + size > SLICE_BYTES:
+            yield start, i, texts[start:i]
+            start, total = i, 0
+        total += size
+    if start < len(texts):
+        yield start, len(texts), texts[start:]
 
 
 def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
