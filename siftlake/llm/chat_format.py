@@ -10,9 +10,13 @@ texts in the last turn: the outputs part where the text starts, and what
 follows them is the turn's tail.
 
 Rendering all prefixes takes time that grows with the square of a
-conversation's turns.  Beyond ``ALL_PREFIXES`` turns, prefixes of the last few
-turns are compared instead, and the result is held against the output for the
-whole conversation; where that doesn't agree, all prefixes are rendered.
+conversation's turns.  A template may declare (``turn_local = True``) that what
+it puts out for a turn depends on that turn alone.  Only then, and beyond
+``ALL_PREFIXES`` turns, prefixes of the last few turns are rendered instead, and
+the result is held against the output for the whole conversation and its
+prefixes of doubling lengths; where these don't agree, all prefixes are
+rendered.  Every prefix of any other template is rendered, however long the
+conversation.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import on_workers
+from .common import on_workers, release
 
 Turn = tuple[str, str]
 
@@ -39,13 +43,21 @@ class Template(Protocol):
 class MarkedTurns:
     """``### role: text </turn>`` per turn; roles and texts are escaped so that no control string can occur in them."""
 
-    _ESCAPE = {ord("\\"): "\\\\", ord("#"): "\\h", ord("<"): "\\l"}
-    _ESCAPE_ROLE = _ESCAPE | {ord(":"): "\\c", ord("\n"): "\\n"}
+    turn_local = True
+    # the backslash comes first
+    _ESCAPE = (("\\", "\\\\"), ("#", "\\h"), ("<", "\\l"))
+    _ESCAPE_ROLE = (*_ESCAPE, (":", "\\c"), ("\n", "\\n"))
     _BACK = {"\\": "\\", "h": "#", "l": "<", "c": ":", "n": "\n"}
     _OPEN, _MIDDLE, _CLOSE = "### ", ": ", " </turn>\n"
 
     def render(self, turns: list[Turn]) -> str:
-        return "".join(f"{self._OPEN}{role.translate(self._ESCAPE_ROLE)}{self._MIDDLE}{text.translate(self._ESCAPE)}{self._CLOSE}" for role, text in turns)
+        return "".join([f"{self._OPEN}{self._escaped(role, self._ESCAPE_ROLE)}{self._MIDDLE}{self._escaped(text, self._ESCAPE)}{self._CLOSE}" for role, text in turns])
+
+    @staticmethod
+    def _escaped(text: str, pairs: tuple[tuple[str, str], ...]) -> str:
+        for plain, escaped in pairs:
+            text = text.replace(plain, escaped)
+        return text
 
     def unescape(self, text: str) -> str:
         head, *rest = text.split("\\")
@@ -66,7 +78,7 @@ class MarkedTurns:
 
 
 Span = tuple[int, int, int, int]
-#: Conversations of up to this many turns have all their prefixes rendered.
+#: Conversations of up to this many turns have all their prefixes rendered, and all conversations with templates that aren't declared turn-local.
 ALL_PREFIXES = 64
 #: Turns before the new one that are rendered again in a longer conversation.
 LOOK_BACK = 8
@@ -126,7 +138,7 @@ def _by_windows(template: Template, turns: list[Turn]) -> tuple[str, list[Span]]
 
 def locate(template: Template, turns: list[Turn]) -> tuple[str, list[Span], int | None]:
     """The formatted conversation, each turn's ``(start, end, text_start, text_end)``, and the first turn that rewrites history (then the spans end before it)."""
-    if len(turns) > ALL_PREFIXES and (found := _by_windows(template, turns)):
+    if getattr(template, "turn_local", False) and len(turns) > ALL_PREFIXES and (found := _by_windows(template, turns)):
         return *found, None
     return _by_prefixes(template, turns)
 
@@ -149,6 +161,7 @@ def format_conversations(rows: DataFrame, template: Template, *, loss_role: str
         return conv, formatted, [list(s) for s in spans], loss, rewritten
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         out: list[tuple] = []
         size, kind = 0, pa.int64()
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import on_workers
+from .common import on_workers, release
 
 # Fixed values: (host, path, verdict); a rule fits its host, all subdomains, and paths with its prefix.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -96,6 +96,7 @@ def filter_urls(pages: DataFrame, *, id_column: str = "page_id", url_column: str
     id_type = pages.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         index, vocabulary = RuleIndex(rules), Vocabulary(strict, soft)
         for batch in batches:
             rows = []
