@@ -5,8 +5,11 @@ Per class, count, sum and sum of outer products are added up over all labelled
 training rows, in each Arrow batch and then over the batches, so no rows are
 collected.  Class covariances are shrunk towards the pooled one and towards a
 multiple of the identity; their Cholesky factors are computed once and kept in
-the model.  A score is the logistic of the difference of the two Mahalanobis
-log-densities plus the log prior odds.
+the model.  The margin is the difference of the two Mahalanobis log-densities
+plus the log prior odds.  As the statistics are not Gaussian, margins are too
+sure of themselves: one training fold is kept for calibration, its margins are
+counted by label in a histogram, and a score is the logistic of the straight
+line through the margin that fits these counts best.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, on_workers, text_slices
+from .common import materialize, on_workers, release, text_slices
 
 # Byte classes that are counted (non-ASCII characters by their first byte).
 _CLASSES = {
@@ -90,6 +93,7 @@ class QuadraticDiscriminant:
     shrink_pooled: float = 0.2
     shrink_identity: float = 0.005
     prior_weight: float = 1.0
+    line: tuple[float, float] = (1.0, 0.0)
     _means: list[np.ndarray] = field(default_factory=list)
     _factors: list[np.ndarray] = field(default_factory=list)
     _offsets: list[float] = field(default_factory=list)
@@ -118,12 +122,69 @@ class QuadraticDiscriminant:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Probability of class 1 for each row of ``x``."""
+        slope, offset = self.line
+        return 1 / (1 + np.exp(-np.clip(slope * self.margin(x) + offset, -500, 500)))
+
+    def margin(self, x: np.ndarray) -> np.ndarray:
+        """Log-odds of class 1 before calibration."""
         difference = np.full(len(x), self._log_odds)
         if self._means:
             for k, sign in ((0, -1.0), (1, 1.0)):
                 z = (x / self._scale - self._means[k]) @ self._factors[k].T
                 difference += sign * (self._offsets[k] - 0.5 * np.einsum("ij,ij->i", z, z))
-        return 1 / (1 + np.exp(-np.clip(difference, -500, 500)))
+        return difference
+
+    def calibrate(self, margins: np.ndarray, counts: np.ndarray) -> QuadraticDiscriminant:
+        """Fit the line to ``counts`` (n, 2) of labels at ``margins`` by Newton's method, with targets smoothed by a count of one.
+
+        Nothing changes without counts of both labels; the line never falls.
+        """
+        total = counts.sum(axis=0)
+        if not self._means or min(total) < 1:
+            return self
+        low, high = 1 / (total[0] + 2), (total[1] + 1) / (total[1] + 2)
+        weight, hits = counts.sum(axis=1), counts[:, 0] * low + counts[:, 1] * high
+        scale = max(1.0, float(np.abs(margins[weight > 0]).max()))
+        z = np.stack([margins / scale, np.ones(len(margins))], axis=1)
+        at = np.array([0.0, np.log(hits.sum() / (weight.sum() - hits.sum()))])
+
+        def loss(w: np.ndarray) -> float:
+            v = z @ w
+            return float((weight * np.logaddexp(0, v) - hits * v).sum() + 1e-6 * w @ w)
+
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(z @ at, -500, 500)))
+            gradient = z.T @ (weight * p - hits) + 2e-6 * at
+            step = np.linalg.solve((z.T * (weight * p * (1 - p))) @ z + 2e-6 * np.eye(2), gradient)
+            size = 1.0
+            while size > 1e-6 and loss(at - size * step) > loss(at):
+                size /= 2
+            at = at - size * step
+            if np.abs(size * step).max() < 1e-9:
+                break
+        if at[0] > 0:
+            self.line = (float(at[0] / scale), float(at[1]))
+        return self
+
+
+#: Margins are counted to a quarter between these bounds.
+_MARGIN_STEP, _MARGIN_STEPS = 0.25, 2000
+
+
+def _margins(rows: DataFrame, model: QuadraticDiscriminant) -> tuple[np.ndarray, np.ndarray]:
+    """Margins, and how many rows of each label in ``rows(x, label)`` have them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for batch in batches:
+            margin = model.margin(np.array(batch.column(0).flatten()).reshape(-1, len(FEATURES)))
+            at = np.clip(np.rint(margin / _MARGIN_STEP), -_MARGIN_STEPS, _MARGIN_STEPS).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(at), batch.column(1)], names=["at", "label"])
+
+    counts = np.zeros((2 * _MARGIN_STEPS + 1, 2))
+    for at, label, n in on_workers(rows).mapInArrow(run, "at int, label int").groupBy("at", "label").count().collect():  # a row a step and label at most
+        counts[at + _MARGIN_STEPS, label] = n
+    return np.arange(-_MARGIN_STEPS, _MARGIN_STEPS + 1) * _MARGIN_STEP, counts
 
 
 def _moments(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,6 +193,7 @@ def _moments(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     size = 2 * (1 + d + d * d)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             x = np.array(batch.column(0).flatten()).reshape(-1, d)
             label = np.array(batch.column(1))
@@ -150,7 +212,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_
     """``id, held_out, score, predicted`` for every row of ``docs``.
 
     Rows whose ``crc32`` of the id as text is a multiple of ``folds`` are held out;
-    all other rows with a label 0 or 1 are learned from.  Several labels of one id count as
+    all other rows with a label 0 or 1 are learned from, those of remainder 1 for
+    calibration (``folds`` is at least 3).  Several labels of one id count as
     their least; null labels and ids teach nothing (a null id is not held
     out).  A null or empty text is scored like any other.  Repeated rows each
     give a row; other columns are not read; without labels of both classes
@@ -160,15 +223,18 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_
     id_type = docs.schema[id_column].dataType.simpleString()
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             rows = [statistics(t) for _, _, texts in text_slices(batch.column(1)) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["id", "x"])
 
     measured = on_workers(docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))).mapInArrow(measure, f"id {id_type}, x array<double>")
-    held_out = F.coalesce(F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(folds)) == 0, F.lit(False))
-    measured = materialize(measured.withColumn("held_out", held_out))
+    fold = F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(folds))
+    measured = materialize(measured.withColumn("held_out", F.coalesce(fold == 0, F.lit(False))))
     known = labels.filter(F.col(label_column).isin(0, 1)).groupBy(F.col(id_column).alias("id")).agg(F.min(label_column).cast("int").alias("label"))
-    fitted = model.fit(*_moments(measured.filter("not held_out").join(known, "id").select("x", "label")))
+    learned = measured.filter("not held_out").join(known, "id")
+    fitted = model.fit(*_moments(learned.filter(fold != 1).select("x", "label")))
+    fitted = fitted.calibrate(*_margins(learned.filter(fold == 1).select("x", "label"), fitted))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
