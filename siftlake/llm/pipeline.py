@@ -2,7 +2,14 @@
 
 Each stage is ``(name, function)``; a function takes ``(spark, docs, sf_dir)`` and
 returns a DataFrame, which is written as Parquet and read again as the next
-stage's ``docs``.  All stages but the last return the columns of ``documents``.
+stage's ``docs``.  All stages but the last return the columns of ``documents``
+and drop any others.
+
+Nulls: an id, language or source may be null in every stage.  A null text, like
+one without words, fails the first stage's base rules; a later stage that meets
+one drops it in line dedup, keeps it as one more empty text in the others.
+Rows that repeat get the same verdict from each stage but the third, which keeps one
+of them.  An empty table, of documents or of benchmark items, is fine.
 """
 
 from __future__ import annotations
@@ -11,12 +18,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlake.llm.common import bounded, materialize, table
-from siftlake.llm.decontaminate import scan_documents
-from siftlake.llm.line_dedup import LINK_CHARS, dedup_lines
-from siftlake.llm.perplexity import quality_rules
-from siftlake.llm.piece_codec import encode_decode
-from siftlake.llm.simhash import near_classes
+from .common import bounded, materialize, table
+from .decontaminate import scan_documents
+from .line_dedup import LINK_CHARS, dedup_lines
+from .perplexity import quality_rules
+from .piece_codec import encode_decode
+from .simhash import near_classes
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Jaccard similarity of five-word shingles from which two documents are near-duplicates.
@@ -78,8 +85,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of what is left, with begin and end ids."""
-    return encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=("doc_id", "text", "lang", "source", "n_chars"), outputs=("n_tokens", "ids"))
+    """Token ids of what is left, with begin and end ids, and a digest of what they decode to."""
+    return encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=COLUMNS, outputs=("n_tokens", "ids", "decoded_sha256"))
 
 
 STAGES = [

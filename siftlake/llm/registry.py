@@ -15,6 +15,7 @@ from .decontaminate import scan_documents
 from .line_dedup import LINK_CHARS, dedup_report
 from .perplexity import quality_rules
 from .piece_codec import encode_decode
+from .pipeline import run as run_pipeline
 from .quality_qda import quality_scores
 from .sharding import shard_documents
 from .simhash import near_duplicates
@@ -66,9 +67,7 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline  # stands at the repository's top and imports this subpackage
-
-    return corpus_pipeline.run(spark, sf_dir)
+    return run_pipeline(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

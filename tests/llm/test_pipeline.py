@@ -1,5 +1,6 @@
 """The corpus pipeline against a plain composition of brute-force stages."""
 
+import hashlib
 import importlib
 import math
 import random
@@ -9,8 +10,10 @@ import pytest
 import sentencepiece
 from test_corpus_operators import WORD, backed_off, brute_base, brute_kneser_ney, brute_lines, grams_of, slow_fingerprint, union_find
 from test_text_operators import brute_hits, folded
+from test_whole_job import jaccard, shingles
 
 import corpus_pipeline
+from siftlake.llm import pipeline
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -54,15 +57,16 @@ def expected(rows, items):
                 ok.append(r)
         bins = sorted(math.floor(c * 100) for c in cost.values())
         q = lambda x: bins[math.ceil(x * len(bins)) - 1] / 100  # noqa: B023, E731
-        low, high = q(0.5) - max(1.0, 6 * (q(0.5) - q(0.1))), q(0.5) + max(1.0, 6 * (q(0.9) - q(0.5)))
+        low, high = q(0.5) - max(0.15, 12 * (q(0.5) - q(0.25))), q(0.5) + max(0.15, 12 * (q(0.75) - q(0.5)))
         slack = lambda r: 4 / math.sqrt(len(grams_of(r[1])))
         docs += [r for r in ok if low - slack(r) <= cost[r[0]] <= high + slack(r)]
     docs.sort()
-    dropped, _ = brute_lines([r[1] for r in docs])
+    dropped, _ = brute_lines([r[1] for r in docs], min_chars=20, short_lines=True)
     left = [(r[0], "\n".join(x for k, x in enumerate(r[1].split("\n")) if k not in d), r[2]) for r, d in zip(docs, dropped, strict=True)]
     left = [r for r in left if WORD.search(r[1])]
     prints = [slow_fingerprint(r[1], 5) for r in left]
-    roots = union_find(len(left), [(a, b) for a in range(len(left)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 3])
+    sets = [shingles(r[1]) for r in left]
+    roots = union_find(len(left), [(a, b) for a in range(len(left)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 3 or jaccard(sets[a], sets[b]) >= 0.8])
     left = [r for i, r in enumerate(left) if roots[i] == i]
     out = {}
     for doc, text, _ in left:
@@ -93,6 +97,7 @@ def test_pipeline(spark, corpus):
             assert len(folded(r.text)) == len(folded(text)) - hit and not brute_hits(items, r.text, 10)[1]
         else:
             assert r.text == text
+        assert r.decoded_sha256 == hashlib.sha256(r.text.encode()).hexdigest()
         assert r.ids == library.encode(r.text, add_bos=True, add_eos=True) and r.n_chars == len(r.text)
     assert 0 < len(want) < len(rows)
 
@@ -103,7 +108,7 @@ def test_stages_keep_the_columns(spark, corpus):
     docs = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("*", "1 AS h1", "'x' AS dropped", "2 AS fp", "'y' AS component_id", "3 AS hits")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, folder).columns == list(corpus_pipeline.COLUMNS)
-    assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).columns == [*corpus_pipeline.COLUMNS, "n_tokens", "ids"]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).columns == [*corpus_pipeline.COLUMNS, "n_tokens", "ids", "decoded_sha256"]
 
 
 def test_stages_on_empty_and_repeated_rows(spark, corpus):
@@ -112,8 +117,8 @@ def test_stages_on_empty_and_repeated_rows(spark, corpus):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), folder).count() == 0
     twice = docs.filter("doc_id < 12")
-    once = corpus_pipeline.near_duplicate_stage(spark, twice, folder)
-    both = corpus_pipeline.near_duplicate_stage(spark, twice.union(twice), folder)
+    once = pipeline.near_duplicate_stage(spark, twice, folder)
+    both = pipeline.near_duplicate_stage(spark, twice.union(twice), folder)
     assert sorted(r.doc_id for r in both.collect()) == sorted(r.doc_id for r in once.collect())
 
 

@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 from test_corpus_operators import WORD, frame, slow_fingerprint, union_find
 
-import corpus_pipeline
+from siftlake.llm import pipeline, simhash
 from siftlake.llm.registry import op8_line_dedup
 from siftlake.llm.sharding import shard_documents
 from siftlake.llm.simhash import near_duplicates
@@ -56,7 +56,7 @@ def test_near_duplicates_cover_a_similarity(spark):
 def test_stage_removes_near_copies(spark):
     texts = near_copies(random.Random(22), 8)
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], SCHEMA)
-    left = [shingles(r.text) for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()]
+    left = [shingles(r.text) for r in pipeline.near_duplicate_stage(spark, docs, "").collect()]
     assert not [1 for i, a in enumerate(left) for b in left[:i] if jaccard(a, b) >= 0.8]
 
 
@@ -72,7 +72,7 @@ def test_stage_tells_documents_apart_by_id_and_text(spark):
         (9, texts[7]), (9, texts[7]),
     ]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
-    got = sorted((str(r.doc_id), " ".join(r.text.split())) for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect())
+    got = sorted((str(r.doc_id), " ".join(r.text.split())) for r in pipeline.near_duplicate_stage(spark, docs, "").collect())
     assert got == sorted([("5", texts[0]), ("None", texts[1]), ("None", texts[2]), ("7", texts[3]), ("8", texts[4]), ("8", texts[5]), ("None", texts[6]), ("9", texts[7])])
 
 
@@ -107,5 +107,29 @@ def test_short_lines_take_part_in_line_dedup(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     rows = {r.doc_id: (r.n_checked, r.dropped) for r in op8_line_dedup(spark, str(tmp_path)).collect()}
     assert rows == {0: (3, []), 1: (3, [2, 4]), 2: (2, [1]), 3: (1, [0])}
-    left = {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, docs, "").collect()}
+    left = {r.doc_id: r.text for r in pipeline.line_stage(spark, docs, "").collect()}
     assert left == {0: texts[0], 1: " \n\nother", 2: "Read  more"}
+
+
+def test_frequent_passages_and_hubs_lose_no_link(spark, monkeypatch):
+    """Texts that share a passage, and copies around one original, with all rounds that put off or spare pairs forced on."""
+    rnd = random.Random(24)
+    words = [f"w{i}" for i in range(4000)]
+    draw = lambda n: [rnd.choice(words) for _ in range(n)]
+    passage, original = draw(40), draw(150)
+    texts = [" ".join(draw(60) + passage + draw(60)) for _ in range(40)]
+    texts += [" ".join(passage + draw(8)) for _ in range(10)]
+    for _ in range(40):
+        copy = list(original)
+        for _ in range(rnd.randrange(1, 7)):
+            copy[rnd.randrange(len(copy))] = rnd.choice(words)
+        texts.append(" ".join(copy))
+    texts.append(" ".join(original))
+    prints, sets = [slow_fingerprint(t, 5) for t in texts], [shingles(t) for t in texts]
+    roots = union_find(len(texts), [(a, b) for a in range(len(texts)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 3 or jaccard(sets[a], sets[b]) >= 0.8])
+    for settings in ({}, {"_PAIRS_A_ROW": 0, "_HOT": 2}, {"_PAIRS_A_ROW": 0, "_HOT": 3, "_STAR_ROUNDS": 0}, {"_PAIRS_A_ROW": 0, "_HOT_ROUNDS": 0}):
+        with monkeypatch.context() as m:
+            for k, v in settings.items():
+                m.setattr(simhash, k, v)
+            rows = near_duplicates(frame(spark, texts), width=5, similarity=0.8).collect()
+        assert {r.doc_id: r.component_id for r in rows} == dict(enumerate(roots)), settings
