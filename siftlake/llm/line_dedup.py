@@ -12,10 +12,10 @@ Texts are not shuffled.  A first pass reduces each key to the least and the
 largest line hash seen under it, which also folds the copies of a line
 together; nearly all keys belong to one line.  A second pass keeps the rows of
 keys that two lines share, and texts are fetched for those lines alone.
-Candidates whose letter profiles differ too much are dropped inside the join,
-and so are those that Spark's own thresholded edit distance rules out, so that
-a group of alike lines gives rise to its links alone; these are verified, and
-their distances found, by a banded bit-parallel edit distance.
+Where very many lines share a segment, those are dealt out further by the
+segments of what stands around it.  Candidates whose counts of letters and
+digits differ too much are dropped inside the join; the others are verified by a
+banded bit-parallel edit distance.
 
 Lines are told apart by 128 bits: a 64-bit hash, a 32-bit hash and the length.
 """
@@ -33,9 +33,12 @@ MIN_CHARS = 40
 THRESHOLD = 2
 #: Length from which the registered query and the pipeline link lines by edits: two edits are a tenth of it.
 LINK_CHARS = 20
-# Letters whose counts make a line's profile.
-_LETTERS = "etaonirshldu"
+# Letters and digits whose counts make a line's profile.
+_LETTERS = ("etaonirshldu", "0123456789cm")
 _LINE = ["h1", "h2"]
+#: Pairs under one key from which its lines are dealt out further, and how often.  Results don't depend on them.
+_HOT_PAIRS = 4096
+_LEVELS = 5
 
 
 def _takes_part(line: Column, min_chars: int, short_lines: bool) -> Column:
@@ -51,14 +54,8 @@ def _lines(docs: DataFrame, id_column: str, text_column: str, min_chars: int, sh
     return lines.withColumn("h1", F.xxhash64("line")).withColumn("h2", second)
 
 
-def _keyed(lines: DataFrame, columns: list[str], threshold: int) -> DataFrame:
-    """``columns, key, probes`` for every index key and probe key of ``lines(line, n_chars)``: hashes of segment number, length and substring.
-
-    A segment starts where as many edits before it (at most its number) and
-    after it (at most the rest) as remain can move it.  A line of n characters
-    has segments of n / (threshold + 1) characters, the last ones longer by one if that
-    isn't whole.
-    """
+def _places(threshold: int) -> Column:
+    """Array of ``probes, i, shorter, shift``: index key i of a line, or probe for segment i of a line so much shorter, moved so far."""
     k = threshold + 1
     places = [(False, i, 0, 0) for i in range(k)]
     for shorter in range(k):
@@ -66,32 +63,91 @@ def _keyed(lines: DataFrame, columns: list[str], threshold: int) -> DataFrame:
             after = threshold - i
             places += [(True, i, shorter, shift) for shift in range(max(-i, shorter - after), min(i, shorter + after) + 1)]
     names = ("probes", "i", "shorter", "shift")
-    at = F.array(*(F.struct(*(F.lit(x).alias(n) for x, n in zip(p, names, strict=True))) for p in places))
+    return F.array(*(F.struct(*(F.lit(x).alias(n) for x, n in zip(p, names, strict=True))) for p in places))
+
+
+def _spans(threshold: int) -> tuple[Column, Column, Column]:
+    """Length of the indexed line, start and width of the segment, for a line of ``n_chars`` at one of ``_places``."""
+    k = threshold + 1
     n = F.col("n_chars") - F.col("shorter")
     rest = F.pmod(n, F.lit(k))
     base = ((n - rest) / k).cast("int")
     extra = rest + F.col("i") - k
-    start = base * F.col("i") + F.greatest(F.lit(0), extra) + F.col("shift") + 1
-    width = base + (extra >= 0).cast("int")
-    # characters of an ASCII line are its bytes, which are found faster; the hashes are the same
-    part = lambda line: F.xxhash64("i", n, F.substring(line, start, width))
-    key = F.when(F.octet_length("line") == F.col("n_chars"), part(F.col("line").cast("binary"))).otherwise(part(F.col("line")))
-    return lines.select(*columns, "line", "n_chars", F.inline(at)).select(*columns, key.alias("key"), "probes")
+    return n, base * F.col("i") + F.greatest(F.lit(0), extra) + F.col("shift") + 1, base + (extra >= 0).cast("int")
+
+
+def _hashed(line: Column, threshold: int, *salt: Column) -> Column:
+    """Key of the segment at one of ``_places``; characters of an ASCII line are its bytes, which are found faster, and the hashes are the same."""
+    n, start, width = _spans(threshold)
+    part = lambda text: F.xxhash64(*salt, "i", n, F.substring(text, start, width))
+    return F.when(F.octet_length(line) == F.col("n_chars"), part(line.cast("binary"))).otherwise(part(line))
+
+
+def _keyed(lines: DataFrame, columns: list[str], threshold: int) -> DataFrame:
+    """``columns, key, probes`` for every index key and probe key of ``lines(line, n_chars)``: hashes of segment number, length and substring.
+
+    A segment starts where as many edits before it (at most its number) and
+    after it (at most the rest) as remain can move it.  A line of n characters
+    has segments of n / (threshold + 1) characters, the last ones longer by one if that
+    isn't whole.
+    """
+    rows = lines.select(*columns, "line", "n_chars", F.inline(_places(threshold)))
+    return rows.select(*columns, _hashed(F.col("line"), threshold).alias("key"), "probes")
+
+
+def _without_segment(rows: DataFrame, threshold: int) -> DataFrame:
+    """``rows`` at one of ``_places`` with ``line`` and ``n_chars`` of what stands around the segment."""
+    _, start, width = _spans(threshold)
+    around = F.concat(F.substring("line", F.lit(1), start - 1), F.substring(F.col("line"), start + width, F.length("line")))
+    return rows.withColumn("around", around).select(*_LINE, "key", "probes", "shorter", F.col("around").alias("line"), F.length("around").alias("n_chars"))
 
 
-def _profile() -> Column:
-    """Letter counts modulo 10, as five-bit codes whose neighbours differ in one bit.
+def _hot(met: DataFrame) -> DataFrame:
+    """Keys under which more than ``_HOT_PAIRS`` pairs of lines meet."""
+    sizes = met.groupBy("key").agg(F.count_if("probes").alias("a"), F.count_if(~F.col("probes")).alias("b"))
+    return materialize(sizes.filter(F.col("a") * F.col("b") > _HOT_PAIRS).select("key"))
 
-    An edit changes at most two counts by one, so it changes at most two bits.
+
+def _refined(met: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """``met`` with the rows of hot keys dealt out by further keys.
+
+    Lines that share a segment and lie within ``threshold`` edits of each other also
+    do so without it, so one of the segments of what is left must match in turn.
+    That goes on, for the keys that are still hot, as long as there is something left.
+    """
+    hot = _hot(met)
+    if hot.isEmpty():
+        return met
+    out = met.join(bounded(hot), "key", "left_anti").select("key", "probes", *_LINE)
+    rows = texts.select(*_LINE, "line", F.length("line").alias("n_chars"), F.inline(_places(threshold)))
+    rows = rows.withColumn("key", _hashed(F.col("line"), threshold)).join(bounded(hot), "key", "left_semi")
+    for level in range(_LEVELS):
+        rows = materialize(_without_segment(rows, threshold))
+        # an index key goes on as one, a probe for shorter lines as a probe for lines shorter by as much
+        fits = F.filter(_places(threshold), lambda p: (p["probes"] == F.col("own_probes")) & (p["shorter"] == F.col("own_shorter")))
+        rows = rows.withColumnsRenamed({"probes": "own_probes", "shorter": "own_shorter", "key": "parent"}).select(*_LINE, "line", "n_chars", "parent", F.inline(fits))
+        rows = materialize(rows.withColumn("key", _hashed(F.col("line"), threshold, F.col("parent"))).drop("parent"))
+        found = rows.select("key", "probes", *_LINE).distinct()
+        hot = _hot(found)
+        if level == _LEVELS - 1 or hot.isEmpty():
+            return out.union(found).distinct()
+        out = out.union(found.join(bounded(hot), "key", "left_anti"))
+        rows = rows.join(bounded(hot), "key", "left_semi")
+
+
+def _profile(counted: str) -> Column:
+    """Counts of some characters modulo 10, as five-bit codes whose neighbours differ in one bit.
+
+    An edit changes at most two counts by one, so it changes at most two bits of all profiles together.
     """
     codes = F.array(*(F.lit((1 << c) - 1 if c <= 5 else 31 ^ ((1 << c - 5) - 1)).cast("long") for c in range(10)))
-    letters = F.array(*map(F.lit, _LETTERS))
+    letters = F.array(*map(F.lit, counted))
 
     def add(total: Column, j: Column) -> Column:
         count = F.octet_length("line") - F.octet_length(F.replace(F.col("line"), F.get(letters, j), F.lit("")))
         return total * 32 + F.get(codes, count % 10)
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(len(_LETTERS) - 1)), F.lit(0).cast("long"), add)
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(counted) - 1)), F.lit(0).cast("long"), add)
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -150,17 +206,17 @@ def edit_links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     rows = _keyed(lines, _LINE, threshold)
     live = rows.groupBy("key").agg(F.min("h1").alias("least"), F.max("h1").alias("most"), F.bool_or("probes").alias("probed"), F.bool_and("probes").alias("unindexed"))
     live = materialize(live.filter("least < most and probed and not unindexed").select("key"))
-    met = materialize(rows.join(bounded(live), "key", "left_semi").distinct())
+    met = materialize(rows.join(bounded(live), "key", "left_semi").distinct().select("key", "probes", *_LINE))
     few = bounded(materialize(met.select(*_LINE).distinct()))
-    texts = materialize(lines.join(few, _LINE, "left_semi").groupBy(*_LINE).agg(F.first("line").alias("line")).withColumn("profile", _profile()))
-    sided = materialize(met.join(texts, _LINE).select("key", "probes", F.struct(*_LINE).alias("id"), "profile", "line"))
-    side = lambda probes, name: sided.filter(F.col("probes") == probes).select("key", F.col("id").alias(name), F.col("profile").alias(f"p{name}"), F.col("line").alias(f"line_{name}"))
+    texts = materialize(lines.join(few, _LINE, "left_semi").groupBy(*_LINE).agg(F.first("line").alias("line")).withColumns({"p": _profile(_LETTERS[0]), "q": _profile(_LETTERS[1])}))
+    met = _refined(met, texts, threshold)
+    sided = materialize(met.join(texts, _LINE).select("key", "probes", F.struct(*_LINE).alias("id"), "p", "q", "line"))
+    side = lambda probes, name: sided.filter(F.col("probes") == probes).select("key", F.col("id").alias(name), F.col("p").alias(f"p{name}"), F.col("q").alias(f"q{name}"), F.col("line").alias(f"line_{name}"))
     a, b = F.col("a"), F.col("b")
     # of two lines of one length each probes the other; h2 starts with the length
     once = (F.shiftright(a["h2"], 32) < F.shiftright(b["h2"], 32)) | (a < b)
-    close = F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= 2 * threshold
-    near = F.levenshtein("line_a", "line_b", threshold) >= 0
-    found = side(False, "a").join(side(True, "b"), "key").filter((a != b) & once & close & near)
+    close = F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) + F.bit_count(F.col("qa").bitwiseXOR(F.col("qb"))) <= 2 * threshold
+    found = side(False, "a").join(side(True, "b"), "key").filter((a != b) & once & close)
     pairs = found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.first("line_a").alias("line_a"), F.first("line_b").alias("line_b"))
     distance = banded_distance(F.col("line_a"), F.col("line_b"), threshold)
     return materialize(pairs.select("a", "b", distance.alias("distance"))).filter(F.col("distance") <= threshold)
