@@ -28,12 +28,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, fresh, materialize, on_workers, text_slices, with_text
+from .common import bounded, fresh, materialize, on_workers, release, ship, text_slices, with_text
 from .components import components
 
 THRESHOLD = 3
 _HALF = 0xFFFFFFFF
 _CHUNK = 1 << 16
+_PARITIES = ("q0", "q1", "q2", "q3")
+#: Pairs for each row that are too many: then, for some rounds, hashes that more sets than ``_HOT`` meet under are put last.  Results don't depend on it.
+_PAIRS_A_ROW, _HOT, _HOT_ROUNDS = 4, 8, 3
+#: Pairs for each row that are too many after that: then, for some rounds, sets are held against one alone.  Results don't depend on it.
+_PAIRS_A_ROW_AFTER, _STAR_ROUNDS = 64, 3
+#: Hashes that are put last in a round at most, and hashes or names that a worker of the JVM holds at most.
+_HOT_KEYS = _LIVE_KEYS = 1 << 20
 #: Bits of the five parity checks: bit p-1 takes part in check j if p has bit j.
 _CHECKS = [sum(1 << (p - 1) for p in range(1, 32) if p >> j & 1) for j in range(5)]
 
@@ -78,15 +85,27 @@ def _set_of(hashes: np.ndarray) -> tuple[int, np.ndarray]:
     return xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63), own
 
 
+def _parities(own: np.ndarray) -> np.ndarray:
+    """For each of 256 classes of hashes, whether the set has an odd number of them; two sets differ in as many classes as they differ in hashes, at most."""
+    odd = (np.bincount(own & 255, minlength=256) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
+def _prefix_size(n: int, similarity: float) -> int:
+    """Of two similar sets, prefixes of this size in any common order share something."""
+    return n - math.ceil(similarity * n - 1e-9) + 1
+
+
 def fingerprints(docs: DataFrame, *, width: int = 3, keep: tuple[str, ...] = ("doc_id",), text_column: str = "text", similarity: float | None = None) -> DataFrame:
     """The ``keep`` columns and ``fp``, the fingerprint as a long, for every row of ``docs``.
 
-    With ``similarity`` also ``s``, which names the set of shingles, ``n``, its size, and ``prefix``, its least hashes.
+    With ``similarity`` also ``s``, which names the set of shingles, ``n``, its size, ``prefix``, its least hashes, and its parities.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
-            prints, names, sizes, prefixes = [], [], [], [np.zeros(0, dtype=np.int64)]
+            prints, names, sizes, prefixes, parities = [], [], [], [np.zeros(0, dtype=np.int64)], []
             for _, _, texts in text_slices(batch.column(at)):
                 for t in texts:
                     hashes = _hashes(t, width)
@@ -95,16 +114,18 @@ def fingerprints(docs: DataFrame, *, width: int = 3, keep: tuple[str, ...] = ("d
                         name, own = _set_of(hashes)
                         names.append(name)
                         sizes.append(len(own))
-                        prefixes.append(own[: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1])
+                        parities.append(_parities(own))
+                        prefixes.append(own[: _prefix_size(len(own), similarity)])
             columns = [*(batch.column(i) for i in range(len(keep))), pa.array(np.frombuffer(b"".join(prints), dtype=">i8").astype(np.int64))]
             if similarity is not None:
                 ends = np.cumsum([len(x) for x in prefixes]).astype(np.int32)
                 columns += [pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes)))]
+                columns += [pa.array(x) for x in np.array(parities, dtype=np.int64).reshape(-1, 4).T]
             yield pa.RecordBatch.from_arrays(columns, names=[*(f"k{i}" for i in range(len(keep))), "fp", *more])
 
-    more = [] if similarity is None else ["s", "n", "prefix"]
+    more = [] if similarity is None else ["s", "n", "prefix", *_PARITIES]
     handed, at = with_text(keep, text_column)
-    schema = ", ".join([*(f"k{i} {docs.schema[k].dataType.simpleString()}" for i, k in enumerate(keep)), "fp long", *([] if similarity is None else ["s long", "n long", "prefix array<long>"])])
+    schema = ", ".join([*(f"k{i} {docs.schema[k].dataType.simpleString()}" for i, k in enumerate(keep)), "fp long", *([] if similarity is None else ["s long", "n long", "prefix array<long>", *(f"{x} long" for x in _PARITIES)])])
     rows = docs.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(handed)))
     return on_workers(rows).mapInArrow(run, schema).select(*(F.col(f"k{i}").alias(k) for i, k in enumerate(keep)), "fp", *more)
 
@@ -113,6 +134,7 @@ def _shingle_sets(docs: DataFrame, width: int, text_column: str) -> DataFrame:
     """``s, own``: each distinct set of shingle hashes once, by its name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for _, _, texts in text_slices(batch.column(0)):
                 sets = [_set_of(_hashes(t, width)) for t in texts]
@@ -121,31 +143,142 @@ def _shingle_sets(docs: DataFrame, width: int, text_column: str) -> DataFrame:
     return on_workers(docs.select(text_column)).mapInArrow(run, "s long, own array<long>").dropDuplicates(["s"])
 
 
-def similar_links(docs: DataFrame, prints: DataFrame, *, width: int, similarity: float, content: str, text_column: str = "text") -> DataFrame:
-    """Pairs ``u < v`` of the fingerprints of texts whose sets of shingles have a Jaccard similarity of ``similarity`` or more.
+def _rooted(sets: DataFrame, known: DataFrame) -> DataFrame:
+    """``s, comp``: the least fingerprint that ``known(u, v)`` links with that of each of ``sets(s, fp)``."""
+    roots = materialize(components(known).select(F.col("node").alias("fp"), "root"))
+    return materialize(sets.select("s", "fp").join(bounded(roots, _LIVE_KEYS), "fp", "left").select("s", F.coalesce("root", "fp").alias("comp")))
 
-    ``prints(content, fp, s, n, prefix)`` are those of ``docs(content, text)``.  Pairs that ``links`` finds anyway are left out.
-    """
-    facts = ["fp", "s", "n", "p", "last"]
-    rows = prints.filter("n > 0").select("fp", "s", "n", F.size("prefix").alias("p"), F.element_at("prefix", -1).alias("last"), F.explode("prefix").alias("key"))
-    live = rows.groupBy("key").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).filter("least < most").select("key")
-    met = materialize(rows.join(bounded(materialize(live)), "key", "left_semi").distinct())
-    u, v = (met.select("key", *(F.col(x).alias(f"{x}_{side}") for x in facts)) for side in "uv")
-    sizes = (F.col("n_u") >= F.col("n_v") * similarity - 1e-9) & (F.col("n_v") >= F.col("n_u") * similarity - 1e-9)
-    far = F.bit_count(F.col("fp_u").bitwiseXOR(F.col("fp_v"))) > THRESHOLD
-    both = u.join(v, "key").filter((F.col("fp_u") < F.col("fp_v")) & sizes & far)
-    both = both.groupBy(*(f"{x}_{side}" for side in "uv" for x in facts)).agg(F.count("*").alias("shared"))
-    # of the set whose prefix ends first, hashes of the prefix that are not shared there are not shared at all
-    rest = F.when(F.col("last_u") <= F.col("last_v"), F.col("n_u") - F.col("p_u")).otherwise(F.col("n_v") - F.col("p_v"))
-    both = both.filter(F.col("shared") + rest >= (F.col("n_u") + F.col("n_v")) * (similarity / (1 + similarity)) - 1e-6)
-    both = materialize(both.select("fp_u", "fp_v", "s_u", "s_v", "n_u", "n_v"))
+
+def _may_be_similar(similarity: float) -> Column:
+    """Whether sizes and parities of two sets, named ``_u`` and ``_v``, allow the similarity: what they don't share shows in the parities."""
+    enough = (F.col("n_u") + F.col("n_v")) * (similarity / (1 + similarity)) - 1e-6
+    differ = sum((F.bit_count(F.col(f"{x}_u").bitwiseXOR(F.col(f"{x}_v"))) for x in _PARITIES), F.lit(0))
+    return (F.least("n_u", "n_v") >= enough) & (F.col("n_u") + F.col("n_v") - differ >= 2 * enough)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, *, width: int, similarity: float, content: str, text_column: str) -> DataFrame:
+    """``u, v``: fingerprints of those ``pairs(s_u, s_v)`` whose sets are similar enough; texts are read again for what sizes and parities allow."""
+    side = lambda x: sets.select(*(F.col(c).alias(f"{c}_{x}") for c in ("s", "fp", "n", *_PARITIES)))
+    both = pairs.join(side("u"), "s_u").join(side("v"), "s_v").filter(_may_be_similar(similarity))
+    both = materialize(both.select("s_u", "s_v", "fp_u", "fp_v", "n_u", "n_v"))
     wanted = both.select(F.col("s_u").alias("s")).union(both.select(F.col("s_v").alias("s"))).distinct()
-    texts = materialize(prints.join(bounded(materialize(wanted)), "s", "left_semi").groupBy("s").agg(F.min(content).alias(content)).select(content))
-    sets = materialize(_shingle_sets(docs.join(bounded(texts), content, "left_semi"), width, text_column))
-    of = lambda side: sets.select(F.col("s").alias(f"s_{side}"), F.col("own").alias(f"own_{side}"))
-    common = F.size(F.array_intersect("own_u", "own_v"))
-    verified = both.join(of("u"), "s_u").join(of("v"), "s_v").withColumn("common", common)
-    return verified.filter(F.col("common") / (F.col("n_u") + F.col("n_v") - F.col("common")) >= similarity).select(F.col("fp_u").alias("u"), F.col("fp_v").alias("v")).distinct()
+    texts = materialize(sets.join(wanted, "s", "left_semi").select(content))
+    own = materialize(_shingle_sets(docs.join(bounded(texts, _LIVE_KEYS), content, "left_semi"), width, text_column))
+    of = lambda x: own.select(F.col("s").alias(f"s_{x}"), F.col("own").alias(f"own_{x}"))
+    found = both.join(of("u"), "s_u").join(of("v"), "s_v").withColumn("common", F.size(F.array_intersect("own_u", "own_v")))
+    return materialize(found.filter(F.col("common") / (F.col("n_u") + F.col("n_v") - F.col("common")) >= similarity).select(F.col("fp_u").alias("u"), F.col("fp_v").alias("v")))
+
+
+def _extensions(docs: DataFrame, hot: np.ndarray, *, width: int, similarity: float, text_column: str) -> DataFrame:
+    """``s, key, pos``: hashes that enter the prefixes of sets, and at which place, once the ``hot`` ones (sorted) come last in the order of all hashes; hot ones left in a prefix are among them."""
+    shipped = ship(docs.sparkSession, hot, hot.nbytes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        hot = shipped.value
+        for batch in batches:
+            names, keys, places = [], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int32)]
+            for _, _, texts in text_slices(batch.column(0)):
+                for t in texts:
+                    name, own = _set_of(_hashes(t, width))
+                    p = _prefix_size(len(own), similarity)
+                    late = np.isin(own, hot, assume_unique=True)
+                    if n := int(late[:p].sum()):
+                        keys.append(np.concatenate((own[~late], own[late]))[p - n : p])
+                        places.append(np.arange(p - n, p, dtype=np.int32))
+                        names += [name] * n
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(np.concatenate(keys)), pa.array(np.concatenate(places))], names=["s", "key", "pos"])
+
+    return on_workers(docs.select(text_column)).mapInArrow(run, "s long, key long, pos int").distinct()
+
+
+def _hot_keys(met: DataFrame) -> DataFrame:
+    """Hashes under which more than ``_HOT`` sets meet; if these are very many, the most frequent of them."""
+    counts = materialize(met.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > _HOT))
+    least = _HOT
+    while counts.filter(F.col("m") > least).count() > _HOT_KEYS:
+        least *= 2
+    return counts.filter(F.col("m") > least).select("key")
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """Those ``rows(s, key, pos)`` whose ``key`` several sets have, each once; copies of a set may be among them."""
+    live = materialize(rows.groupBy("key").agg(F.min("s").alias("least"), F.max("s").alias("most")).filter("least < most").select("key"))
+    return rows.join(bounded(live, _LIVE_KEYS), "key", "left_semi").dropDuplicates(["s", "key"])
+
+
+def _pairs_to_come(at: DataFrame) -> tuple[float, float]:
+    """Rows ``at(key, comp)`` of hashes under which several components meet, and pairs of sets of different components there."""
+    inside = at.groupBy("key", "comp").agg(F.count("*").cast("double").alias("m"))
+    by_key = inside.groupBy("key").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("square"))
+    by_key = by_key.select("m", ((F.col("m") * F.col("m") - F.col("square")) / 2).alias("pairs")).filter("pairs > 0")
+    return tuple(by_key.agg(F.coalesce(F.sum("m"), F.lit(0.0)), F.coalesce(F.sum("pairs"), F.lit(0.0))).first())
+
+
+def similar_links(docs: DataFrame, prints: DataFrame, near: DataFrame, *, width: int, similarity: float, content: str, text_column: str = "text") -> DataFrame:
+    """``u, v`` with ``near(u, v)`` and links enough that all texts whose sets of shingles have a Jaccard similarity of ``similarity`` or more are in one component.
+
+    ``prints(content, fp, s, n, prefix)`` are those of ``docs(content, text)``.
+    Candidates are sets that share a hash of their prefixes.  Where too many meet
+    under a hash, it is put last in the order that prefixes are taken by (any
+    order will do, if it is the same for all), so that passages that many texts
+    share give way to what tells the texts apart.  Of groups of near copies, whose
+    hashes are all frequent, not all pairs are needed: for some rounds, the sets
+    under a hash are held against one that shares most there.  Whatever then lies
+    in different components is compared in full.
+    """
+    verify = {"docs": docs, "width": width, "similarity": similarity, "content": content, "text_column": text_column}
+    own = prints.filter("n > 0")
+    sets = materialize(own.groupBy("s").agg(F.min("fp").alias("fp"), *(F.first(x).alias(x) for x in ("n", *_PARITIES)), F.min(content).alias(content)))
+    same = own.select("s", F.col("fp").alias("v")).distinct().join(sets.select("s", F.col("fp").alias("u")), "s").filter("u < v").select("u", "v")
+    known = materialize(near.select("u", "v").union(same))
+    comps = _rooted(sets, known)
+    rows = own.select("s", F.posexplode("prefix").alias("pos", "key"))
+    first = met = materialize(_shared(rows))
+    located = lambda: met.join(bounded(comps, _LIVE_KEYS), "s")
+    hot = None
+    for _ in range(_HOT_ROUNDS):
+        n_rows, n_pairs = _pairs_to_come(located())
+        if n_pairs <= _PAIRS_A_ROW * n_rows:
+            break
+        more = _hot_keys(met)
+        hot = materialize((more if hot is None else hot.union(more)).distinct())
+        sorted_hot = np.sort(np.array([r.key for r in hot.collect()], dtype=np.int64))  # bounded by _HOT_KEYS a round
+        reordered = materialize(first.join(bounded(hot, _LIVE_KEYS), "key", "left_semi").select("s").distinct().join(sets.select("s", content), "s").select(content))
+        texts = docs.join(F.broadcast(reordered), content, "left_semi") if reordered.count() <= _LIVE_KEYS else docs
+        new = materialize(_extensions(texts, sorted_hot, width=width, similarity=similarity, text_column=text_column))
+        asked = materialize(new.select("key").distinct().join(bounded(hot, _LIVE_KEYS), "key", "left_anti"))
+        # what stays in a prefix moves up by the hot ones before it
+        before = materialize(first.join(bounded(hot, _LIVE_KEYS), "key", "left_semi").groupBy("s").agg(F.collect_set("pos").alias("gone")))
+        up = lambda at: at.join(bounded(before, _LIVE_KEYS), "s", "left").withColumn("pos", F.col("pos") - F.coalesce(F.size(F.filter("gone", lambda x: x < F.col("pos"))), F.lit(0))).drop("gone")  # noqa: B023, E731
+        entered = _shared(materialize(up(rows.join(bounded(asked, _LIVE_KEYS), "key", "left_semi")).unionByName(new)))
+        stayed = up(first.join(bounded(hot, _LIVE_KEYS), "key", "left_anti"))
+        met = materialize(stayed.unionByName(entered).dropDuplicates(["s", "key"]))
+    tried = None
+    for _ in range(_STAR_ROUNDS):
+        at = materialize(located())
+        n_rows, n_pairs = _pairs_to_come(at)
+        if n_pairs <= _PAIRS_A_ROW_AFTER * n_rows:
+            break
+        left = at if tried is None else at.join(tried.select("key", F.col("hub_comp").alias("comp")), ["key", "comp"], "left_anti")
+        weight = at.groupBy("s").agg(F.count("*").alias("w"))
+        hubs = left.join(weight, "s").groupBy("key").agg(F.max(F.struct("w", "s", "comp")).alias("hub")).select("key", F.col("hub.s").alias("hub_s"), F.col("hub.comp").alias("hub_comp"))
+        hubs = materialize(hubs)
+        tried = hubs if tried is None else tried.union(hubs)
+        star = left.join(hubs, "key").filter("comp <> hub_comp").select(F.least("s", "hub_s").alias("s_u"), F.greatest("s", "hub_s").alias("s_v")).distinct()
+        found = _verified(star, sets, **verify)
+        if not found.isEmpty():
+            known = materialize(known.union(found).distinct())
+            comps = _rooted(sets, known)
+    at = located()
+    meeting = materialize(at.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most").select("key"))
+    at = at.join(bounded(meeting, _LIVE_KEYS), "key", "left_semi").join(bounded(sets.select("s", "n", *_PARITIES), _LIVE_KEYS), "s")
+    at = materialize(at.withColumn("rest", F.col("n") - F.col("pos")).drop("pos"))
+    u, v = (at.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("s", "n", "rest", "comp", *_PARITIES))) for x in "uv")
+    # what two sets share lies behind the first hash that they share
+    behind = F.least("rest_u", "rest_v") >= (F.col("n_u") + F.col("n_v")) * (similarity / (1 + similarity)) - 1e-6
+    pairs = u.join(v, "key").filter((F.col("s_u") < F.col("s_v")) & (F.col("comp_u") != F.col("comp_v")) & behind & _may_be_similar(similarity)).select("s_u", "s_v").distinct()
+    return known.union(_verified(pairs, sets, **verify))
 
 
 def _half(block: int) -> Column:
@@ -190,7 +323,7 @@ def near_classes(docs: DataFrame, *, keep: tuple[str, ...], width: int = 3, text
     nodes = materialize(prints.select("fp").distinct())
     near = links(nodes)
     if similarity is not None:
-        near = near.union(similar_links(docs, prints, width=width, similarity=similarity, content=content, text_column=text_column))
+        near = similar_links(docs, prints, near, width=width, similarity=similarity, content=content, text_column=text_column)
     roots = components(near)
     rooted = materialize(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
     return prints.join(rooted, "fp").select(*keep, "fp", "root")

@@ -127,7 +127,7 @@ def test_frequent_passages_and_hubs_lose_no_link(spark, monkeypatch):
     texts.append(" ".join(original))
     prints, sets = [slow_fingerprint(t, 5) for t in texts], [shingles(t) for t in texts]
     roots = union_find(len(texts), [(a, b) for a in range(len(texts)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 3 or jaccard(sets[a], sets[b]) >= 0.8])
-    for settings in ({}, {"_PAIRS_A_ROW": 0, "_HOT": 2}, {"_PAIRS_A_ROW": 0, "_HOT": 3, "_STAR_ROUNDS": 0}, {"_PAIRS_A_ROW": 0, "_HOT_ROUNDS": 0}):
+    for settings in ({}, {"_PAIRS_A_ROW": 0, "_PAIRS_A_ROW_AFTER": 0, "_HOT": 2}, {"_PAIRS_A_ROW": 0, "_HOT": 3}, {"_PAIRS_A_ROW_AFTER": 0}):
         with monkeypatch.context() as m:
             for k, v in settings.items():
                 m.setattr(simhash, k, v)
