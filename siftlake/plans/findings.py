@@ -197,16 +197,16 @@ def density_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-WITH evidence AS (SELECT DISTINCT doc_id, CASE WHEN quality = 1 THEN 'training' ELSE 'evaluation' END AS stage FROM labels WHERE doc_id % 4 = 0
-                  UNION SELECT doc_id, 'inference' FROM labels WHERE toxic = 1 AND doc_id % 4 = 0),
+WITH evidence AS (SELECT DISTINCT doc_id, CASE WHEN quality = 1 THEN 'training' ELSE 'evaluation' END AS stage FROM labels
+                  UNION SELECT doc_id, 'inference' FROM labels WHERE toxic = 1),
 packed AS (SELECT doc_id, string_agg(DISTINCT stage, '+' ORDER BY stage) AS stage FROM evidence GROUP BY doc_id),
-paths AS (SELECT doc_id, source, CASE doc_id % 7 WHEN 0 THEN './src/f' || doc_id || '.py' WHEN 1 THEN 'requirements/r' || doc_id || '.txt' WHEN 2 THEN 'base-requirements.txt' WHEN 3 THEN '' WHEN 4 THEN '.github/f' || doc_id || '.py' ELSE 'src/f' || doc_id || '.py' END AS path FROM documents),
-rel AS (SELECT doc_id, source, ltrim(path, './') AS rel FROM paths)
+paths AS (SELECT doc_id, source, lang, CASE doc_id % 7 WHEN 0 THEN './src/f' || doc_id || '.py' WHEN 1 THEN 'requirements/r' || doc_id || '.txt' WHEN 2 THEN 'base-requirements.txt' WHEN 3 THEN '' WHEN 4 THEN '.github/f' || doc_id || '.py' ELSE 'src/f' || doc_id || '.py' END AS path FROM documents),
+rel AS (SELECT doc_id, source, lang, ltrim(path, './') AS rel FROM paths)
 SELECT doc_id, rel AS path,
   CASE WHEN rel = '' THEN 'unknown'
        WHEN p.stage IS NOT NULL AND rel = 'src/f' || doc_id || '.py' THEN p.stage
        WHEN (list_contains(string_split(rel, '/'), 'requirements') AND rel LIKE '%.txt') OR rel LIKE '%-requirements.txt' THEN 'dependencies'
-       WHEN doc_id % 2 = 0 AND rel = 'src/f' || doc_id || '.py' THEN 'reachable_unmapped'
+       WHEN lang IN ('en', 'de') AND rel = 'src/f' || doc_id || '.py' THEN 'reachable_unmapped'
        ELSE 'unreachable' END AS stage
 FROM rel LEFT JOIN packed p USING (doc_id)"""
 )
@@ -215,10 +215,10 @@ def stage_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, name = F.col("doc_id"), F.concat(F.lit("src/f"), F.col("doc_id").cast("string"), F.lit(".py"))
     path = F.when(n % 7 == 0, F.concat(F.lit("./"), name)).when(n % 7 == 1, F.concat(F.lit("requirements/r"), n.cast("string"), F.lit(".txt"))).when(n % 7 == 2, "base-requirements.txt").when(n % 7 == 3, "").when(n % 7 == 4, F.concat(F.lit(".github/f"), n.cast("string"), F.lit(".py"))).otherwise(name)
     findings = docs.select("doc_id", F.col("source").alias("repo_key"), path.alias("file_path"))
-    every = labels.filter(n % 4 == 0).join(docs.select("doc_id", F.col("source").alias("repo_key")), "doc_id")
+    every = labels.join(docs.select("doc_id", F.col("source").alias("repo_key")), "doc_id")
     a = every.select("repo_key", name.alias("path"), F.when(F.col("quality") == 1, "training").otherwise("evaluation").alias("stage"))
     b = every.filter("toxic = 1").select("repo_key", name.alias("path"), F.lit("inference").alias("stage"))
-    reachable = docs.filter(n % 2 == 0).select(F.col("source").alias("repo_key"), name.alias("path"))
+    reachable = docs.filter("lang in ('en', 'de')").select(F.col("source").alias("repo_key"), name.alias("path"))
     out = attribution.attribute_stages(findings, a.union(b), reachable)
     return out.select("doc_id", scalar.strip_dots(F.col("file_path")).alias("path"), "stage")
 

@@ -75,7 +75,7 @@ def scan_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     _LOG
     + """,
-a AS (SELECT user_id, min(event_id) AS event_id FROM log WHERE pass = 1 AND user_id % 10 <> 0 GROUP BY user_id),
+a AS (SELECT user_id, min(event_id) AS event_id FROM log WHERE pass = 1 GROUP BY user_id),
 one AS (SELECT user_id, event_id, status FROM a JOIN log USING (user_id, event_id))"""
     + _RETRIES.format(where="WHERE pass = 2")
     + """,
@@ -88,7 +88,7 @@ SELECT user_id, CASE WHEN replaced THEN e2 ELSE e1 END AS event_id, CASE WHEN re
 )
 def scan_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _log(spark, sf_dir)
-    base = merging.first_per_key(log.filter("pass = 1 and user_id % 10 <> 0"), ["repo_norm"])
+    base = merging.first_per_key(log.filter("pass = 1"), ["repo_norm"])
     again = merging.settle_retries(log.filter("pass = 2"), ["repo_norm"])
     out = merging.overlay(base, again)
     return out.select(F.col("repo_norm").alias("user_id"), "event_id", "status", "overlay_source", "pass1_status", "pass2_status")
@@ -107,13 +107,13 @@ def recoverable_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-WITH o AS (SELECT o_custkey AS user_id, o_orderkey AS line, o_orderstatus AS status, NULL AS verified FROM orders WHERE o_orderkey % 2 = 0),
+WITH o AS (SELECT o_custkey AS user_id, o_orderkey AS line, o_orderstatus AS status, NULL AS verified FROM orders),
 e AS (SELECT user_id, event_id AS line, event_type AS status, event_id % 5 = 0 AS verified FROM events),
 u AS (SELECT *, 0 AS source_no FROM o UNION ALL SELECT *, 1 AS source_no FROM e)
 SELECT user_id, arg_min(line, source_no * 1000000000 + line) AS line, arg_min(status, source_no * 1000000000 + line) AS status, arg_min(coalesce(CAST(verified AS VARCHAR), ''), source_no * 1000000000 + line) AS verified FROM u GROUP BY user_id"""
 )
 def log_union_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").filter("o_orderkey % 2 = 0").select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("line_no"), F.col("o_orderstatus").alias("status"), F.lit(0).alias("source_no"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("line_no"), F.col("o_orderstatus").alias("status"), F.lit(0).alias("source_no"))
     events = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("line_no"), F.col("event_type").alias("status"), (F.col("event_id") % 5 == 0).alias("verified"), F.lit(1).alias("source_no"))
     out = merging.first_per_key(merging.union_of_headers([orders, events]), ["user_id"])
     return out.select("user_id", F.col("line_no").alias("line"), "status", F.coalesce(F.col("verified").cast("string"), F.lit("")).alias("verified"))
@@ -303,24 +303,24 @@ def snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-WITH RECURSIVE e AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem WHERE l_linenumber = 1 UNION SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey FROM lineitem WHERE l_linenumber = 1 AND l_quantity > 45),
-w(node, depth) AS (SELECT 'p' || p_partkey, 0 FROM part WHERE p_partkey < 3 UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.node WHERE w.depth < 3)
+WITH RECURSIVE e AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem UNION SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey FROM lineitem WHERE l_quantity > 49),
+w(node, depth) AS (SELECT 'p' || p_partkey, 0 FROM part WHERE p_size = 1 UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.node WHERE w.depth < 25)
 SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM w GROUP BY node"""
 )
 def reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1")
+    lines = table(spark, sf_dir, "lineitem")
     part, supplier = F.concat(F.lit("p"), F.col("l_partkey").cast("string")), F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
-    edges = lines.select(F.lit("r").alias("repo"), part.alias("src"), supplier.alias("dst")).union(lines.filter("l_quantity > 45").select(F.lit("r"), supplier, part))
-    seeds = table(spark, sf_dir, "part").filter("p_partkey < 3").select(F.lit("r").alias("repo"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node"))
-    return graph.reachability(seeds, edges, 3).select("node", F.col("depth").cast("long").alias("depth"))
+    edges = lines.select(F.lit("r").alias("repo"), part.alias("src"), supplier.alias("dst")).union(lines.filter("l_quantity > 49").select(F.lit("r"), supplier, part))
+    seeds = table(spark, sf_dir, "part").filter("p_size = 1").select(F.lit("r").alias("repo"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node"))
+    return graph.reachability(seeds, edges).select("node", F.col("depth").cast("long").alias("depth"))
 
 
 @query(
     """
-WITH f AS (SELECT source AS repo, doc_id, CAST(len(string_split(text, chr(10))) - CASE WHEN ends_with(text, chr(10)) OR text = '' THEN 1 ELSE 0 END AS BIGINT) AS lines FROM documents WHERE doc_id % 7 <> 0)
+WITH f AS (SELECT source AS repo, doc_id, CAST(len(string_split(text, chr(10))) - CASE WHEN ends_with(text, chr(10)) OR text = '' THEN 1 ELSE 0 END AS BIGINT) AS lines FROM documents WHERE lang <> 'fr')
 SELECT d.source AS repo_key, count(*) AS n_reachable_files, count(lines) AS n_files_found, CAST(coalesce(sum(lines), 0) AS BIGINT) AS loc_reachable FROM documents d LEFT JOIN f ON d.doc_id = f.doc_id GROUP BY d.source"""
 )
 def reachable_loc(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     path = F.col("doc_id").cast("string").alias("path")
-    return statistics.reachable_loc(docs.select(F.col("source").alias("repo_key"), path), docs.filter("doc_id % 7 <> 0").select(F.col("source").alias("repo"), path, F.col("text").alias("content")))
+    return statistics.reachable_loc(docs.select(F.col("source").alias("repo_key"), path), docs.filter("lang <> 'fr'").select(F.col("source").alias("repo"), path, F.col("text").alias("content")))

@@ -251,12 +251,22 @@ def test_dockerfiles(content, kind, target, workdir):
     assert (*parsing.classify_command(command["tokens"]), command["workdir"]) == (kind, target, workdir)
 
 
-def test_module_facts():
-    facts, error = parsing.module_facts("np.a()\nimport numpy\nimport torch.nn\nfrom pandas import read_csv as rc\nfrom ..x import y\nnp.b(); rc(); torch.no_grad(); y.z(); f()()\nclass M(torch.nn.Module): pass\nasync def g(): pass")
-    assert error is None
-    assert [c for c, _ in facts.calls] == ["np.a", "np.b", "pd.read_csv", "nn.no_grad", "x.y.z", "f"]
-    assert facts.imports == [("numpy", 0), ("torch.nn", 0), ("pandas", 0), ("x", 2)] and facts.models == ["M"] and facts.functions == [("g", 8)]
-    assert parsing.module_facts("def (")[1].startswith("syntax error: ")
+SOURCE = "np.a()\nimport numpy\nimport torch.nn\nfrom pandas import read_csv as rc\nfrom ..x import y\nfrom . import *\nnp.b(); rc(); torch.no_grad(); y.z(); f()(); f().g.h()\nclass M(torch.nn.Module): pass\nclass N(object): pass\nasync def g(): numpy.c(rc())"
+
+
+def test_module_events(spark):
+    files = spark.createDataFrame([("r", "a.py", SOURCE), ("r", "b.py", "def ("), ("r", "c.py", None)], "repo string, path string, content string")
+    modules = parsing.parse_modules(files)
+    errors = {r.path: r.parse_error for r in modules.collect()}
+    assert errors["a.py"] is None and errors["b.py"].startswith("syntax error: ") and errors["c.py"] is None
+    assert [(r.call, r.line) for r in parsing.calls_of(modules).orderBy("pos").collect()] == [("np.a", 1), ("np.b", 7), ("pd.read_csv", 7), ("nn.no_grad", 7), ("x.y.z", 7), ("f", 7), ("g.h", 7), ("f", 7), ("np.c", 10), ("pd.read_csv", 10)]
+    assert sorted((r.module, r.level) for r in parsing.imports_of(modules).collect()) == [("", 1), ("numpy", 0), ("pandas", 0), ("torch.nn", 0), ("x", 2)]
+    assert [r.name for r in parsing.models_of(modules).collect()] == ["M"] and [(r.name, r.line) for r in parsing.functions_of(modules).collect()] == [("g", 10)]
+
+
+def test_later_bindings_count(spark):
+    files = spark.createDataFrame([("r", "a.py", "import numpy as x\nx.a()\nimport pandas as x\nx.b()\ndef f():\n    from torch.nn import functional as x\n    x.c()\nx.d()")], "repo string, path string, content string")
+    assert [r.call for r in parsing.calls_of(parsing.parse_modules(files)).orderBy("pos").collect()] == ["np.a", "pd.b", "nn.functional.c", "nn.functional.d"]
 
 
 def test_import_candidates(spark):

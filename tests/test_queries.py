@@ -16,32 +16,3 @@ def con():
 @pytest.mark.parametrize("name", sorted(plans.ORACLES))
 def test_query_equals_sql(spark, con, name):
     assert oracle.differences(spark, con, plans.QUERIES[name], plans.ORACLES[name], SF) == ""
-
-
-def test_entry_points_of_the_tree(spark):
-    rows = {(r.repo, r.docker_path): (r.kind, r.entry_file, r.route) for r in plans.QUERIES["docker_parse"](spark, SF).collect()}
-    assert rows == {
-        ("app", "Dockerfile"): ("python_file", "src/run.py", "dockerfile"),
-        ("app", "docker/gpu.Dockerfile"): ("python_module", "pkg/serve.py", "dockerfile"),
-        ("lib", "Dockerfile"): ("unresolved", None, "dockerfile"),
-        ("lib", "(fallback)"): ("python_file", "lib/cli.py", "fallback_console_script"),
-        ("flat", "(fallback)"): ("python_file", "main.py", "fallback_root"),
-    }
-
-
-def test_notes_of_the_tree(spark):
-    notes = {(r.repo, r.docker_path): r.note for r in plans.QUERIES["docker_parse"](spark, SF).collect()}
-    assert notes == {("app", "Dockerfile"): None, ("app", "docker/gpu.Dockerfile"): "module pkg.serve is pkg/serve.py", ("lib", "Dockerfile"): "neither CMD nor ENTRYPOINT", ("lib", "(fallback)"): "setup.cfg declares a script in lib.cli", ("flat", "(fallback)"): "main.py at the repository root"}
-
-
-def test_scan_of_the_tree(spark):
-    rows = {r.repo: r for r in plans.QUERIES["repository_scan"](spark, SF).collect()}
-    assert (rows["app"].reachable_files, rows["app"].parse_errors, rows["app"].dynamic_imports, rows["app"].max_depth) == (3, 1, 1, 1)
-    assert rows["lib"].entry_route == "dockerfile+fallback_console_script" and rows["flat"].reachable_files == 2
-    assert rows["app"].detail == "missing: data_preparation, modeling, evaluation"
-
-
-def test_audit_context(spark):
-    rows = {(r.repo, r.stage): r.files for r in plans.QUERIES["audit_context"](spark, SF).collect()}
-    assert rows["app", "training"] == ["pkg/serve.py", "src/run.py", "pkg/broken.py"]
-    assert rows["app", "modeling"] == [] and len(rows) == 18
