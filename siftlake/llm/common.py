@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import sys
 from collections.abc import Callable, Iterator, Set
@@ -11,9 +13,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from ..storage import BROADCAST_ROWS, bounded, materialize, on_workers, shared_dir
+from ..storage import BROADCAST_ROWS, bounded, materialize, on_workers, settled, shared_dir
 
-__all__ = ["BROADCAST_BYTES", "BROADCAST_ROWS", "CACHE_BYTES", "Cache", "bounded", "fresh", "materialize", "on_workers", "read_bytes", "release", "resident", "shared_dir", "ship", "table", "text_slices", "unload", "with_text"]
+__all__ = ["BROADCAST_BYTES", "BROADCAST_ROWS", "CACHE_BYTES", "Cache", "bounded", "fresh", "materialize", "on_workers", "read_bytes", "release", "resident", "settled", "shared_dir", "ship", "table", "text_slices", "unload", "with_text"]
 
 #: Largest payload that is ever put into a broadcast, in bytes.
 BROADCAST_BYTES = 64 << 20
@@ -21,7 +23,7 @@ BROADCAST_BYTES = 64 << 20
 SLICE_BYTES = 4 << 20
 
 #: Bytes that a worker's cache of chunks takes at most, about.
-CACHE_BYTES = 80 << 20
+CACHE_BYTES = 96 << 20
 #: Chunks that are learned at once, and bytes that a cached one takes besides its own.
 _LEARN = 1 << 14
 _ENTRY_BYTES = 160
@@ -48,6 +50,8 @@ def release() -> None:
         _resident.clear()
         gc.collect()
     pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library can't give memory back
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def unload(shipped) -> None:

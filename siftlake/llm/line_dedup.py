@@ -27,7 +27,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, fresh, materialize
+from .common import bounded, fresh, materialize, settled
 
 MIN_CHARS = 40
 THRESHOLD = 2
@@ -235,7 +235,7 @@ def line_decisions(docs: DataFrame, *, id_column: str = "doc_id", text_column: s
     lines = _lines(docs, id_column, text_column, min_chars, short_lines)
     here = F.struct("doc", "pos", "doc_hash")
     once = materialize(lines.groupBy(*_LINE).agg(F.min(here).alias("first"), F.count("*").alias("n")))
-    links = materialize(edit_links(lines.filter(F.col("n_chars") >= min_chars), threshold).select("a", "b"))
+    links = settled(lambda: edit_links(lines.filter(F.col("n_chars") >= min_chars), threshold).select("a", "b"))
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = both.select(F.col("a.h1").alias("h1"), F.col("a.h2").alias("h2"), F.col("b.h1").alias("o1"), F.col("b.h2").alias("o2"))
     others = once.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("first").alias("other"))

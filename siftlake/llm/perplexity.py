@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, materialize, on_workers, release, resident, ship, text_slices, unload
+from .common import bounded, materialize, on_workers, release, resident, settled, ship, text_slices, unload
 
 ORDER = 5
 UNIT = 1 << 20
@@ -555,7 +555,7 @@ def quality_rules(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), text_
     """
     names = [f"k{i}" for i in range(len(keep))]
     rows = docs.select(*(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)), F.coalesce(F.col(lang_column).cast("string"), F.lit("")).alias("lang"), F.col(text_column).cast("string").alias("text"))
-    model = ship_model(build_model(count_grams(rows)), block_bytes)
+    model = ship_model(settled(lambda: build_model(count_grams(rows))), block_bytes)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     measured = _measure(rows, names, model)
     measured = materialize(measured.withColumn("base_failed", failed).withColumn("mean_nll", F.coalesce(F.try_divide(F.col("nll").cast("double"), F.col("n_events") * F.lit(float(UNIT))), F.lit(0.0))))

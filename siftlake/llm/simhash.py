@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, fresh, materialize, on_workers, release, ship, text_slices, with_text
+from .common import bounded, fresh, materialize, on_workers, release, settled, ship, text_slices, with_text
 from .components import components
 
 THRESHOLD = 3
@@ -36,7 +36,7 @@ _HALF = 0xFFFFFFFF
 _CHUNK = 1 << 16
 _PARITIES = ("q0", "q1", "q2", "q3")
 #: Pairs for each row that are too many: then, for some rounds, hashes that more sets than ``_HOT`` meet under are put last.  Results don't depend on it.
-_PAIRS_A_ROW, _HOT, _HOT_ROUNDS = 4, 8, 3
+_PAIRS_A_ROW, _HOT, _HOT_ROUNDS = 4, 8, 2
 #: Pairs for each row that are too many after that: then, for some rounds, sets are held against one alone.  Results don't depend on it.
 _PAIRS_A_ROW_AFTER, _STAR_ROUNDS = 64, 3
 #: Hashes that are put last in a round at most, and hashes or names that a worker of the JVM holds at most.
@@ -145,7 +145,7 @@ def _shingle_sets(docs: DataFrame, width: int, text_column: str) -> DataFrame:
 
 def _rooted(sets: DataFrame, known: DataFrame) -> DataFrame:
     """``s, comp``: the least fingerprint that ``known(u, v)`` links with that of each of ``sets(s, fp)``."""
-    roots = materialize(components(known).select(F.col("node").alias("fp"), "root"))
+    roots = settled(lambda: components(known).select(F.col("node").alias("fp"), "root"))
     return materialize(sets.select("s", "fp").join(bounded(roots, _LIVE_KEYS), "fp", "left").select("s", F.coalesce("root", "fp").alias("comp")))
 
 
@@ -323,8 +323,9 @@ def near_classes(docs: DataFrame, *, keep: tuple[str, ...], width: int = 3, text
     nodes = materialize(prints.select("fp").distinct())
     near = links(nodes)
     if similarity is not None:
-        near = similar_links(docs, prints, near, width=width, similarity=similarity, content=content, text_column=text_column)
-    roots = components(near)
+        found = near
+        near = settled(lambda: similar_links(docs, prints, found, width=width, similarity=similarity, content=content, text_column=text_column))
+    roots = settled(lambda: components(near))
     rooted = materialize(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
     return prints.join(rooted, "fp").select(*keep, "fp", "root")
 
