@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 #: Largest row count of a DataFrame that is hinted to broadcast.
 BROADCAST_ROWS = 100_000
 
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _scratch: list[tuple[SparkSession, str]] = []
 
 
@@ -41,19 +45,41 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(build: Callable[[], DataFrame]) -> DataFrame:
+    """What ``build`` makes as a table; the tables that it wrote on the way are removed, and shuffle files that nothing refers to any more with them."""
+    start = len(_scratch)
+    out = materialize(build())
+    done, _scratch[start:] = _scratch[start:-1], _scratch[-1:]
+    for spark, path in done:
+        _remove(spark, path)
+    gc.collect()
+    out.sparkSession._jvm.System.gc()
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 @atexit.register
 def _remove_scratch() -> None:
     for spark, path in _scratch:
         try:
-            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+            _remove(spark, path)
         except Exception:  # the JVM may already be gone at exit
             return
 
 
 def on_workers(df: DataFrame) -> DataFrame:
-    """``df``, once its Python workers can import this package: it is sent to the executors at the first call in an application."""
-    sc = df.sparkSession.sparkContext
+    """``df``, once its Python workers can import this package: it is sent to the executors at the first call in an application.
+
+    Texts may be long, so Arrow batches get fewer rows than Spark's default unless the session names a number.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if spark.conf.get(_BATCH_ROWS) == "10000":  # Spark's default
+        spark.conf.set(_BATCH_ROWS, "2000")
     if not getattr(sc, "_has_siftlake", False):
         package = os.path.dirname(os.path.abspath(__file__))
         archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="siftlake-code-"), "siftlake-code"), "zip", os.path.dirname(package), os.path.basename(package))
