@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..storage import BROADCAST_ROWS, bounded, materialize, on_workers, settled, shared_dir
 
-__all__ = ["BROADCAST_BYTES", "BROADCAST_ROWS", "CACHE_BYTES", "Cache", "bounded", "fresh", "materialize", "on_workers", "read_bytes", "release", "resident", "settled", "shared_dir", "ship", "table", "text_slices", "unload", "with_text"]
+__all__ = ["BROADCAST_BYTES", "BROADCAST_ROWS", "CACHE_BYTES", "Cache", "bounded", "fresh", "materialize", "on_workers", "read_bytes", "release", "resident", "settled", "shared_dir", "ship", "table", "text_slices", "trim", "unload", "with_text"]
 
 #: Largest payload that is ever put into a broadcast, in bytes.
 BROADCAST_BYTES = 64 << 20
@@ -23,7 +23,7 @@ BROADCAST_BYTES = 64 << 20
 SLICE_BYTES = 4 << 20
 
 #: Bytes that a worker's cache of chunks takes at most, about.
-CACHE_BYTES = 96 << 20
+CACHE_BYTES = 64 << 20
 #: Chunks that are learned at once, and bytes that a cached one takes besides its own.
 _LEARN = 1 << 14
 _ENTRY_BYTES = 160
@@ -49,6 +49,11 @@ def release() -> None:
     if _resident:
         _resident.clear()
         gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory of this process back to the system."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # where the C library can't give memory back
         ctypes.CDLL(None).malloc_trim(0)
@@ -74,6 +79,11 @@ class Cache(Generic[T]):
         self._size = 0
         self._passing: list[bytes] = []
 
+    def clear(self) -> None:
+        """Forget everything, and give the memory back; for the end of a task, after which a worker may lie idle."""
+        self._young, self._old, self._size, self._passing = {}, {}, 0, []
+        trim()
+
     def serve(self, wanted: Set[bytes], learn: Callable[[list[bytes]], dict[bytes, T]]) -> dict[bytes, T]:
         """A dictionary that holds all of ``wanted`` until the next call; ``learn`` is asked for what isn't known."""
         for k in self._passing:

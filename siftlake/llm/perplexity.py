@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, materialize, on_workers, release, resident, settled, ship, text_slices, unload
+from .common import bounded, materialize, on_workers, release, resident, settled, ship, text_slices, trim, unload
 
 ORDER = 5
 UNIT = 1 << 20
@@ -521,6 +521,7 @@ def _measure(docs: DataFrame, keep: list[str], model: ModelBlocks) -> DataFrame:
                 columns = [batch.column(i).slice(a, b - a) for i in range(n_keep + 1)]
                 columns += [pa.array(x, pa.int64()) for x in (*zip(*base, strict=True), nll, events)]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, "lang", *_BASE_NAMES, "nll", "n_events"])
+        trim()
 
     return on_workers(docs.select(*keep, "lang", "text")).mapInArrow(run, f"{kept}, lang string, {_BASE}, nll long, n_events long")
 

@@ -169,6 +169,9 @@ class PieceCodec:
                 raise AssertionError(f"segment {k!r} decodes to {b!r}")
         return {k: np.array(c, dtype="<u4").tobytes() for k, c in zip(keys, coded, strict=True)}
 
+    def forget(self) -> None:
+        self._cache.clear()
+
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Ids of each text (little-endian unsigned 32-bit, with begin and end)."""
         parts: list[list[bytes]] = []
@@ -232,6 +235,7 @@ def encode_decode(docs: DataFrame, model_path: str, *, text_column: str = "text"
                 columns = [batch.column(i).slice(a, b - a) for i in range(len(keep))]
                 columns += [pa.array([made[o](*d) for d in done], kinds[o][1]) for o in outputs]
                 yield pa.RecordBatch.from_arrays(columns, names=[*(f"k{i}" for i in range(len(keep))), *outputs])
+        codec.forget()
 
     handed, at = with_text(keep, text_column)
     schema = ", ".join([*(f"k{i} {docs.schema[k].dataType.simpleString()}" for i, k in enumerate(keep)), *(f"{o} {kinds[o][0]}" for o in outputs)])

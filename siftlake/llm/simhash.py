@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, fresh, materialize, on_workers, release, settled, ship, text_slices, with_text
+from .common import bounded, fresh, materialize, on_workers, release, settled, ship, text_slices, trim, with_text
 from .components import components
 
 THRESHOLD = 3
@@ -122,6 +122,7 @@ def fingerprints(docs: DataFrame, *, width: int = 3, keep: tuple[str, ...] = ("d
                 columns += [pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes)))]
                 columns += [pa.array(x) for x in np.array(parities, dtype=np.int64).reshape(-1, 4).T]
             yield pa.RecordBatch.from_arrays(columns, names=[*(f"k{i}" for i in range(len(keep))), "fp", *more])
+        trim()
 
     more = [] if similarity is None else ["s", "n", "prefix", *_PARITIES]
     handed, at = with_text(keep, text_column)
