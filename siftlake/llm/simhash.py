@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, fresh, materialize, on_workers, release, settled, ship, text_slices, trim, with_text
+from .common import BROADCAST_ROWS, bounded, fresh, materialize, on_workers, release, settled, ship, sweep, text_slices, trim, with_text
 from .components import components
 
 THRESHOLD = 3
@@ -39,8 +39,8 @@ _PARITIES = ("q0", "q1", "q2", "q3")
 _PAIRS_A_ROW, _HOT, _HOT_ROUNDS = 4, 8, 2
 #: Pairs for each row that are too many after that: then, for some rounds, sets are held against one alone.  Results don't depend on it.
 _PAIRS_A_ROW_AFTER, _STAR_ROUNDS = 64, 3
-#: Hashes that are put last in a round at most, and hashes or names that a worker of the JVM holds at most.
-_HOT_KEYS = _LIVE_KEYS = 1 << 20
+#: Hashes that are put last in a round at most: eight bytes each in the driver and in a worker.
+_HOT_KEYS = 1 << 20
 #: Bits of the five parity checks: bit p-1 takes part in check j if p has bit j.
 _CHECKS = [sum(1 << (p - 1) for p in range(1, 32) if p >> j & 1) for j in range(5)]
 
@@ -147,7 +147,7 @@ def _shingle_sets(docs: DataFrame, width: int, text_column: str) -> DataFrame:
 def _rooted(sets: DataFrame, known: DataFrame) -> DataFrame:
     """``s, comp``: the least fingerprint that ``known(u, v)`` links with that of each of ``sets(s, fp)``."""
     roots = settled(lambda: components(known).select(F.col("node").alias("fp"), "root"))
-    return materialize(sets.select("s", "fp").join(bounded(roots, _LIVE_KEYS), "fp", "left").select("s", F.coalesce("root", "fp").alias("comp")))
+    return materialize(sets.select("s", "fp").join(bounded(roots), "fp", "left").select("s", F.coalesce("root", "fp").alias("comp")))
 
 
 def _may_be_similar(similarity: float) -> Column:
@@ -164,7 +164,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, *, width: int,
     both = materialize(both.select("s_u", "s_v", "fp_u", "fp_v", "n_u", "n_v"))
     wanted = both.select(F.col("s_u").alias("s")).union(both.select(F.col("s_v").alias("s"))).distinct()
     texts = materialize(sets.join(wanted, "s", "left_semi").select(content))
-    own = materialize(_shingle_sets(docs.join(bounded(texts, _LIVE_KEYS), content, "left_semi"), width, text_column))
+    own = materialize(_shingle_sets(docs.join(bounded(texts), content, "left_semi"), width, text_column))
     of = lambda x: own.select(F.col("s").alias(f"s_{x}"), F.col("own").alias(f"own_{x}"))
     found = both.join(of("u"), "s_u").join(of("v"), "s_v").withColumn("common", F.size(F.array_intersect("own_u", "own_v")))
     return materialize(found.filter(F.col("common") / (F.col("n_u") + F.col("n_v") - F.col("common")) >= similarity).select(F.col("fp_u").alias("u"), F.col("fp_v").alias("v")))
@@ -205,7 +205,14 @@ def _hot_keys(met: DataFrame) -> DataFrame:
 def _shared(rows: DataFrame) -> DataFrame:
     """Those ``rows(s, key, pos)`` whose ``key`` several sets have, each once; copies of a set may be among them."""
     live = materialize(rows.groupBy("key").agg(F.min("s").alias("least"), F.max("s").alias("most")).filter("least < most").select("key"))
-    return rows.join(bounded(live, _LIVE_KEYS), "key", "left_semi").dropDuplicates(["s", "key"])
+    sweep(rows.sparkSession)
+    # written before repeats go: else they would go within the partitions of the join, and Spark couldn't split those of a frequent key
+    return materialize(rows.join(bounded(live), "key", "left_semi")).dropDuplicates(["s", "key"])
+
+
+def _sorted_keys(keys: DataFrame) -> np.ndarray:
+    """The hashes ``keys(key)`` in order, without a Python object for each."""
+    return np.sort(keys.toArrow().column("key").to_numpy())
 
 
 def _pairs_to_come(at: DataFrame) -> tuple[float, float]:
@@ -236,28 +243,32 @@ def similar_links(docs: DataFrame, prints: DataFrame, near: DataFrame, *, width:
     comps = _rooted(sets, known)
     rows = own.select("s", F.posexplode("prefix").alias("pos", "key"))
     first = met = materialize(_shared(rows))
-    located = lambda: met.join(bounded(comps, _LIVE_KEYS), "s")
+    located = lambda: materialize(met.join(bounded(comps), "s"))
+    at = located()
     hot = None
     for _ in range(_HOT_ROUNDS):
-        n_rows, n_pairs = _pairs_to_come(located())
+        sweep(docs.sparkSession)
+        n_rows, n_pairs = _pairs_to_come(at)
         if n_pairs <= _PAIRS_A_ROW * n_rows:
             break
         more = _hot_keys(met)
         hot = materialize((more if hot is None else hot.union(more)).distinct())
-        sorted_hot = np.sort(np.array([r.key for r in hot.collect()], dtype=np.int64))  # bounded by _HOT_KEYS a round
-        reordered = materialize(first.join(bounded(hot, _LIVE_KEYS), "key", "left_semi").select("s").distinct().join(sets.select("s", content), "s").select(content))
-        texts = docs.join(F.broadcast(reordered), content, "left_semi") if reordered.count() <= _LIVE_KEYS else docs
+        sorted_hot = _sorted_keys(hot)  # bounded by _HOT_KEYS a round
+        reordered = materialize(first.join(bounded(hot), "key", "left_semi").select("s").distinct().join(sets.select("s", content), "s").select(content))
+        texts = docs.join(F.broadcast(reordered), content, "left_semi") if reordered.count() <= BROADCAST_ROWS else docs
         new = materialize(_extensions(texts, sorted_hot, width=width, similarity=similarity, text_column=text_column))
-        asked = materialize(new.select("key").distinct().join(bounded(hot, _LIVE_KEYS), "key", "left_anti"))
-        # what stays in a prefix moves up by the hot ones before it
-        before = materialize(first.join(bounded(hot, _LIVE_KEYS), "key", "left_semi").groupBy("s").agg(F.collect_set("pos").alias("gone")))
-        up = lambda at: at.join(bounded(before, _LIVE_KEYS), "s", "left").withColumn("pos", F.col("pos") - F.coalesce(F.size(F.filter("gone", lambda x: x < F.col("pos"))), F.lit(0))).drop("gone")  # noqa: B023, E731
-        entered = _shared(materialize(up(rows.join(bounded(asked, _LIVE_KEYS), "key", "left_semi")).unionByName(new)))
-        stayed = up(first.join(bounded(hot, _LIVE_KEYS), "key", "left_anti"))
+        asked = materialize(new.select("key").distinct().join(bounded(hot), "key", "left_anti"))
+        # what stays in a prefix moves up by the hot ones before it; that table is never hinted to broadcast, as its lists may be long
+        before = materialize(first.join(bounded(hot), "key", "left_semi").groupBy("s").agg(F.collect_set("pos").alias("gone")))
+        up = lambda moved: moved.join(before, "s", "left").withColumn("pos", F.col("pos") - F.coalesce(F.size(F.filter("gone", lambda x: x < F.col("pos"))), F.lit(0))).drop("gone")  # noqa: B023, E731
+        entered = _shared(materialize(up(rows.join(bounded(asked), "key", "left_semi")).unionByName(new)))
+        sweep(docs.sparkSession)
+        stayed = up(first.join(bounded(hot), "key", "left_anti"))
         met = materialize(stayed.unionByName(entered).dropDuplicates(["s", "key"]))
+        at = located()
     tried = None
     for _ in range(_STAR_ROUNDS):
-        at = materialize(located())
+        sweep(docs.sparkSession)
         n_rows, n_pairs = _pairs_to_come(at)
         if n_pairs <= _PAIRS_A_ROW_AFTER * n_rows:
             break
@@ -271,11 +282,12 @@ def similar_links(docs: DataFrame, prints: DataFrame, near: DataFrame, *, width:
         if not found.isEmpty():
             known = materialize(known.union(found).distinct())
             comps = _rooted(sets, known)
-    at = located()
+            at = located()
     meeting = materialize(at.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most").select("key"))
-    at = at.join(bounded(meeting, _LIVE_KEYS), "key", "left_semi").join(bounded(sets.select("s", "n", *_PARITIES), _LIVE_KEYS), "s")
+    at = at.join(bounded(meeting), "key", "left_semi").join(bounded(sets.select("s", "n", *_PARITIES)), "s")
     at = materialize(at.withColumn("rest", F.col("n") - F.col("pos")).drop("pos"))
     u, v = (at.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("s", "n", "rest", "comp", *_PARITIES))) for x in "uv")
+    sweep(docs.sparkSession)
     # what two sets share lies behind the first hash that they share
     behind = F.least("rest_u", "rest_v") >= (F.col("n_u") + F.col("n_v")) * (similarity / (1 + similarity)) - 1e-6
     pairs = u.join(v, "key").filter((F.col("s_u") < F.col("s_v")) & (F.col("comp_u") != F.col("comp_v")) & behind & _may_be_similar(similarity)).select("s_u", "s_v").distinct()

@@ -52,11 +52,16 @@ def settled(build: Callable[[], DataFrame]) -> DataFrame:
     done, _scratch[start:] = _scratch[start:-1], _scratch[-1:]
     for spark, path in done:
         _remove(spark, path)
-    gc.collect()
-    out.sparkSession._jvm.System.gc()
+    sweep(out.sparkSession)
     return out
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let shuffle files and broadcasts go that nothing refers to any more, at once instead of when the driver's heap fills up."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
