@@ -17,20 +17,26 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import operator
 import re
 from collections.abc import Iterator
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_BYTES, Cache, on_workers, read_bytes, resident, ship, text_slices, with_text
+from .common import CACHE_BYTES, Cache, on_workers, read_bytes, resident, ship, text_slices, trim, with_text
 
 _MARK = "▁"
 _MARK_UTF8 = _MARK.encode()
 _SEGMENT = re.compile(rb" +[^ ]*")
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
+#: Symbols up to which the agenda of a segment is a list, and what stands there for a pair that is no piece.
+_SHORT, _NO_PLACE = 64, 1 << 60
+#: Segments that the library gets as one text.
+_TOGETHER = 64
 
 
 def _repaired(run: bytes) -> bytes:
@@ -73,6 +79,9 @@ class PieceCodec:
         self.pieces = [p.piece for p in proto.pieces]
         self.kinds = [p.type for p in proto.pieces]
         self.score = {p.piece: p.score for p in proto.pieces if p.type == _NORMAL}
+        # places of the scores, best first; equal scores have one place
+        places = {x: i for i, x in enumerate(sorted(set(self.score.values()), reverse=True))}
+        self._place = {piece: places[x] for piece, x in self.score.items()}
         self.id_of = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == _NORMAL}
         self.byte_id = [0] * 256
         self.byte_of: dict[int, int] = {}
@@ -89,41 +98,59 @@ class PieceCodec:
 
     def encode_segment(self, segment: str) -> list[int]:
         """Ids of one segment, whose spaces are already marks."""
-        score = self.score
-        symbol: list[str | None] = list(segment)
-        n = len(symbol)
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        agenda = []
-        for i in range(n - 1):
+        symbols = list(segment)
+        symbols = self._merged(symbols) if len(symbols) <= _SHORT else self._merged_long(symbols)
+        ids = list(map(self.id_of.get, symbols))
+        if None not in ids:
+            return ids
+        return [x for i, s in zip(ids, symbols, strict=True) for x in ([i] if i is not None else map(self.byte_id.__getitem__, s.encode()))]
+
+    def _merged(self, symbol: list[str]) -> list[str]:
+        """The agenda as a list with the place of each symbol's pair with the next one: of few pairs the best is found faster than a heap is kept."""
+        place, none = self._place.get, _NO_PLACE
+        agenda = [place(p, none) for p in map(operator.add, symbol, symbol[1:])]
+        while agenda:
+            best = min(agenda)
+            if best == none:
+                break
+            i = agenda.index(best)
             pair = symbol[i] + symbol[i + 1]
-            if pair in score:
-                agenda.append((-score[pair], i, i + 1, pair))
+            symbol[i : i + 2] = (pair,)
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = place(pair + symbol[i + 1], none)
+            if i:
+                agenda[i - 1] = place(symbol[i - 1] + pair, none)
+        return symbol
+
+    def _merged_long(self, symbol: list[str | None]) -> list[str]:
+        """The same with a heap, whose entries are place and index of the left symbol; one holds while the symbol there and the next one make a pair of that place."""
+        place = self._place.get
+        n = len(symbol)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        agenda = [(p, i) for i, p in enumerate(map(place, map(operator.add, symbol, symbol[1:]))) if p is not None]
         heapq.heapify(agenda)
         while agenda:
-            _, i, j, pair = heapq.heappop(agenda)
-            if symbol[i] is None or symbol[j] is None or after[i] != j or len(symbol[i]) + len(symbol[j]) != len(pair):
+            best, i = heapq.heappop(agenda)
+            j, left = after[i], symbol[i]
+            if left is None or j == n:
+                continue
+            pair = left + symbol[j]
+            if place(pair) != best:
                 continue
             symbol[i], symbol[j] = pair, None
             k = after[i] = after[j]
-            if k >= 0:
+            if k < n:
                 before[k] = i
-                longer = pair + symbol[k]
-                if longer in score:
-                    heapq.heappush(agenda, (-score[longer], i, k, longer))
+                p = place(pair + symbol[k])
+                if p is not None:
+                    heapq.heappush(agenda, (p, i))
             h = before[i]
             if h >= 0:
-                longer = symbol[h] + pair
-                if longer in score:
-                    heapq.heappush(agenda, (-score[longer], h, i, longer))
-        ids: list[int] = []
-        for s in symbol:
-            if s is not None:
-                found = self.id_of.get(s)
-                if found is None:
-                    ids += [self.byte_id[b] for b in s.encode()]
-                else:
-                    ids.append(found)
-        return ids
+                p = place(symbol[h] + pair)
+                if p is not None:
+                    heapq.heappush(agenda, (p, h))
+        return list(filter(None, symbol))
 
     def decode(self, ids: list[int]) -> str:
         """Text of any ids: control pieces vanish, byte pieces become characters, the space of a first ordinary piece goes."""
@@ -157,17 +184,24 @@ class PieceCodec:
         """Ids of new segments, given without their first space; each is decoded too, and must come back as it was."""
         strings = [k.decode() for k in keys]
         coded = [self.encode_segment(_MARK + s.replace(" ", _MARK)) for s in strings]
-        back = [self._decode(c) for c in coded]
-        checked = [i for i, s in enumerate(strings) if s]  # the library returns nothing for an empty text
-        truth = self.library.encode([strings[i] for i in checked], num_threads=1)
+        plain = self._bytes.__getitem__
+        for k, ids in zip(keys, coded, strict=True):
+            # bytes that make up a whole segment make characters, so none would be replaced
+            if b"".join(map(plain, ids)) != b" " + k:
+                raise AssertionError(f"segment {k!r} decodes to {self._decode(ids)!r}")
+        # a segment that ends with a space would run into the one behind it; the library returns nothing for an empty text
+        apart = [i for i, s in enumerate(strings) if s and s[-1] == " "]
+        together = [i for i, s in enumerate(strings) if s and s[-1] != " "]
+        groups = [*([i] for i in apart), *(together[i : i + _TOGETHER] for i in range(0, len(together), _TOGETHER))]
+        asked = [" ".join(map(strings.__getitem__, g)) for g in groups]
+        truth = self.library.encode(asked, num_threads=1)
         said = self.library.decode(truth, num_threads=1)
-        for i, ids, text in zip(checked, truth, said, strict=True):
-            if ids != coded[i] or text.encode() != back[i][1:]:
-                raise AssertionError(f"segment {strings[i]!r} differs from the library: {coded[i]} and {ids}")
-        for k, b in zip(keys, back, strict=True):
-            if b != b" " + k:
-                raise AssertionError(f"segment {k!r} decodes to {b!r}")
-        return {k: np.array(c, dtype="<u4").tobytes() for k, c in zip(keys, coded, strict=True)}
+        for g, text, ids, back in zip(groups, asked, truth, said, strict=True):
+            if ids != list(chain.from_iterable(map(coded.__getitem__, g))) or back != text:
+                raise AssertionError(f"segments {text!r} differ from the library: {[coded[i] for i in g]} and {ids}")
+        ends = list(accumulate(map(len, coded), initial=0))
+        data = np.array(list(chain.from_iterable(coded)), dtype="<u4").tobytes()
+        return {k: data[4 * a : 4 * b] for k, (a, b) in zip(keys, pairwise(ends), strict=True)}
 
     def forget(self) -> None:
         self._cache.clear()
@@ -235,7 +269,7 @@ def encode_decode(docs: DataFrame, model_path: str, *, text_column: str = "text"
                 columns = [batch.column(i).slice(a, b - a) for i in range(len(keep))]
                 columns += [pa.array([made[o](*d) for d in done], kinds[o][1]) for o in outputs]
                 yield pa.RecordBatch.from_arrays(columns, names=[*(f"k{i}" for i in range(len(keep))), *outputs])
-        codec.forget()
+        trim()
 
     handed, at = with_text(keep, text_column)
     schema = ", ".join([*(f"k{i} {docs.schema[k].dataType.simpleString()}" for i, k in enumerate(keep)), *(f"{o} {kinds[o][0]}" for o in outputs)])
