@@ -140,6 +140,8 @@ def _shingle_sets(docs: DataFrame, width: int, text_column: str) -> DataFrame:
             for _, _, texts in text_slices(batch.column(0)):
                 sets = [_set_of(_hashes(t, width)) for t in texts]
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in sets], pa.int64()), pa.array([own for _, own in sets], pa.list_(pa.int64()))], names=["s", "own"])
+                del sets
+        trim()
 
     return on_workers(docs.select(text_column)).mapInArrow(run, "s long, own array<long>").dropDuplicates(["s"])
 
@@ -170,6 +172,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, *, width: int,
     return materialize(found.filter(F.col("common") / (F.col("n_u") + F.col("n_v") - F.col("common")) >= similarity).select(F.col("fp_u").alias("u"), F.col("fp_v").alias("v")))
 
 
+def _among(own: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of ``own`` are among the sorted ``known``; nothing of the size of ``known`` is made, as this is asked for each text."""
+    if not len(known):
+        return np.zeros(len(own), dtype=bool)
+    return known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own
+
+
 def _extensions(docs: DataFrame, hot: np.ndarray, *, width: int, similarity: float, text_column: str) -> DataFrame:
     """``s, key, pos``: hashes that enter the prefixes of sets, and at which place, once the ``hot`` ones (sorted) come last in the order of all hashes; hot ones left in a prefix are among them."""
     shipped = ship(docs.sparkSession, hot, hot.nbytes)
@@ -183,12 +192,13 @@ def _extensions(docs: DataFrame, hot: np.ndarray, *, width: int, similarity: flo
                 for t in texts:
                     name, own = _set_of(_hashes(t, width))
                     p = _prefix_size(len(own), similarity)
-                    late = np.isin(own, hot, assume_unique=True)
+                    late = _among(own, hot)
                     if n := int(late[:p].sum()):
                         keys.append(np.concatenate((own[~late], own[late]))[p - n : p])
                         places.append(np.arange(p - n, p, dtype=np.int32))
                         names += [name] * n
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(np.concatenate(keys)), pa.array(np.concatenate(places))], names=["s", "key", "pos"])
+        trim()
 
     return on_workers(docs.select(text_column)).mapInArrow(run, "s long, key long, pos int").distinct()
 
