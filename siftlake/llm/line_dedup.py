@@ -70,8 +70,8 @@ def _spans(threshold: int) -> tuple[Column, Column, Column]:
     """Length of the indexed line, start and width of the segment, for a line of ``n_chars`` at one of ``_places``."""
     k = threshold + 1
     n = F.col("n_chars") - F.col("shorter")
-    rest = F.pmod(n, F.lit(k))
-    base = ((n - rest) / k).cast("int")
+    base = F.call_function("div", n, F.lit(k)).cast("int")  # whole numbers; a length below zero, which no line has, matches nothing either way
+    rest = n - base * k
     extra = rest + F.col("i") - k
     return n, base * F.col("i") + F.greatest(F.lit(0), extra) + F.col("shift") + 1, base + (extra >= 0).cast("int")
 
