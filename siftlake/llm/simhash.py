@@ -41,6 +41,8 @@ _PAIRS_A_ROW, _HOT, _HOT_ROUNDS = 4, 8, 2
 _PAIRS_A_ROW_AFTER, _STAR_ROUNDS = 64, 3
 #: Hashes that are put last in a round at most: eight bytes each in the driver and in a worker.
 _HOT_KEYS = 1 << 20
+#: Bits of a bitmap of hashes: for each hash that it is made for, and at most, which is 32 MB.  Results don't depend on it.
+_BITS_A_KEY, _MAP_BITS = 16, 1 << 28
 #: Bits of the five parity checks: bit p-1 takes part in check j if p has bit j.
 _CHECKS = [sum(1 << (p - 1) for p in range(1, 32) if p >> j & 1) for j in range(5)]
 
@@ -212,12 +214,57 @@ def _hot_keys(met: DataFrame) -> DataFrame:
     return counts.filter(F.col("m") > least).select("key")
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """Those ``rows(s, key, pos)`` whose ``key`` several sets have, each once; copies of a set may be among them."""
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """Words of a bitmap with a bit for each of the hashes ``keys(key)``, at the place that its low bits name; it is made by the executors, so the driver gets no more than twice its size."""
+    bits = min(_MAP_BITS, max(64, 1 << (_BITS_A_KEY * keys.count() - 1).bit_length()))
+    at = F.col("key").bitwiseAND(F.lit(bits - 1))
+    words = keys.select(F.shiftright(at, 6).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+    words = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(bits >> 6, dtype=np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out
+
+
+def _marked(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Places of those ``hashes`` whose bit the bitmap ``known`` has."""
+    found = [np.zeros(0, dtype=np.int64)]
+    for i in range(0, len(hashes), _CHUNK):
+        at = hashes[i : i + _CHUNK] & (64 * len(known) - 1)
+        found.append(i + np.flatnonzero(known[at >> 6] >> (at & 63) & 1))
+    return np.concatenate(found)
+
+
+def _among_prefixes(prefixes: DataFrame, keys: DataFrame) -> DataFrame:
+    """``s, key, pos`` of those hashes of ``prefixes(s, prefix)`` that are among ``keys(key)``; most others go by a bitmap before anything is shuffled."""
+    known = _bitmap(keys)
+    shipped = ship(prefixes.sparkSession, known, known.nbytes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for batch in batches:
+            hashes = batch.column(1).flatten().to_numpy()
+            ends = np.cumsum(batch.column(1).value_lengths().to_numpy())
+            found = _marked(shipped.value, hashes)
+            row = np.searchsorted(ends, found, side="right")
+            starts = np.concatenate(([0], ends))[row]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(hashes[found]), pa.array((found - starts).astype(np.int32))], names=["s", "key", "pos"])
+        trim()
+
+    possible = on_workers(prefixes.select("s", "prefix")).mapInArrow(run, "s long, key long, pos int")
+    return possible.join(bounded(keys), "key", "left_semi")
+
+
+def _live(rows: DataFrame) -> DataFrame:
+    """Hashes ``key`` that several sets of ``rows(s, key)`` have."""
     live = materialize(rows.groupBy("key").agg(F.min("s").alias("least"), F.max("s").alias("most")).filter("least < most").select("key"))
     sweep(rows.sparkSession)
-    # written before repeats go: else they would go within the partitions of the join, and Spark couldn't split those of a frequent key
-    return materialize(rows.join(bounded(live), "key", "left_semi")).dropDuplicates(["s", "key"])
+    return live
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    """``rows(s, key, pos)``, each once; copies of a set may be among them."""
+    # written before repeats go: else they would go within the partitions of a join, and Spark couldn't split those of a frequent key
+    return materialize(rows).dropDuplicates(["s", "key"])
 
 
 def _sorted_keys(keys: DataFrame) -> np.ndarray:
@@ -251,8 +298,8 @@ def similar_links(docs: DataFrame, prints: DataFrame, near: DataFrame, *, width:
     same = own.select("s", F.col("fp").alias("v")).distinct().join(sets.select("s", F.col("fp").alias("u")), "s").filter("u < v").select("u", "v")
     known = materialize(near.select("u", "v").union(same))
     comps = _rooted(sets, known)
-    rows = own.select("s", F.posexplode("prefix").alias("pos", "key"))
-    first = met = materialize(_shared(rows))
+    prefixes = own.select("s", "prefix")
+    first = met = materialize(_once(_among_prefixes(prefixes, _live(own.select("s", F.explode("prefix").alias("key"))))))
     located = lambda: materialize(met.join(bounded(comps), "s"))
     at = located()
     hot = None
@@ -271,7 +318,8 @@ def similar_links(docs: DataFrame, prints: DataFrame, near: DataFrame, *, width:
         # what stays in a prefix moves up by the hot ones before it; that table is never hinted to broadcast, as its lists may be long
         before = materialize(first.join(bounded(hot), "key", "left_semi").groupBy("s").agg(F.collect_set("pos").alias("gone")))
         up = lambda moved: moved.join(before, "s", "left").withColumn("pos", F.col("pos") - F.coalesce(F.size(F.filter("gone", lambda x: x < F.col("pos"))), F.lit(0))).drop("gone")  # noqa: B023, E731
-        entered = _shared(materialize(up(rows.join(bounded(asked), "key", "left_semi")).unionByName(new)))
+        entering = materialize(up(_among_prefixes(prefixes, asked)).unionByName(new))
+        entered = _once(entering.join(bounded(_live(entering)), "key", "left_semi"))
         sweep(docs.sparkSession)
         stayed = up(first.join(bounded(hot), "key", "left_anti"))
         met = materialize(stayed.unionByName(entered).dropDuplicates(["s", "key"]))
@@ -298,9 +346,15 @@ def similar_links(docs: DataFrame, prints: DataFrame, near: DataFrame, *, width:
     at = materialize(at.withColumn("rest", F.col("n") - F.col("pos")).drop("pos"))
     u, v = (at.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("s", "n", "rest", "comp", *_PARITIES))) for x in "uv")
     sweep(docs.sparkSession)
-    # what two sets share lies behind the first hash that they share
-    behind = F.least("rest_u", "rest_v") >= (F.col("n_u") + F.col("n_v")) * (similarity / (1 + similarity)) - 1e-6
-    pairs = u.join(v, "key").filter((F.col("s_u") < F.col("s_v")) & (F.col("comp_u") != F.col("comp_v")) & behind & _may_be_similar(similarity)).select("s_u", "s_v").distinct()
+    enough = (F.col("n_u") + F.col("n_v")) * (similarity / (1 + similarity)) - 1e-6
+    behind = F.least("rest_u", "rest_v")
+    # what two similar sets share lies before or behind any one hash of that; this holds for all that they share, so that it can be counted
+    placed = F.least(F.col("n_u") - F.col("rest_u"), F.col("n_v") - F.col("rest_v")) + behind >= enough
+    pairs = u.join(v, "key").filter((F.col("s_u") < F.col("s_v")) & (F.col("comp_u") != F.col("comp_v")) & placed & _may_be_similar(similarity))
+    pairs = pairs.groupBy("s_u", "s_v").agg(F.count("*").alias("common"), F.max(behind).alias("behind"), F.max("n_u").alias("n_u"), F.max("n_v").alias("n_v"))
+    # it lies behind the first; and what isn't common to the prefixes lies behind the prefix that ends first
+    after = F.ceil(F.greatest("n_u", "n_v") * F.lit(similarity) - 1e-9) - 1
+    pairs = pairs.filter((F.col("behind") >= enough) & (F.col("common") + after >= enough)).select("s_u", "s_v")
     return known.union(_verified(pairs, sets, **verify))
 
 
