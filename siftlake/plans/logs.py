@@ -179,7 +179,10 @@ def _metric_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     lines = table(spark, sf_dir, "lineitem").join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     metrics = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("repo"), F.floor("c_acctbal").cast("long").alias("stars"), F.col("c_nationkey").alias("forks"), F.length("c_name").alias("contributors"))
-    extras = orders.groupBy(F.col("o_custkey").alias("repo")).agg(F.count("*").alias("commit_count"), F.floor(F.sum("o_totalprice")).cast("long").alias("size_kb"))
+    # sums of prices in the order of the table: in another one their floors may differ
+    prices = orders.select(F.col("o_custkey").alias("repo"), "o_totalprice", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    sizes = ordering.floors_of_sums(prices, "repo", "o_totalprice", ["file", "row"], "size_kb")
+    extras = orders.groupBy(F.col("o_custkey").alias("repo")).agg(F.count("*").alias("commit_count")).join(sizes, "repo", "left")
     measured = lines.groupBy(F.col("o_custkey").alias("repo")).agg(F.sum("l_linenumber").alias("loc_reachable"), F.count_if(F.col("l_returnflag") == "A").alias("findings_total"), F.count_if((F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "F")).alias("findings_pipeline"))
     return statistics.correlation_rows(metrics, extras, measured.select("repo", "loc_reachable"), measured.select("repo", "findings_total", "findings_pipeline"))
 
