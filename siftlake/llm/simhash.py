@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, bounded, fresh, materialize, on_workers, release, settled, ship, sweep, text_slices, trim, with_text
+from .common import BROADCAST_ROWS, bounded, fresh, materialize, on_workers, release, settled, ship, shuffled, sweep, text_slices, trim, with_text
 from .components import components
 
 THRESHOLD = 3
@@ -169,7 +169,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, *, width: int,
     wanted = both.select(F.col("s_u").alias("s")).union(both.select(F.col("s_v").alias("s"))).distinct()
     texts = materialize(sets.join(wanted, "s", "left_semi").select(content))
     own = materialize(_shingle_sets(docs.join(bounded(texts), content, "left_semi"), width, text_column))
-    of = lambda x: own.select(F.col("s").alias(f"s_{x}"), F.col("own").alias(f"own_{x}"))
+    of = lambda x: shuffled(own.select(F.col("s").alias(f"s_{x}"), F.col("own").alias(f"own_{x}")))
     found = both.join(of("u"), "s_u").join(of("v"), "s_v").withColumn("common", F.size(F.array_intersect("own_u", "own_v")))
     return materialize(found.filter(F.col("common") / (F.col("n_u") + F.col("n_v") - F.col("common")) >= similarity).select(F.col("fp_u").alias("u"), F.col("fp_v").alias("v")))
 
@@ -315,9 +315,9 @@ def similar_links(docs: DataFrame, prints: DataFrame, near: DataFrame, *, width:
         texts = docs.join(F.broadcast(reordered), content, "left_semi") if reordered.count() <= BROADCAST_ROWS else docs
         new = materialize(_extensions(texts, sorted_hot, width=width, similarity=similarity, text_column=text_column))
         asked = materialize(new.select("key").distinct().join(bounded(hot), "key", "left_anti"))
-        # what stays in a prefix moves up by the hot ones before it; that table is never hinted to broadcast, as its lists may be long
+        # what stays in a prefix moves up by the hot ones before it; that table is never broadcast, as its lists may be long
         before = materialize(first.join(bounded(hot), "key", "left_semi").groupBy("s").agg(F.collect_set("pos").alias("gone")))
-        up = lambda moved: moved.join(before, "s", "left").withColumn("pos", F.col("pos") - F.coalesce(F.size(F.filter("gone", lambda x: x < F.col("pos"))), F.lit(0))).drop("gone")  # noqa: B023, E731
+        up = lambda moved: moved.join(shuffled(before), "s", "left").withColumn("pos", F.col("pos") - F.coalesce(F.size(F.filter("gone", lambda x: x < F.col("pos"))), F.lit(0))).drop("gone")  # noqa: B023, E731
         entering = materialize(up(_among_prefixes(prefixes, asked)).unionByName(new))
         entered = _once(entering.join(bounded(_live(entering)), "key", "left_semi"))
         sweep(docs.sparkSession)
@@ -350,7 +350,7 @@ def similar_links(docs: DataFrame, prints: DataFrame, near: DataFrame, *, width:
     behind = F.least("rest_u", "rest_v")
     # what two similar sets share lies before or behind any one hash of that; this holds for all that they share, so that it can be counted
     placed = F.least(F.col("n_u") - F.col("rest_u"), F.col("n_v") - F.col("rest_v")) + behind >= enough
-    pairs = u.join(v, "key").filter((F.col("s_u") < F.col("s_v")) & (F.col("comp_u") != F.col("comp_v")) & placed & _may_be_similar(similarity))
+    pairs = u.join(shuffled(v), "key").filter((F.col("s_u") < F.col("s_v")) & (F.col("comp_u") != F.col("comp_v")) & placed & _may_be_similar(similarity))
     pairs = pairs.groupBy("s_u", "s_v").agg(F.count("*").alias("common"), F.max(behind).alias("behind"), F.max("n_u").alias("n_u"), F.max("n_v").alias("n_v"))
     # it lies behind the first; and what isn't common to the prefixes lies behind the prefix that ends first
     after = F.ceil(F.greatest("n_u", "n_v") * F.lit(similarity) - 1e-9) - 1
@@ -388,7 +388,8 @@ def links(prints: DataFrame) -> DataFrame:
     differ = F.col("u").bitwiseXOR(F.col("v"))
     # a pair may meet in both halves: it is taken in the first if it is within one bit there, else in the second
     first = (F.col("anchor") < F.lit(1 << 32)) == (F.bit_count(differ.bitwiseAND(F.lit(_HALF))) <= 1)
-    pairs = homes.join(replicas.withColumnRenamed("anchor", "replica_anchor"), (F.col("anchor") == F.col("replica_anchor")) & (F.col("u") < F.col("v")) & (F.bit_count(differ) <= THRESHOLD) & first)
+    # a fingerprint has some 33 replicas, which Spark's estimate leaves out
+    pairs = homes.join(shuffled(replicas.withColumnRenamed("anchor", "replica_anchor")), (F.col("anchor") == F.col("replica_anchor")) & (F.col("u") < F.col("v")) & (F.bit_count(differ) <= THRESHOLD) & first)
     return pairs.select("u", "v")
 
 

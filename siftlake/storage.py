@@ -94,5 +94,13 @@ def on_workers(df: DataFrame) -> DataFrame:
 
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint ``df`` to broadcast if a count proves that it has at most ``rows`` rows; else leave the join to Spark."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """Hint ``df`` to broadcast if a count proves that it has at most ``rows`` rows; else keep Spark from doing so."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else shuffled(df)
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """Hint joins with ``df`` to shuffle.
+
+    Spark takes a table for as large as its compressed files, and no larger after an explode, so it may broadcast one that has many times its bound.
+    """
+    return df.hint("merge")
