@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import dims
-from ..storage import bounded, materialize
+from ..storage import bounded, materialize, shuffled
 
 
 def reachability(seeds: DataFrame, edges: DataFrame, max_depth: int = 25, closed: DataFrame | None = None) -> DataFrame:
@@ -21,10 +21,10 @@ def reachability(seeds: DataFrame, edges: DataFrame, max_depth: int = 25, closed
     closed = closed.select("repo", "node").distinct() if closed is not None else None
     seen = frontier
     for depth in range(1, max_depth + 1):
-        leaving = frontier.join(closed, ["repo", "node"], "left_anti") if closed is not None else frontier
+        leaving = frontier.join(shuffled(closed), ["repo", "node"], "left_anti") if closed is not None else frontier
         step = bounded(leaving.select("repo", F.col("node").alias("src")))
         reached = edges.join(step, ["repo", "src"]).select("repo", F.col("dst").alias("node")).distinct()
-        frontier = materialize(reached.join(seen, ["repo", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        frontier = materialize(reached.join(shuffled(seen), ["repo", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
         seen = materialize(seen.unionByName(frontier))
@@ -61,10 +61,10 @@ def import_candidates(imports: DataFrame) -> DataFrame:
 def resolve_imports(imports: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges ``repo, src, dst`` inside the repository, and the imports that lead to no file (``kind`` is external, or unresolved for relative ones)."""
     existing = files.select("repo", "path").distinct()
-    found = import_candidates(imports).join(existing, ["repo", "path"])
+    found = import_candidates(imports).join(shuffled(existing), ["repo", "path"])
     edges = found.select("repo", "src", F.col("path").alias("dst")).distinct()
     keys = ["repo", "src", "module", "level"]
-    left = imports.select(*keys).distinct().join(found.select(*keys).distinct(), keys, "left_anti")
+    left = imports.select(*keys).distinct().join(shuffled(found.select(*keys).distinct()), keys, "left_anti")
     return edges, left.withColumn("kind", F.when(F.col("level") > 0, "unresolved").otherwise("external"))
 
 
@@ -88,7 +88,7 @@ def graph_summary(nodes: DataFrame, unresolved: DataFrame, dynamic: DataFrame) -
     b = nodes.groupBy("repo").agg(F.max("depth").alias("max_depth"), F.count_if(F.col("parse_error").isNotNull()).alias("parse_errors"))
     c = dynamic.groupBy("repo").agg(F.count("*").alias("dynamic_imports"))
     d = unresolved.filter("kind = 'unresolved'").groupBy("repo").agg(F.array_sort(F.collect_set(F.concat_ws(": ", "src", "module"))).alias("unresolved_imports"))
-    out = a.join(b, "repo").join(c, "repo", "left").join(d, "repo", "left")
+    out = a.join(shuffled(b), "repo").join(shuffled(c), "repo", "left").join(shuffled(d), "repo", "left")
     return out.withColumns({"dynamic_imports": F.coalesce("dynamic_imports", F.lit(0)), "unresolved_imports": F.coalesce("unresolved_imports", F.array().cast("array<string>"))})
 
 
@@ -98,10 +98,10 @@ def audit_context(reachable: DataFrame, presence: DataFrame, files: DataFrame) -
     A repository whose stages could not be verified (no row in ``presence``) counts
     as having all of them.
     """
-    existing = reachable.join(files.select("repo", F.col("path").alias("node")).distinct(), ["repo", "node"])
+    existing = reachable.join(shuffled(files.select("repo", F.col("path").alias("node")).distinct()), ["repo", "node"])
     listed = existing.groupBy("repo").agg(F.transform(F.array_sort(F.collect_set(F.struct("depth", "node"))), lambda x: x["node"]).alias("files"))
     stages = F.array(*map(F.lit, dims.PIPELINE_STAGES))
-    rows = listed.join(presence.select("repo", "present"), "repo", "left").select("repo", "files", F.coalesce("present", stages).alias("present"), F.explode(stages).alias("stage"))
+    rows = listed.join(shuffled(presence.select("repo", "present")), "repo", "left").select("repo", "files", F.coalesce("present", stages).alias("present"), F.explode(stages).alias("stage"))
     return rows.select("repo", "stage", F.when(F.array_contains("present", F.col("stage")), F.col("files")).otherwise(F.array().cast("array<string>")).alias("files"))
 
 

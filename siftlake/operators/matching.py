@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar, text
+from ..storage import shuffled
 
 
 def _tails(name: Column) -> Column:
@@ -53,7 +54,7 @@ def presence(evidence: DataFrame, repos: DataFrame) -> DataFrame:
     from .. import dims
 
     found = evidence.groupBy("repo").agg(F.array_sort(F.collect_set("stage")).alias("present"))
-    out = repos.select("repo").distinct().join(found, "repo", "left")
+    out = repos.select("repo").distinct().join(shuffled(found), "repo", "left")
     present = F.coalesce("present", F.array().cast("array<string>"))
     return out.select("repo", present.alias("present"), F.size(present).alias("stages_present"), (F.size(F.array_intersect(present, F.array(*map(F.lit, dims.PIPELINE_STAGES)))) == len(dims.PIPELINE_STAGES)).alias("verified"))
 
