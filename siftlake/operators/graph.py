@@ -112,6 +112,8 @@ def scan_rollup(summary: DataFrame, presence: DataFrame, evidence: DataFrame, en
 
     texts = evidence.groupBy("repo").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("stage", "evidence")))).alias("stage_evidence"))
     files = entries.filter("entry_file is not null").groupBy("repo").agg(F.array_sort(F.collect_set("entry_file")).alias("entry_files"))
-    out = entries.select("repo").distinct().join(joined_routes(entries), "repo", "left").join(files, "repo", "left").join(summary, "repo", "left").join(presence, "repo", "left").join(texts, "repo", "left")
+    out = entries.select("repo").distinct()
+    for side in (joined_routes(entries), files, summary, presence, texts):
+        out = out.join(shuffled(side), "repo", "left")
     status = F.when(F.col("entry_files").isNull(), "no_entry").otherwise("ok")
     return out.withColumns({"status": status, "detail": F.when(status == "ok", scalar.missing_stages_text(F.col("present"))).otherwise(F.lit("no entry point"))})
