@@ -12,8 +12,19 @@ from .. import dims, schemas
 
 
 def keyword_pattern(words: Iterable[str] = dims.ISSUE_KEYWORDS) -> str:
-    """Alternation in list order, so that earlier words win at a place."""
-    return "(?i)" + "|".join(map(re.escape, words))
+    """Alternation in list order, so that earlier words win at a place.
+
+    Words are grouped by their first characters, and a place that has none of these is passed over: words of different groups
+    can't match at one place, so the order inside groups is enough.
+    """
+    words = tuple(words)
+    if not words or not all(words):
+        return "(?i)" + "|".join(map(re.escape, words))
+    groups: dict[str, list[str]] = {}
+    for w in words:
+        groups.setdefault(w[0].lower() if w[0].isascii() else w[0], []).append(w[1:])
+    heads = {re.escape(h): "|".join(map(re.escape, rests)) for h, rests in groups.items()}
+    return f"(?i)(?=[{''.join(heads)}])(?:{'|'.join(f'{h}(?:{rests})' for h, rests in heads.items())})"
 
 
 def keywords(text: Column, words: Iterable[str] = dims.ISSUE_KEYWORDS) -> Column:
