@@ -27,7 +27,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, fresh, materialize, settled
+from .common import bounded, fresh, materialize, settled, shuffled
 
 MIN_CHARS = 40
 THRESHOLD = 2
@@ -210,13 +210,13 @@ def edit_links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     few = bounded(materialize(met.select(*_LINE).distinct()))
     texts = materialize(lines.join(few, _LINE, "left_semi").groupBy(*_LINE).agg(F.first("line").alias("line")).withColumns({"p": _profile(_LETTERS[0]), "q": _profile(_LETTERS[1])}))
     met = _refined(met, texts, threshold)
-    sided = materialize(met.join(texts, _LINE).select("key", "probes", F.struct(*_LINE).alias("id"), "p", "q", "line"))
+    sided = materialize(met.join(shuffled(texts), _LINE).select("key", "probes", F.struct(*_LINE).alias("id"), "p", "q", "line"))
     side = lambda probes, name: sided.filter(F.col("probes") == probes).select("key", F.col("id").alias(name), F.col("p").alias(f"p{name}"), F.col("q").alias(f"q{name}"), F.col("line").alias(f"line_{name}"))
     a, b = F.col("a"), F.col("b")
     # of two lines of one length each probes the other; h2 starts with the length
     once = (F.shiftright(a["h2"], 32) < F.shiftright(b["h2"], 32)) | (a < b)
     close = F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) + F.bit_count(F.col("qa").bitwiseXOR(F.col("qb"))) <= 2 * threshold
-    found = side(False, "a").join(side(True, "b"), "key").filter((a != b) & once & close)
+    found = side(False, "a").join(shuffled(side(True, "b")), "key").filter((a != b) & once & close)
     pairs = found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.first("line_a").alias("line_a"), F.first("line_b").alias("line_b"))
     distance = banded_distance(F.col("line_a"), F.col("line_b"), threshold)
     return materialize(pairs.select("a", "b", distance.alias("distance"))).filter(F.col("distance") <= threshold)
@@ -261,7 +261,7 @@ def dedup_report(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
     split = F.split(text, "\n", -1)
     count = lambda lines: F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long")
     counted = docs.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("hash"), count(split).alias("n_lines"), count(F.filter(split, lambda x: _takes_part(x, min_chars, short_lines))).alias("n_checked"))
-    joined = counted.join(decisions, F.col("id").eqNullSafe(F.col("doc")) & (F.col("hash") == F.col("doc_hash")), "left")
+    joined = counted.join(shuffled(decisions), F.col("id").eqNullSafe(F.col("doc")) & (F.col("hash") == F.col("doc_hash")), "left")
     dropped = F.coalesce("dropped", F.array().cast("array<int>"))
     return joined.select(F.col("id").alias(id_column), "n_lines", "n_checked", F.size(dropped).cast("long").alias("n_dropped"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), dropped.alias("dropped"), F.coalesce("earlier_docs", F.array().cast(dict(decisions.dtypes)["earlier_docs"])).alias("earlier_docs"))
 
