@@ -13,9 +13,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from ..storage import BROADCAST_ROWS, bounded, materialize, on_workers, settled, shared_dir, shuffled, sweep
+from ..storage import BROADCAST_ROWS, bounded, materialize, on_workers, settled, shared_dir, shuffled, slim, sweep
 
-__all__ = ["BROADCAST_BYTES", "BROADCAST_ROWS", "CACHE_BYTES", "Cache", "bounded", "fresh", "materialize", "on_workers", "read_bytes", "release", "resident", "settled", "shared_dir", "ship", "shuffled", "sweep", "table", "text_slices", "trim", "unload", "with_text"]
+__all__ = ["BROADCAST_BYTES", "BROADCAST_ROWS", "CACHE_BYTES", "Cache", "bounded", "fresh", "materialize", "on_workers", "read_bytes", "release", "resident", "settled", "shared_dir", "ship", "shuffled", "slim", "sweep", "table", "text_slices", "trim", "unload", "with_text"]
 
 #: Largest payload that is ever put into a broadcast, in bytes.
 BROADCAST_BYTES = 64 << 20

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_BYTES, Cache, on_workers, read_bytes, resident, ship, text_slices, trim, with_text
+from .common import CACHE_BYTES, Cache, on_workers, read_bytes, resident, ship, slim, text_slices, trim, with_text
 
 _MARK = "▁"
 _MARK_UTF8 = _MARK.encode()
@@ -248,6 +248,7 @@ def encode_decode(docs: DataFrame, model_path: str, *, text_column: str = "text"
     ``check`` is ``segments`` or ``texts``: what is held against the library.
     """
     kinds = {"ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("string", pa.string()), "n_tokens": ("long", pa.int64()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
+    slim(docs.sparkSession)  # a worker's model, cache and slice of texts take some 200 MB more than an idle one
     model = read_bytes(model_path)
     shipped = ship(docs.sparkSession, model, len(model))
     made = {

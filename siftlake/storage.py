@@ -46,13 +46,14 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def settled(build: Callable[[], DataFrame]) -> DataFrame:
-    """What ``build`` makes as a table; the tables that it wrote on the way are removed, and shuffle files that nothing refers to any more with them."""
+    """What ``build`` makes as a table; the tables that it wrote on the way are removed, and shuffle files that nothing refers to any more with them; executors' heaps shrink."""
     start = len(_scratch)
     out = materialize(build())
     done, _scratch[start:] = _scratch[start:-1], _scratch[-1:]
     for spark, path in done:
         _remove(spark, path)
     sweep(out.sparkSession)
+    slim(out.sparkSession)
     return out
 
 
@@ -62,6 +63,16 @@ def sweep(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def slim(spark: SparkSession) -> None:
+    """Let the executors' heaps shrink to what is in use: Python workers run beside them and need the room.
+
+    A heap that shuffles have filled keeps its size until a full collection, which an executor with room in its heap doesn't begin of itself.
+    There is a task for each core, so that every executor of an idle cluster gets some; one that gets none keeps its heap.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
